@@ -95,17 +95,18 @@ def time_bin(ts: Column | str, freq: str, origin: Column | None = None) -> Colum
         return period_end(t, kind).cast("timestamp_ntz")
     if seconds == DAY_SECONDS:
         return F.to_date(t).cast("timestamp_ntz")
-    second = F.date_part(F.lit("SECOND"), t)
-    into_day = F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(second)
+    into_day = F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
     if needs_origin(freq):
         if origin is None:
             raise ValueError(f"frequency {freq!r} does not divide a day and needs an origin")
-        days = F.datediff(F.to_date(t), F.to_date(origin)).cast("long")
-        offset = F.pmod(days * DAY_SECONDS + into_day, F.lit(seconds))
+        elapsed = F.datediff(F.to_date(t), F.to_date(origin)).cast("long") * DAY_SECONDS + into_day
     else:
-        offset = F.pmod(into_day, F.lit(seconds))
+        elapsed = into_day
+    start = (into_day - F.pmod(elapsed, F.lit(seconds))).cast("int")  # seconds from the day's midnight
     zero = F.lit(0)
-    return t - F.make_dt_interval(zero, zero, zero, (offset + second - F.floor(second)).cast("decimal(18,6)"))
+    rest = (start % 60).cast("decimal(18,6)") if seconds % 60 else zero
+    shift = F.make_dt_interval(zero, zero, ((start - start % 60) / 60).cast("int"), rest)
+    return F.to_date(t).cast("timestamp_ntz") + shift
 
 
 def days(n: int | Column) -> Column:

@@ -10,8 +10,9 @@ from onsetframe.operators.labels import LABEL
 from onsetframe.operators.samples import Statistic, apply_column_fill, fit_column_fill, impute_windows
 from onsetframe.operators.windows import MATRIX
 from onsetframe.schemas import KEYS
+from onsetframe.sources.stages import cut_lineage
 
-COPY = "copy"
+COPY, TIMES = "copy", "times"
 PICK_CHUNK = 10_000  # picks one task makes from one row
 
 
@@ -34,7 +35,7 @@ def fit_cell_scaler(train: DataFrame, width: int) -> DataFrame:
         for j in range(width)
     ]
     per_step = rows.groupBy("step").agg(F.array(*cells).alias("cells"))
-    ordered = F.array_sort(F.collect_list(F.struct("step", "cells")))
+    ordered = F.sort_array(F.collect_list(F.struct("step", "cells")))
     return per_step.agg(F.transform(ordered, lambda s: s["cells"]).alias("stats"))
 
 
@@ -88,15 +89,13 @@ def _missing_rows(classes: DataFrame, ratio: float | str) -> DataFrame:
     return classes.withColumn("need", need)
 
 
-def oversample(
+def repeat_counts(
     samples: DataFrame, ratio: float | str = "auto", seed: int = 0, label: str = LABEL, keys: list[str] | None = None
 ) -> DataFrame:
-    """Repeat samples of smaller classes, drawn with replacement, until the counts are met.
+    """How often each sample of a growing class is repeated: ``(keys, times)``, thin rows only.
 
-    ``"auto"`` fills every class up to the largest; a number fills up to that share of the
-    largest. Originals stay (``copy`` 0), repeats count up. Draws are made as hash picks in
-    chunks over many tasks and summed to one multiplicity per row before they meet the
-    samples; only the classes that grow are numbered.
+    Draws with replacement are hash picks of a row number, made in chunks over many tasks and
+    summed to one multiplicity per number. Only the classes that grow are numbered.
     """
     keys = keys or KEYS
     classes = samples.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
@@ -111,19 +110,37 @@ def oversample(
     times = (
         picks.withColumn("_number", F.pmod(hash_number(text), F.col("rows")))
         .groupBy(label, "_number")
-        .agg(F.count(F.lit(1)).alias("_times"))
+        .agg(F.count(F.lit(1)).alias(TIMES))
     )
     grows = need.agg(F.collect_list(label)).scalar()  # class names only
     growing = samples.select(label, *keys).withColumn("_grows", grows).where(F.array_contains("_grows", F.col(label)))
-    growing = growing.drop("_grows")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    numbered = number_by_hash(growing, [label], digest, keys, "_number")
-    repeats = numbered.join(times, [label, "_number"]).select(*keys, "_times")
-    repeated = samples.join(repeats, keys).withColumn(
-        COPY, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
-    ).drop("_times")
-    original = samples.withColumn(COPY, F.lit(0).cast("long"))
-    return original.unionByName(repeated.select(*original.columns))
+    numbered = number_by_hash(growing.drop("_grows"), [label], digest, keys, "_number")
+    return numbered.join(times, [label, "_number"]).select(*keys, TIMES)
+
+
+def repeat_samples(samples: DataFrame, counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Every sample once (``copy`` 0) and its repeats (``copy`` 1, 2, ...), in one pass."""
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(TIMES), F.lit(0).cast("long")))
+    return samples.join(counts, keys or KEYS, "left").withColumn(COPY, F.explode(copies)).drop(TIMES)
+
+
+def oversample(
+    samples: DataFrame,
+    ratio: float | str = "auto",
+    seed: int = 0,
+    label: str = LABEL,
+    keys: list[str] | None = None,
+    root: str | None = None,
+) -> DataFrame:
+    """Repeat samples of smaller classes, drawn with replacement, until the counts are met.
+
+    ``"auto"`` fills every class up to the largest; a number fills up to that share of the
+    largest. Originals stay. With a shared folder ``root`` the thin table of multiplicities
+    is written there, so a plan that uses the result twice draws once.
+    """
+    counts = repeat_counts(samples, ratio, seed, label, keys)
+    return repeat_samples(samples, cut_lineage(counts, root) if root else counts, keys)
 
 
 # --- chains --------------------------------------------------------------------------
@@ -144,12 +161,18 @@ def prepare_train(
     resampler: float | str | None = "auto",
     scale: bool = True,
     seed: int = 0,
+    root: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Impute, balance, scale the training windows; returns the samples and the scaler."""
+    """Impute, balance, scale the training windows; returns the samples and the scaler.
+
+    ``train`` is used several times and should be a written table; ``root`` is handed to
+    :func:`oversample`.
+    """
     check_matrix(train)
     prepared = impute_windows(train, width, imputer) if imputer is not None else train
     if resampler is not None:
-        prepared = oversample(prepared, resampler, seed)
+        counts = repeat_counts(train, resampler, seed)  # keys and labels only, imputation is not needed
+        prepared = repeat_samples(prepared, cut_lineage(counts, root) if root else counts)
     scaler = fit_cell_scaler(prepared, width) if scale else None
     return (apply_scaler(prepared, scaler) if scale else prepared), scaler
 

@@ -67,7 +67,7 @@ def pair_cooccurrence(
     baskets = (
         counted.where(F.col(ADMISSION).isNotNull())
         .groupBy(ADMISSION)
-        .agg(F.array_sort(F.collect_list(entry)).alias("basket"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("basket"))
         .where(F.size("basket") > 1)
         .groupBy("basket")
         .agg(F.count(F.lit(1)).alias("times"))
@@ -146,5 +146,5 @@ def group_profile(df: DataFrame, group: str, count: str) -> DataFrame:
 
 def group_id_lists(top: DataFrame, group: str, key: str) -> DataFrame:
     """List of ids per group in their order; takes the result of :func:`top_n_per_group`."""
-    ordered = F.array_sort(F.collect_list(F.struct("place", key)))
+    ordered = F.sort_array(F.collect_list(F.struct("place", key)))
     return top.groupBy(group).agg(F.transform(ordered, lambda e: e[key]).alias("ids"))

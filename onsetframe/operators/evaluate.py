@@ -140,7 +140,7 @@ def report(confusion: DataFrame) -> DataFrame:
 
 def confusion_matrix(confusion: DataFrame) -> DataFrame:
     """Every (truth, predicted) pair of classes: ``n`` and ``share`` of the true class."""
-    classes = class_counts(confusion).agg(F.array_sort(F.collect_list("class"))).scalar()
+    classes = class_counts(confusion).agg(F.sort_array(F.collect_list("class"))).scalar()
     per_truth = confusion.groupBy(F.col(TRUTH)).agg(
         F.map_from_entries(F.collect_list(F.struct(PREDICTED, "n"))).alias("_cells"), F.sum("n").alias("_total")
     )

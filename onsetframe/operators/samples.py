@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from onsetframe.functions.arrays import let, quantile, total
 from onsetframe.functions.ranking import grouped_quantile, number_by_hash
 from onsetframe.operators.labels import LABEL
 from onsetframe.operators.windows import MATRIX
@@ -53,16 +54,7 @@ def column_series(matrix: Column, width: int) -> Column:
 
 
 def series_mean(series: Column) -> Column:
-    total = F.aggregate(series, F.lit(0.0), lambda a, v: a + v)
-    return F.when(F.size(series) > 0, total / F.size(series))
-
-
-def series_quantile(ordered: Column, q: float) -> Column:
-    """Linear interpolation on an ascending array, NULL if empty."""
-    position = (F.size(ordered) - 1) * F.lit(float(q))
-    low = F.get(ordered, F.floor(position).cast("int"))
-    high = F.get(ordered, F.ceil(position).cast("int"))
-    return low + (high - low) * (position - F.floor(position))
+    return F.when(F.size(series) > 0, total(series) / F.size(series))
 
 
 def series_mode(series: Column) -> Column:
@@ -76,7 +68,7 @@ def series_mode(series: Column) -> Column:
 
 STRATEGIES: dict[str, Statistic] = {
     "mean": series_mean,
-    "median": lambda s: series_quantile(F.array_sort(s), 0.5),
+    "median": lambda s: let(F.sort_array(s), lambda ordered: quantile(ordered, 0.5)),
     "most_frequent": series_mode,
 }
 
@@ -93,11 +85,18 @@ def impute_windows(
         fills = F.array_repeat(F.lit(float(constant)), width)
     else:
         statistic = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
-        fills = F.transform(column_series(F.col(MATRIX), width), lambda s: F.coalesce(statistic(s), F.lit(0.0)))
-    filled = F.transform(
-        F.col(MATRIX), lambda row: F.zip_with(row, F.col("_fill"), lambda v, f: F.coalesce(v, f))
-    )
-    return windows.withColumn("_fill", fills).withColumn(MATRIX, filled).drop("_fill")
+        fills = None
+
+    def filled(matrix: Column) -> Column:
+        values = fills
+        if values is None:
+            values = F.transform(column_series(matrix, width), lambda s: F.coalesce(statistic(s), F.lit(0.0)))
+        return let(
+            values,
+            lambda fill: F.transform(matrix, lambda row: F.zip_with(row, fill, lambda v, f: F.coalesce(v, f))),
+        )
+
+    return windows.withColumn(MATRIX, let(F.col(MATRIX), filled))
 
 
 # --- flat tables: statistics from the training rows ----------------------------------
@@ -145,10 +144,14 @@ def _split_patients(patients: DataFrame, group: list[str], test_size: float | in
     return numbered.select(PATIENT, side.alias(SPLIT))
 
 
+def patient_sides(samples: DataFrame, test_size: float | int = 0.2, seed: int = 0) -> DataFrame:
+    """``(patient_id, split)`` of the patients of the samples."""
+    return _split_patients(samples.select(PATIENT).distinct(), [], test_size, seed)
+
+
 def split_by_patient(samples: DataFrame, test_size: float | int = 0.2, seed: int = 0) -> DataFrame:
     """Add ``split``: exactly ``ceil(test_size * patients)`` patients are test."""
-    patients = samples.select(PATIENT).distinct()
-    return samples.join(_split_patients(patients, [], test_size, seed), PATIENT)
+    return samples.join(patient_sides(samples, test_size, seed), PATIENT)
 
 
 def split_stratified(samples: DataFrame, test_size: float | int = 0.2, seed: int = 0) -> DataFrame:

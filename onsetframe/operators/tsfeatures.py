@@ -15,31 +15,53 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from onsetframe.functions.arrays import let, quantile, total
 from onsetframe.functions.ranking import grouped_quantile, with_rows_below
-from onsetframe.operators.samples import series_quantile
 from onsetframe.operators.windows import MATRIX
 from onsetframe.schemas import KEYS
 
 NAME, FEATURE, VALUE = "name", "feature", "value"
 
-_S, _ORDERED, _DIFFS, _STEPS, _MEAN, _N = "_s", "_ordered", "_diffs", "_steps", "_mean", "_n"
+_S, _ORDERED, _DIFFS, _STEPS = "_s", "_ordered", "_diffs", "_steps"
+_MEAN, _N, _LENGTH = "_mean", "_n", "_length"
+
+
+def _prepared(raw: Column) -> Column:
+    """Shared arrays of a series: present values, their steps, order, differences, mean."""
+
+    def struct_of(present: Column) -> Column:
+        s = F.transform(present, lambda e: e["v"])
+        return let(s, lambda values: F.struct(
+            F.size(raw).alias(_LENGTH),
+            values.alias(_S),
+            F.transform(present, lambda e: e["i"].cast("double")).alias(_STEPS),
+            F.size(values).alias(_N),
+            F.sort_array(values).alias(_ORDERED),
+            F.when(F.size(values) > 0, total(values) / F.size(values)).alias(_MEAN),
+            F.zip_with(
+                F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))),
+                F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))),
+                lambda after, before: after - before,
+            ).alias(_DIFFS),
+        ))
+
+    indexed = F.transform(raw, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+    return let(F.filter(indexed, lambda e: e["v"].isNotNull()), struct_of)
 
 
 def series_table(windows: DataFrame, features: list[str]) -> DataFrame:
-    """Long form: one row per sample and feature with the array of step values."""
+    """One row per sample and feature with the prepared arrays of its series.
+
+    The arrays are made before the explode, so later statistics read stored columns.
+    """
     others = [c for c in windows.columns if c != MATRIX]
 
     def column(position: int) -> Column:
         return F.transform(MATRIX, lambda row: F.get(row, F.lit(position)))
 
-    columns = F.array(
-        *[F.struct(F.lit(f).alias(FEATURE), column(j).alias("raw")) for j, f in enumerate(features)]
-    )
-    return windows.select(*others, F.explode(columns).alias("_f")).select(*others, f"_f.{FEATURE}", "_f.raw")
-
-
-def _total(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda a, v: a + v)
+    raw = F.array(*[F.struct(F.lit(f).alias(FEATURE), column(j).alias("raw")) for j, f in enumerate(features)])
+    prepared = F.transform(raw, lambda e: F.struct(e[FEATURE].alias(FEATURE), _prepared(e["raw"]).alias("p")))
+    return windows.select(*others, F.explode(prepared).alias("_f")).select(*others, f"_f.{FEATURE}", "_f.p.*")
 
 
 def _count_where(array: Column, condition) -> Column:
@@ -50,24 +72,6 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom != 0, top / bottom)
 
 
-def _prepared(table: DataFrame) -> DataFrame:
-    """Shared arrays of a series: present values, their steps, order, differences, mean."""
-    indexed = F.transform("raw", lambda v, i: F.struct(i.alias("i"), v.alias("v")))
-    present = F.filter(indexed, lambda e: e["v"].isNotNull())
-    s = F.col(_S)
-    following = F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0)))
-    leading = F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))
-    return (
-        table.withColumn("_present", present)
-        .withColumn(_S, F.transform("_present", lambda e: e["v"]))
-        .withColumn(_STEPS, F.transform("_present", lambda e: e["i"].cast("double")))
-        .withColumn(_N, F.size(_S))
-        .withColumn(_ORDERED, F.array_sort(_S))
-        .withColumn(_MEAN, F.when(F.col(_N) > 0, _total(s) / F.col(_N)))
-        .withColumn(_DIFFS, F.zip_with(following, leading, lambda b, a: b - a))
-    )
-
-
 def _central(power: int) -> Column:
     """Mean of the centred values to a power."""
     def term(v: Column) -> Column:
@@ -77,18 +81,21 @@ def _central(power: int) -> Column:
             out = out * d
         return out
 
-    return _ratio(_total(F.transform(_S, term)), F.col(_N))
+    return _ratio(total(F.transform(_S, term)), F.col(_N))
 
 
 def basic_stats() -> dict[str, Column]:
     s, n, ordered = F.col(_S), F.col(_N), F.col(_ORDERED)
-    m2, m3, m4 = _central(2), _central(3), _central(4)
-    energy = _total(F.transform(s, lambda v: v * v))
+    m2, m3, m4, energy = F.col("_m2"), F.col("_m3"), F.col("_m4"), F.col("_energy")
     return {
+        "_m2": _central(2),
+        "_m3": _central(3),
+        "_m4": _central(4),
+        "_energy": total(F.transform(s, lambda v: v * v)),
         "count": n,
-        "sum": F.when(n > 0, _total(s)),
+        "sum": F.when(n > 0, total(s)),
         "mean": F.col(_MEAN),
-        "median": series_quantile(ordered, 0.5),
+        "median": quantile(ordered, 0.5),
         "min": F.array_min(s),
         "max": F.array_max(s),
         "range": F.array_max(s) - F.array_min(s),
@@ -98,11 +105,11 @@ def basic_stats() -> dict[str, Column]:
         "abs_energy": F.when(n > 0, energy),
         "skew": _ratio(m3, m2 * F.sqrt(m2)),
         "kurtosis": _ratio(m4, m2 * m2) - 3,
-        "q10": series_quantile(ordered, 0.1),
-        "q25": series_quantile(ordered, 0.25),
-        "q75": series_quantile(ordered, 0.75),
-        "q90": series_quantile(ordered, 0.9),
-        "missing_share": F.lit(1.0) - n / F.size("raw"),
+        "q10": quantile(ordered, 0.1),
+        "q25": quantile(ordered, 0.25),
+        "q75": quantile(ordered, 0.75),
+        "q90": quantile(ordered, 0.9),
+        "missing_share": F.lit(1.0) - n / F.col(_LENGTH),
     }
 
 
@@ -110,10 +117,10 @@ def change_stats() -> dict[str, Column]:
     d, s, n = F.col(_DIFFS), F.col(_S), F.col(_N)
     size = F.size(d)
     return {
-        "mean_abs_change": _ratio(_total(F.transform(d, F.abs)), size),
+        "mean_abs_change": _ratio(total(F.transform(d, F.abs)), size),
         "mean_change": _ratio(F.get(s, n - 1) - F.get(s, F.lit(0)), size),
-        "abs_sum_of_changes": F.when(n > 0, _total(F.transform(d, F.abs))),
-        "cid": F.when(n > 0, F.sqrt(_total(F.transform(d, lambda v: v * v)))),
+        "abs_sum_of_changes": F.when(n > 0, total(F.transform(d, F.abs))),
+        "cid": F.when(n > 0, F.sqrt(total(F.transform(d, lambda v: v * v)))),
         "zero_crossings": _sign_changes(s, F.lit(0.0)),
         "mean_crossings": _sign_changes(s, F.col(_MEAN)),
     }
@@ -147,22 +154,23 @@ def location_stats() -> dict[str, Column]:
 def trend_stats() -> dict[str, Column]:
     """Least squares of the values on the step numbers."""
     s, steps, n, mean = F.col(_S), F.col(_STEPS), F.col(_N), F.col(_MEAN)
-    mid = _ratio(_total(steps), n)
-    sxx = _total(F.transform(steps, lambda x: (x - F.col("_mid")) * (x - F.col("_mid"))))
-    sxy = _total(F.zip_with(steps, s, lambda x, y: (x - F.col("_mid")) * (y - mean)))
-    syy = _total(F.transform(s, lambda y: (y - mean) * (y - mean)))
-    slope = _ratio(F.col("_sxy"), F.col("_sxx"))
-    flat = F.when(F.col("_sxx") != 0, F.lit(1.0))
+
+    def sums(mid: Column) -> Column:
+        return F.struct(
+            mid.alias("mid"),
+            total(F.transform(steps, lambda x: (x - mid) * (x - mid))).alias("sxx"),
+            total(F.zip_with(steps, s, lambda x, y: (x - mid) * (y - mean))).alias("sxy"),
+            total(F.transform(s, lambda y: (y - mean) * (y - mean))).alias("syy"),
+        )
+
+    fit = F.col("_fit")
+    slope = _ratio(fit["sxy"], fit["sxx"])
+    flat = F.when(fit["sxx"] != 0, F.lit(1.0))
     return {
-        "_mid": mid,
-        "_sxx": sxx,
-        "_sxy": sxy,
-        "_syy": syy,
+        "_fit": let(_ratio(total(steps), n), sums),
         "slope": slope,
-        "intercept": mean - slope * F.col("_mid"),
-        "r2": F.coalesce(
-            _ratio(F.col("_sxy") * F.col("_sxy"), F.col("_sxx") * F.col("_syy")), flat
-        ),
+        "intercept": mean - slope * fit["mid"],
+        "r2": F.coalesce(_ratio(fit["sxy"] * fit["sxy"], fit["sxx"] * fit["syy"]), flat),
     }
 
 
@@ -176,7 +184,7 @@ def autocorr_stats(lags: tuple[int, ...] = (1, 2, 3)) -> dict[str, Column]:
         product = F.zip_with(
             F.slice(s, 1, short), F.slice(s, lag + 1, short), lambda a, b: (a - F.col(_MEAN)) * (b - F.col(_MEAN))
         )
-        return F.when(n > lag, _ratio(_total(product) / (n - lag), variance))
+        return F.when(n > lag, _ratio(total(product) / (n - lag), variance))
 
     return {f"autocorr_{lag}": at(lag) for lag in lags}
 
@@ -215,7 +223,7 @@ def extract_features(
 ) -> DataFrame:
     """One row per sample and feature with a column per statistic."""
     others = [c for c in windows.columns if c != MATRIX]
-    table = _prepared(series_table(windows, features))
+    table = series_table(windows, features)
     names = []
     for group in groups or list(GROUPS):
         stats = GROUPS[group]()

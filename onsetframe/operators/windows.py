@@ -131,7 +131,7 @@ def to_long(windows: DataFrame, features: list[str], unit: str, steps: int) -> D
 
 def to_matrix(long: DataFrame, features: list[str]) -> DataFrame:
     """Long windows nested again; a group holds the steps of one sample only."""
-    rows = F.array_sort(F.collect_list(F.struct(STEP, F.array(*[F.col(f"`{f}`") for f in features]).alias("r"))))
+    rows = F.sort_array(F.collect_list(F.struct(STEP, F.array(*[F.col(f"`{f}`") for f in features]).alias("r"))))
     return long.groupBy(*KEYS).agg(F.transform(rows, lambda x: x["r"]).alias(MATRIX))
 
 

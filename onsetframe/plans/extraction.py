@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from onsetframe.operators.demographics import demographics_at_dates
 from onsetframe.operators.labels import earliest_positive, label_onset_grid, label_onsets, mark_onsets, spine_of
 from onsetframe.operators.records import clean_events, drop_empty, grid_records, resample, select_features
+from onsetframe.operators.samples import patient_sides
 from onsetframe.operators.windows import own_date_windows, second_source_windows
 from onsetframe.plans.config import (
     PERIOD_SETTINGS,
@@ -18,7 +20,7 @@ from onsetframe.plans.config import (
     GridCell,
     StagePaths,
 )
-from onsetframe.schemas import ECG_FEATURES, KEYS
+from onsetframe.schemas import ECG_FEATURES, KEYS, PATIENT
 from onsetframe.session import join_path
 from onsetframe.sources.stages import StageStore, is_complete
 from onsetframe.sources.tables import ClinicalTables
@@ -45,19 +47,29 @@ def lab_periods(events: DataFrame, ids: list, freq: str, unit: str) -> DataFrame
 
 
 def labelled_windows(
-    events: DataFrame, diagnoses: DataFrame, admissions: DataFrame, config: CohortConfig
+    events: DataFrame,
+    diagnoses: DataFrame,
+    admissions: DataFrame,
+    config: CohortConfig,
+    split: tuple[float | int, int] | None = None,
 ) -> DataFrame:
-    """The main job as one lazy plan: ``(keys, label, matrix)``.
+    """The main job as one lazy plan: ``(keys, label, matrix)``, and ``split`` if asked for.
 
-    Labels are decided on the thin period rows, so windows are only cut for labelled dates.
+    Labels and sides of the split (test size, seed) are decided on the thin period rows, so
+    windows are only cut for labelled dates and never joined afterwards.
     """
     ids = config.selected_analyses_ids
     names = [str(i) for i in ids]
     periods = lab_periods(events, ids, config.lab_records_frequency, config.backward_window_time_unit)
     earliest = earliest_positive(diagnoses, admissions, config.positive_diagnoses)
     marked = mark_onsets(periods, earliest, config.gap_days, config.prediction_window_days, time="period_end")
+    carry = ["label"]
+    if split is not None:
+        labelled = marked.where(F.col("label").isNotNull())
+        marked = marked.join(patient_sides(labelled, *split), PATIENT, "left")
+        carry.append("split")
     return own_date_windows(
-        marked, names, config.backward_window_value, carry=["label"], shown=marked["label"].isNotNull()
+        marked, names, config.backward_window_value, carry=carry, shown=F.col("label").isNotNull()
     )
 
 

@@ -27,7 +27,7 @@ from onsetframe.operators.samples import (
 )
 from onsetframe.schemas import KEYS
 from onsetframe.session import join_path
-from onsetframe.sources.stages import StageStore, write_metrics
+from onsetframe.sources.stages import StageStore, cut_lineage, write_metrics
 
 
 @dataclass
@@ -85,15 +85,21 @@ def learn(
     max_depth: int = 10,
     seed: int = 0,
     threshold: float = 0.5,
+    root: str | None = None,
 ) -> Learned:
     """Fit a forest on the training side and judge it on the test side.
 
     Pass samples read from a written table (see :func:`learn_job`): they are used for the
-    scaler, the fit and the test.
+    scaler, the fit and the test. With a shared folder ``root`` the prepared samples are
+    written before the fit, which reads them many times.
     """
     train = samples.where(F.col(SPLIT) == TRAIN)
     test = samples.where(F.col(SPLIT) == TEST)
-    prepared, scaler = prepare_train(train, width, imputer, resampler, scale, seed)
+    prepared, scaler = prepare_train(train, width, imputer, resampler, scale, seed, root)
+    if root is not None:
+        prepared = cut_lineage(prepared, root)
+        if scaler is not None:
+            scaler = cut_lineage(scaler, root)
     model = fit_forest(prepared, trees, seed, max_depth)
     scored = binary_score(score_forest(model, prepare_test(test, width, imputer, scaler)))
     confusion = confusion_counts(scored)
@@ -119,7 +125,7 @@ def learn_job(
         "samples", f"{key}_{seed}_{test_size}",
         lambda: assemble(labels.select(*KEYS, LABEL), sources, steps, demographics, test_size, seed)[0],
     )
-    learned = learn(samples, width, seed=seed, **settings)
+    learned = learn(samples, width, seed=seed, root=store.root, **settings)
     if output is not None:
         learned.model.write().overwrite().save(join_path(output, "model"))
         learned.predictions.write.mode("overwrite").parquet(join_path(output, "predictions"))

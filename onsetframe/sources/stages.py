@@ -77,14 +77,14 @@ class StageStore:
         return self.spark.read.parquet(path)
 
 
-def cut_lineage(df: DataFrame, root: str) -> DataFrame:
+def cut_lineage(df: DataFrame, root: str, partition_by: list[str] | None = None) -> DataFrame:
     """The DataFrame written once below the shared folder and read back.
 
     For plans that use a costly input several times: each use reads only its columns, and
     a lost executor costs a re-read, not a recomputation.
     """
     path = join_path(root, "cut", uuid.uuid4().hex)
-    df.write.parquet(path)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

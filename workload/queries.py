@@ -90,15 +90,16 @@ def lab_labels(star: Star) -> DataFrame:
     return labels.label_onsets(lab_spine(star), onset(star), GAP, WINDOW)
 
 
-def lab_samples(star: Star, steps: int = LAB_STEPS) -> DataFrame:
+def lab_samples(star: Star, steps: int = LAB_STEPS, split: tuple | None = None) -> DataFrame:
     """Labelled lab windows ``(keys, label, matrix)`` from the main job's plan."""
     config = CohortConfig(LAB_IDS, POSITIVE, "h", "month", steps, GAP, WINDOW)
-    return labelled_windows_plan(star.analyses(), star.diagnoses(), star.admissions(), config)
+    return labelled_windows_plan(star.analyses(), star.diagnoses(), star.admissions(), config, split)
 
 
 def written_samples(star: Star) -> DataFrame:
-    """The labelled windows as a written stage, for queries that use them several times."""
-    return cut_lineage(lab_samples(star), scratch(star.spark))
+    """The labelled windows with their side of the split as a written stage, for queries that
+    use them several times."""
+    return cut_lineage(lab_samples(star, split=(0.2, SEED)), scratch(star.spark), ["split"])
 
 
 LAB_GRID = (q.ANALYSES, q.grid("analyses", LAB_IDS))
@@ -721,8 +722,7 @@ FILLED_SAMPLES = (
 
 def sided_samples(star: Star) -> DataFrame:
     """Imputed, labelled lab windows with their side of the split."""
-    filled = samples.impute_windows(written_samples(star), len(LAB_IDS))
-    return samples.split_by_patient(filled, 0.2, SEED)
+    return samples.impute_windows(written_samples(star), len(LAB_IDS))
 
 
 def _stats_sql(source: str, key: str, name: str = "stats") -> str:
@@ -831,7 +831,7 @@ TRAIN_SIDE = (
 
 
 def raw_sides(star: Star) -> tuple[DataFrame, DataFrame]:
-    sided = samples.split_by_patient(written_samples(star), 0.2, SEED)
+    sided = written_samples(star)
     return sided.where(F.col("split") == "train"), sided.where(F.col("split") == "test")
 
 
@@ -845,7 +845,7 @@ def raw_sides(star: Star) -> tuple[DataFrame, DataFrame]:
 )
 def prep_train(star: Star) -> DataFrame:
     train, _ = raw_sides(star)
-    prepared, _scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED)
+    prepared, _scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED, root=scratch(star.spark))
     return _scaled_output(prepared, "label", "copy")
 
 
@@ -859,20 +859,31 @@ def prep_train(star: Star) -> DataFrame:
 )
 def prep_test(star: Star) -> DataFrame:
     train, test = raw_sides(star)
-    _, scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED)
+    _, scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED, root=scratch(star.spark))
     return _scaled_output(balance.prepare_test(test, len(LAB_IDS), scaler=scaler), "label")
 
 
 # --- window features -----------------------------------------------------------------
 
+NUDGE = 1e-9
+
+
+def feature_windows(star: Star) -> DataFrame:
+    """Event windows of daily means at 6 digits."""
+    rounded = {f: F.round(F.col(f) + NUDGE, 6) for f in EVENT_IDS}
+    return windows.own_date_windows(event_periods(star).withColumns(rounded), EVENT_IDS, EVENT_STEPS)
+
+
 # one row per sample, feature and present value, with neighbours
 SERIES = (
     *EVT_LONG,
     "series AS (" + " UNION ALL ".join(
-        f"SELECT patient_id, observation_date, '{i}' AS feature, step, {n} AS v FROM long"
+        f"SELECT patient_id, observation_date, '{i}' AS feature, step, round({n} + {NUDGE}, 6) AS v FROM long"
         for i, n in zip(EVENT_IDS, q.EVT)
     ) + ")",
-    """means AS (SELECT patient_id, observation_date, feature, avg(v) AS m, count(v) AS n, count(*) AS steps
+    # summed in step order, so values that equal the mean do so in every engine
+    """means AS (SELECT patient_id, observation_date, feature, count(v) AS n, count(*) AS steps,
+  list_reduce(list(v ORDER BY step) FILTER (WHERE v IS NOT NULL), lambda a, b: a + b) / nullif(count(v), 0) AS m
   FROM series GROUP BY ALL)""",
     """present AS (SELECT s.*, m, n, steps,
   row_number() OVER w - 1 AS p, lag(v) OVER w AS v1, lag(v, 2) OVER w AS v2, lag(v, 3) OVER w AS v3
@@ -894,11 +905,10 @@ def _stats_query(group: str, columns: dict[str, str], pre: tuple[str, ...] = (),
         + "GROUP BY patient_id, observation_date, feature"
     )
     query(sql, f"ts_{group}")(
-        lambda star: shown(tsfeatures.extract_features(event_windows(star), EVENT_IDS, [group]), NUDGE)
+        lambda star: shown(tsfeatures.extract_features(feature_windows(star), EVENT_IDS, [group]), NUDGE)
     )
 
 
-NUDGE = 1e-9
 COUNTED = {
     "count", "zero_crossings", "mean_crossings", "count_above_mean", "count_below_mean",
     "longest_strike_above_mean", "longest_strike_below_mean",
@@ -977,7 +987,7 @@ _stats_query("strike", {
 
 def event_features(star: Star, stats: list[str]) -> DataFrame:
     """Named features of the event windows with the patient's gender code as label."""
-    wide = tsfeatures.extract_features(event_windows(star), EVENT_IDS, ["basic"])
+    wide = tsfeatures.extract_features(feature_windows(star), EVENT_IDS, ["basic"])
     table = tsfeatures.long_feature_table(wide.select("patient_id", "observation_date", "feature", *stats), stats)
     at = star.patients().select("patient_id", demographics.gender_code(F.col("gender")).alias("label"))
     return table.join(at, "patient_id")
@@ -1005,10 +1015,10 @@ def rounded_features(star: Star) -> DataFrame:
 @query(
     q.with_(*FEATURES, "medians AS (SELECT name, quantile_cont(value, 0.5) AS md FROM features GROUP BY name)")
     + f"""SELECT patient_id, {q.date_text('observation_date')} AS observation_date, name,
-round(coalesce(value, md, 0), 6) AS value FROM features JOIN medians USING (name)"""
+round(coalesce(value, md, 0) + {NUDGE}, 6) AS value FROM features JOIN medians USING (name)"""
 )
 def impute_feature_table(star: Star) -> DataFrame:
-    return shown(tsfeatures.impute_feature_table(rounded_features(star).drop("label")))
+    return shown(tsfeatures.impute_feature_table(rounded_features(star).drop("label")), NUDGE)
 
 
 @query(
@@ -1041,7 +1051,7 @@ def feature_select(star: Star) -> DataFrame:
 
 @query()
 def latent_pca(star: Star) -> DataFrame:
-    filled = samples.impute_windows(written_samples(star), len(LAB_IDS))
+    filled = sided_samples(star).drop("split")
     latent = learn.apply_latent(learn.fit_latent(filled, 4), filled)
     return shown(latent.withColumn("vector", vector_text()))
 
@@ -1049,8 +1059,8 @@ def latent_pca(star: Star) -> DataFrame:
 @query()
 def rf_train_score(star: Star) -> DataFrame:
     train, test = raw_sides(star)
-    prepared, scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED)
-    prepared = cut_lineage(prepared, scratch(star.spark))
+    prepared, scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED, root=scratch(star.spark))
+    prepared, scaler = cut_lineage(prepared, scratch(star.spark)), cut_lineage(scaler, scratch(star.spark))
     model = learn.fit_forest(prepared, trees=10, seed=SEED, max_depth=5)
     scored = learn.score_forest(model, balance.prepare_test(test, len(LAB_IDS), scaler=scaler))
     return shown(learn.binary_score(scored).drop("split"))
