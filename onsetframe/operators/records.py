@@ -133,3 +133,25 @@ def resample(records: DataFrame, features: list[str], unit: str, time: str = BIN
         PATIENT, PERIOD, period_index(PERIOD, unit).alias(INDEX), *[F.col(f"`{f}`") for f in features]
     )
     return drop_empty(with_index, features)
+
+
+def resample_long(records: DataFrame, unit: str) -> DataFrame:
+    """Period means of the sparse form: one row per ``(patient, period, analysis)``.
+
+    With many analyses the sparse form moves only the values that exist; a wide grid would
+    move a column per analysis.
+    """
+    return (
+        records.groupBy(PATIENT, period_end(BIN, unit).alias(PERIOD), ID)
+        .agg(F.avg(VALUE).alias(VALUE))
+        .where(F.col(VALUE).isNotNull())
+    )
+
+
+def pivot_periods(long_periods: DataFrame, ids: list, unit: str) -> DataFrame:
+    """Sparse period means of the chosen analyses as one row per period, like :func:`resample`."""
+    cells = [F.max(F.when(F.col(ID) == i, F.col(VALUE))).alias(str(i)) for i in ids]
+    wide = long_periods.where(F.col(ID).isin(list(ids))).groupBy(PATIENT, PERIOD).agg(*cells)
+    return wide.select(
+        PATIENT, PERIOD, period_index(PERIOD, unit).alias(INDEX), *[F.col(f"`{i}`") for i in ids]
+    )

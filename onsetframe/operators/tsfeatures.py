@@ -1,13 +1,15 @@
 """Features of window series, and their selection.
 
-The catalogue works inside one row: a sample's matrix is turned into one series per
-feature, and every statistic is an array expression on it. No statistic needs an
-exchange. Missing steps are left out of a series; the trend keeps the step numbers.
+A sample's matrix is turned into one series per feature. Order statistics come from
+native array functions on the series; sums come from its exploded values, which one
+task reduces to one row per series again before the exchange. Missing steps are left
+out of a series; the trend keeps the step numbers.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,178 +17,170 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from onsetframe.functions.arrays import let, quantile, total
+from onsetframe.functions.arrays import quantile, total
 from onsetframe.functions.ranking import grouped_quantile, with_rows_below
 from onsetframe.operators.windows import MATRIX
 from onsetframe.schemas import KEYS
 
 NAME, FEATURE, VALUE = "name", "feature", "value"
 
-_S, _ORDERED, _DIFFS, _STEPS = "_s", "_ordered", "_diffs", "_steps"
-_MEAN, _N, _LENGTH = "_mean", "_n", "_length"
+_RAW, _S, _STEPS, _ORDERED, _TOTAL = "_raw", "_s", "_steps", "_ordered", "_total"
+_MEAN, _N, _MID, _P, _V = "_mean", "_n", "_mid", "_p", "_v"
 
 
-def _prepared(raw: Column) -> Column:
-    """Shared arrays of a series: present values, their steps, order, differences, mean."""
+@dataclass(frozen=True)
+class Group:
+    """A group of statistics: per-series values, sums over exploded values, final formulas."""
 
-    def struct_of(present: Column) -> Column:
-        s = F.transform(present, lambda e: e["v"])
-        return let(s, lambda values: F.struct(
-            F.size(raw).alias(_LENGTH),
-            values.alias(_S),
-            F.transform(present, lambda e: e["i"].cast("double")).alias(_STEPS),
-            F.size(values).alias(_N),
-            F.sort_array(values).alias(_ORDERED),
-            F.when(F.size(values) > 0, total(values) / F.size(values)).alias(_MEAN),
-            F.zip_with(
-                F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))),
-                F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))),
-                lambda after, before: after - before,
-            ).alias(_DIFFS),
-        ))
-
-    indexed = F.transform(raw, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
-    return let(F.filter(indexed, lambda e: e["v"].isNotNull()), struct_of)
+    scalars: dict[str, Column]
+    sums: dict[str, Column]
+    stats: dict[str, Column]
 
 
 def series_table(windows: DataFrame, features: list[str]) -> DataFrame:
-    """One row per sample and feature with the prepared arrays of its series.
-
-    The arrays are made before the explode, so later statistics read stored columns.
-    """
+    """One row per sample and feature: the steps, the present values and their step numbers."""
     others = [c for c in windows.columns if c != MATRIX]
 
     def column(position: int) -> Column:
         return F.transform(MATRIX, lambda row: F.get(row, F.lit(position)))
 
-    raw = F.array(*[F.struct(F.lit(f).alias(FEATURE), column(j).alias("raw")) for j, f in enumerate(features)])
-    prepared = F.transform(raw, lambda e: F.struct(e[FEATURE].alias(FEATURE), _prepared(e["raw"]).alias("p")))
-    return windows.select(*others, F.explode(prepared).alias("_f")).select(*others, f"_f.{FEATURE}", "_f.p.*")
-
-
-def _count_where(array: Column, condition) -> Column:
-    return F.size(F.filter(array, condition))
+    series = F.array(*[F.struct(F.lit(f).alias(FEATURE), column(j).alias("raw")) for j, f in enumerate(features)])
+    table = windows.select(*others, F.explode(series).alias("_f")).select(*others, f"_f.{FEATURE}", F.col("_f.raw").alias(_RAW))
+    numbers = F.sequence(F.lit(0), F.size(_RAW) - 1)
+    return (
+        table.withColumn(_S, F.array_compact(_RAW))
+        .withColumn(_STEPS, F.filter(numbers, lambda i: F.get(F.col(_RAW), i).isNotNull()))
+        .withColumn(_N, F.size(_S))
+        .withColumn(_TOTAL, total(F.col(_S)))
+        .withColumn(_MEAN, F.when(F.col(_N) > 0, F.col(_TOTAL) / F.col(_N)))
+        .withColumn(_MID, F.when(F.col(_N) > 0, total(F.col(_STEPS)) / F.col(_N)))
+        .withColumn(_ORDERED, F.sort_array(_S))
+    )
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom != 0, top / bottom)
 
 
-def _central(power: int) -> Column:
-    """Mean of the centred values to a power."""
-    def term(v: Column) -> Column:
-        d = v - F.col(_MEAN)
-        out = d
-        for _ in range(power - 1):
-            out = out * d
-        return out
-
-    return _ratio(total(F.transform(_S, term)), F.col(_N))
-
-
-def basic_stats() -> dict[str, Column]:
-    s, n, ordered = F.col(_S), F.col(_N), F.col(_ORDERED)
-    m2, m3, m4, energy = F.col("_m2"), F.col("_m3"), F.col("_m4"), F.col("_energy")
-    return {
-        "_m2": _central(2),
-        "_m3": _central(3),
-        "_m4": _central(4),
-        "_energy": total(F.transform(s, lambda v: v * v)),
-        "count": n,
-        "sum": F.when(n > 0, total(s)),
-        "mean": F.col(_MEAN),
-        "median": quantile(ordered, 0.5),
-        "min": F.array_min(s),
-        "max": F.array_max(s),
-        "range": F.array_max(s) - F.array_min(s),
-        "stddev_pop": F.sqrt(m2),
-        "var_pop": m2,
-        "rms": F.sqrt(_ratio(energy, n)),
-        "abs_energy": F.when(n > 0, energy),
-        "skew": _ratio(m3, m2 * F.sqrt(m2)),
-        "kurtosis": _ratio(m4, m2 * m2) - 3,
-        "q10": quantile(ordered, 0.1),
-        "q25": quantile(ordered, 0.25),
-        "q75": quantile(ordered, 0.75),
-        "q90": quantile(ordered, 0.9),
-        "missing_share": F.lit(1.0) - n / F.col(_LENGTH),
-    }
-
-
-def change_stats() -> dict[str, Column]:
-    d, s, n = F.col(_DIFFS), F.col(_S), F.col(_N)
-    size = F.size(d)
-    return {
-        "mean_abs_change": _ratio(total(F.transform(d, F.abs)), size),
-        "mean_change": _ratio(F.get(s, n - 1) - F.get(s, F.lit(0)), size),
-        "abs_sum_of_changes": F.when(n > 0, total(F.transform(d, F.abs))),
-        "cid": F.when(n > 0, F.sqrt(total(F.transform(d, lambda v: v * v)))),
-        "zero_crossings": _sign_changes(s, F.lit(0.0)),
-        "mean_crossings": _sign_changes(s, F.col(_MEAN)),
-    }
+def _present(value: Column) -> Column:
+    return F.when(F.col(_N) > 0, value)
+
+
+def _before(lag: int) -> Column:
+    """The present value ``lag`` places earlier."""
+    return F.get(F.col(_S), F.col(_P) - lag)
+
+
+def _off(value: Column) -> Column:
+    return value - F.col(_MEAN)
+
+
+def _count_if(condition: Column) -> Column:
+    return F.count(F.when(condition, 1)).cast("int")
+
+
+def basic_group() -> Group:
+    n, ordered, d = F.col(_N), F.col(_ORDERED), _off(F.col(_V))
+    m2 = _ratio(F.col("_d2"), n)
+    return Group(
+        {
+            "median": quantile(ordered, 0.5),
+            "min": F.get(ordered, F.lit(0)),
+            "max": F.get(ordered, n - 1),
+            "q10": quantile(ordered, 0.1),
+            "q25": quantile(ordered, 0.25),
+            "q75": quantile(ordered, 0.75),
+            "q90": quantile(ordered, 0.9),
+            "missing_share": F.lit(1.0) - n / F.size(_RAW),
+        },
+        {
+            "_d2": F.sum(d * d),
+            "_d3": F.sum(d * d * d),
+            "_d4": F.sum(d * d * d * d),
+            "_energy": F.sum(F.col(_V) * F.col(_V)),
+        },
+        {
+            "count": n,
+            "sum": _present(F.col(_TOTAL)),
+            "mean": F.col(_MEAN),
+            "median": F.col("median"),
+            "min": F.col("min"),
+            "max": F.col("max"),
+            "range": F.col("max") - F.col("min"),
+            "stddev_pop": F.sqrt(m2),
+            "var_pop": m2,
+            "rms": F.sqrt(_ratio(F.col("_energy"), n)),
+            "abs_energy": F.col("_energy"),
+            "skew": _ratio(_ratio(F.col("_d3"), n), m2 * F.sqrt(m2)),
+            "kurtosis": _ratio(_ratio(F.col("_d4"), n), m2 * m2) - 3,
+            **{q: F.col(q) for q in ("q10", "q25", "q75", "q90", "missing_share")},
+        },
+    )
 
 
-def _sign_changes(series: Column, level: Column) -> Column:
-    """Neighbours on different sides of a level (above / not above)."""
-    above = F.transform(series, lambda v: v > level)
-    short = F.greatest(F.size(series) - 1, F.lit(0))
-    changed = F.zip_with(F.slice(above, 2, short), F.slice(above, 1, short), lambda b, a: a != b)
-    return F.size(F.filter(changed, lambda c: c))
+def change_group() -> Group:
+    n, v, mean = F.col(_N), F.col(_V), F.col(_MEAN)
+    change = v - _before(1)
+    return Group(
+        {"_ends": F.get(F.col(_S), n - 1) - F.get(F.col(_S), F.lit(0))},
+        {
+            "_abs": F.sum(F.abs(change)),
+            "_squares": F.sum(change * change),
+            "zero_crossings": _count_if((v > 0) != (_before(1) > 0)),
+            "mean_crossings": _count_if((v > mean) != (_before(1) > mean)),
+        },
+        {
+            "mean_abs_change": _ratio(F.col("_abs"), n - 1),
+            "mean_change": _ratio(F.col("_ends"), n - 1),
+            "abs_sum_of_changes": _present(F.coalesce("_abs", F.lit(0.0))),
+            "cid": _present(F.sqrt(F.coalesce("_squares", F.lit(0.0)))),
+            "zero_crossings": F.col("zero_crossings"),
+            "mean_crossings": F.col("mean_crossings"),
+        },
+    )
 
 
-def location_stats() -> dict[str, Column]:
+def location_group() -> Group:
     """Positions are shares of the series length, counted over the present values."""
-    s, n = F.col(_S), F.col(_N)
-    backwards = F.reverse(s)
-    top, low = F.array_max(s), F.array_min(s)
-    return {
+    s, n, v, mean = F.col(_S), F.col(_N), F.col(_V), F.col(_MEAN)
+    low, top = F.get(F.col(_ORDERED), F.lit(0)), F.get(F.col(_ORDERED), n - 1)
+    scalars = {
         "first": F.get(s, F.lit(0)),
         "last": F.get(s, n - 1),
         "first_location_max": _ratio(F.array_position(s, top) - 1, n),
-        "last_location_max": F.when(n > 0, 1 - (F.array_position(backwards, top) - 1) / n),
+        "last_location_max": _present(1 - (F.array_position(F.reverse(s), top) - 1) / n),
         "first_location_min": _ratio(F.array_position(s, low) - 1, n),
-        "last_location_min": F.when(n > 0, 1 - (F.array_position(backwards, low) - 1) / n),
-        "count_above_mean": _count_where(s, lambda v: v > F.col(_MEAN)),
-        "count_below_mean": _count_where(s, lambda v: v < F.col(_MEAN)),
+        "last_location_min": _present(1 - (F.array_position(F.reverse(s), low) - 1) / n),
     }
+    sums = {"count_above_mean": _count_if(v > mean), "count_below_mean": _count_if(v < mean)}
+    return Group(scalars, sums, {k: F.col(k) for k in (*scalars, *sums)})
 
 
-def trend_stats() -> dict[str, Column]:
+def trend_group() -> Group:
     """Least squares of the values on the step numbers."""
-    s, steps, n, mean = F.col(_S), F.col(_STEPS), F.col(_N), F.col(_MEAN)
-
-    def sums(mid: Column) -> Column:
-        return F.struct(
-            mid.alias("mid"),
-            total(F.transform(steps, lambda x: (x - mid) * (x - mid))).alias("sxx"),
-            total(F.zip_with(steps, s, lambda x, y: (x - mid) * (y - mean))).alias("sxy"),
-            total(F.transform(s, lambda y: (y - mean) * (y - mean))).alias("syy"),
-        )
-
-    fit = F.col("_fit")
-    slope = _ratio(fit["sxy"], fit["sxx"])
-    flat = F.when(fit["sxx"] != 0, F.lit(1.0))
-    return {
-        "_fit": let(_ratio(total(steps), n), sums),
-        "slope": slope,
-        "intercept": mean - slope * fit["mid"],
-        "r2": F.coalesce(_ratio(fit["sxy"] * fit["sxy"], fit["sxx"] * fit["syy"]), flat),
-    }
+    x, y = F.get(F.col(_STEPS), F.col(_P)) - F.col(_MID), _off(F.col(_V))
+    sxx, sxy, syy = F.col("_sxx"), F.col("_sxy"), F.col("_syy")
+    slope = _ratio(sxy, sxx)
+    return Group(
+        {},
+        {"_sxx": F.sum(x * x), "_sxy": F.sum(x * y), "_syy": F.sum(y * y)},
+        {
+            "slope": slope,
+            "intercept": F.col(_MEAN) - slope * F.col(_MID),
+            "r2": F.coalesce(_ratio(sxy * sxy, sxx * syy), F.when(sxx != 0, F.lit(1.0))),
+        },
+    )
 
 
-def autocorr_stats(lags: tuple[int, ...] = (1, 2, 3)) -> dict[str, Column]:
+def autocorr_group(lags: tuple[int, ...] = (1, 2, 3)) -> Group:
     """Mean product of centred values a lag apart, over the population variance."""
-    s, n = F.col(_S), F.col(_N)
-    variance = _central(2)
-
-    def at(lag: int) -> Column:
-        short = F.greatest(n - lag, F.lit(0))
-        product = F.zip_with(
-            F.slice(s, 1, short), F.slice(s, lag + 1, short), lambda a, b: (a - F.col(_MEAN)) * (b - F.col(_MEAN))
-        )
-        return F.when(n > lag, _ratio(total(product) / (n - lag), variance))
-
-    return {f"autocorr_{lag}": at(lag) for lag in lags}
+    n, d = F.col(_N), _off(F.col(_V))
+    variance = _ratio(F.col("_var"), n)
+    return Group(
+        {},
+        {"_var": F.sum(d * d), **{f"_lag{k}": F.sum(d * _off(_before(k))) for k in lags}},
+        {f"autocorr_{k}": F.when(n > k, _ratio(F.col(f"_lag{k}") / (n - k), variance)) for k in lags},
+    )
 
 
 def _longest_run(series: Column, holds) -> Column:
@@ -200,44 +194,54 @@ def _longest_run(series: Column, holds) -> Column:
     return F.aggregate(series, start, step, lambda acc: acc["best"])
 
 
-def strike_stats() -> dict[str, Column]:
+def strike_group() -> Group:
     s = F.col(_S)
-    return {
+    scalars = {
         "longest_strike_above_mean": _longest_run(s, lambda v: v > F.col(_MEAN)),
         "longest_strike_below_mean": _longest_run(s, lambda v: v < F.col(_MEAN)),
     }
+    return Group(scalars, {}, {k: F.col(k) for k in scalars})
 
 
 GROUPS = {
-    "basic": basic_stats,
-    "change": change_stats,
-    "location": location_stats,
-    "trend": trend_stats,
-    "autocorr": autocorr_stats,
-    "strike": strike_stats,
+    "basic": basic_group,
+    "change": change_group,
+    "location": location_group,
+    "trend": trend_group,
+    "autocorr": autocorr_group,
+    "strike": strike_group,
 }
 
 
 def extract_features(
-    windows: DataFrame, features: list[str], groups: list[str] | None = None
+    windows: DataFrame, features: list[str], groups: list[str] | None = None, keys: list[str] | None = None
 ) -> DataFrame:
-    """One row per sample and feature with a column per statistic."""
-    others = [c for c in windows.columns if c != MATRIX]
-    table = series_table(windows, features)
-    names = []
-    for group in groups or list(GROUPS):
-        stats = GROUPS[group]()
-        helpers = {k: v for k, v in stats.items() if k.startswith("_")}
-        for name, column in helpers.items():
-            table = table.withColumn(name, column)
-        shown = {k: v for k, v in stats.items() if not k.startswith("_")}
-        table = table.withColumns(shown)
-        names += list(shown)
-    return table.select(*others, FEATURE, *names)
+    """One row per sample and feature with a column per statistic.
+
+    ``keys`` identify a sample (default: the two key columns); other columns but the matrix
+    are dropped.
+    """
+    keys = keys or KEYS
+    chosen = [GROUPS[g]() for g in groups or list(GROUPS)]
+    table = series_table(windows.select(*keys, MATRIX), features)
+    scalars = {k: v for g in chosen for k, v in g.scalars.items()}
+    sums = {k: v for g in chosen for k, v in g.sums.items()}
+    stats = {k: v for g in chosen for k, v in g.stats.items()}
+    table = table.withColumns(scalars) if scalars else table
+    if sums:
+        single = [_N, _TOTAL, _MEAN, _MID, *scalars]
+        exploded = table.select(
+            *keys, FEATURE, *single, _S, _STEPS, F.posexplode_outer(_S).alias(_P, _V)
+        )
+        table = exploded.groupBy(*keys, FEATURE).agg(
+            *[F.first(c).alias(c) for c in single], *[v.alias(k) for k, v in sums.items()]
+        )
+    return table.select(*keys, FEATURE, *[v.alias(k) for k, v in stats.items()])
 
 
 def stat_names(groups: list[str] | None = None) -> list[str]:
-    return [n for g in groups or list(GROUPS) for n in GROUPS[g]() if not n.startswith("_")]
+    """Statistics of the groups, in column order."""
+    return [n for g in groups or list(GROUPS) for n in GROUPS[g]().stats]
 
 
 def long_feature_table(extracted: DataFrame, stats: list[str]) -> DataFrame:
@@ -250,7 +254,7 @@ def long_feature_table(extracted: DataFrame, stats: list[str]) -> DataFrame:
 
 
 def wide_feature_table(table: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
-    """One row per sample, the named features as columns (an array of doubles ``vector`` too)."""
+    """One row per sample, the named features as columns."""
     keys = keys or KEYS
     columns = [F.max(F.when(F.col(NAME) == n, F.col(VALUE))).alias(n) for n in names]
     return table.where(F.col(NAME).isin(names)).groupBy(*keys).agg(*columns)

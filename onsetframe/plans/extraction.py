@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from onsetframe.operators.demographics import demographics_at_dates
 from onsetframe.operators.labels import earliest_positive, label_onset_grid, label_onsets, mark_onsets, spine_of
-from onsetframe.operators.records import clean_events, drop_empty, grid_records, resample, select_features
+from onsetframe.operators.records import (
+    clean_events,
+    grid_records,
+    long_records,
+    pivot_periods,
+    resample,
+    resample_long,
+    select_features,
+)
 from onsetframe.operators.samples import patient_sides
 from onsetframe.operators.windows import own_date_windows, second_source_windows
 from onsetframe.plans.config import (
@@ -145,9 +153,10 @@ def extract_grid(
 ) -> dict[str, DataFrame]:
     """All cells of a grid with every shared stage computed once.
 
-    One scan and one pivot over the union of the analyses give the periods of all categories;
-    one pass gives the onset of all diseases; one explode gives the labels of all prediction
-    windows; windows are cut once per category. Cells of one grid share window, gap and
+    One scan over the union of the analyses gives the sparse period means of all categories,
+    sorted by analysis so that a category reads its part; one pass gives the onset of all
+    diseases; one explode gives the labels of all prediction windows; windows are cut once
+    per category. Cells of one grid share window, gap and
     frequency. Output: ``windows_<category>``, ``labels``, ``ecg``, ``demographics``.
     """
     store = StageStore(tables.spark, root)
@@ -164,12 +173,15 @@ def extract_grid(
     unit, steps = base.backward_window_time_unit, base.backward_window_value
     periods = store.materialize(
         "periods", whole.key(*PERIOD_SETTINGS),
-        lambda: lab_periods(tables.analyses(), union, base.lab_records_frequency, unit), overwrite,
+        lambda: resample_long(
+            long_records(clean_events(tables.analyses(), union), base.lab_records_frequency), unit
+        ).sortWithinPartitions("analysis_id", PATIENT),
+        overwrite,
     )
     out: dict[str, DataFrame] = {}
     for category, ids in categories.items():
         names = [str(i) for i in ids]
-        own = drop_empty(select_features(periods, ids), names)
+        own = pivot_periods(periods, ids, unit)
         key = CohortConfig(ids, [], base.lab_records_frequency, unit, steps).key(*WINDOW_SETTINGS)
         out[f"windows_{category}"] = store.materialize(
             f"windows_{category}", key, lambda own=own, names=names: own_date_windows(own, names, steps), overwrite

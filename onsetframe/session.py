@@ -7,11 +7,13 @@ import os
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings. Skewed join sides are split by adaptive execution also where
-# the split costs one more exchange, so a hot patient never pins one task.
+# the split costs one more exchange, so a hot patient never pins one task. Windows grow
+# their input by the number of steps, so small exchanges are merged less eagerly.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
