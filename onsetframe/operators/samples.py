@@ -194,11 +194,13 @@ def _value_column(df: DataFrame) -> str:
     return MATRIX if MATRIX in df.columns else "vector"
 
 
-def combine_sources(sources: list[DataFrame]) -> DataFrame:
+def combine_sources(sources: list[DataFrame], aligned: bool = False) -> DataFrame:
     """Join sources on the keys and append their features.
 
     All matrices: per step; all vectors: per row; mixed: matrices are flattened first.
-    A key absent from one of the sources fails the job when it is reached.
+    A key absent from one of the sources fails the job when it is reached. Sources that were
+    ``aligned`` to the same keys are joined from the first one, which keeps its partitioning,
+    so none of the combined windows is moved again.
     """
     columns = [_value_column(s) for s in sources]
     ranks = [_rank_of(s, c) for s, c in zip(sources, columns)]
@@ -207,7 +209,7 @@ def combine_sources(sources: list[DataFrame]) -> DataFrame:
     for i, (source, column, rank) in enumerate(zip(sources, columns, ranks)):
         value = F.col(column) if same or rank == 2 else F.flatten(column)
         part = source.select(*KEYS, value.alias(f"_s{i}"))
-        result = part if result is None else result.join(part, KEYS, "full")
+        result = part if result is None else result.join(part, KEYS, "left" if aligned else "full")
     names = [f"_s{i}" for i in range(len(sources))]
     if same and ranks[0] == 3:
         combined = F.col(names[0])

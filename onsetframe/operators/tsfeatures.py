@@ -23,6 +23,7 @@ from onsetframe.operators.windows import MATRIX
 from onsetframe.schemas import KEYS
 
 NAME, FEATURE, VALUE = "name", "feature", "value"
+MAX_BROADCAST_NAMES = 100_000
 
 _RAW, _S, _STEPS, _ORDERED, _TOTAL = "_raw", "_s", "_steps", "_ordered", "_total"
 _MEAN, _N, _MID, _P, _V = "_mean", "_n", "_mid", "_p", "_v"
@@ -260,8 +261,19 @@ def wide_feature_table(table: DataFrame, names: list[str], keys: list[str] | Non
     return table.where(F.col(NAME).isin(names)).groupBy(*keys).agg(*columns)
 
 
-def impute_feature_table(table: DataFrame) -> DataFrame:
-    """NULL -> median, +inf -> maximum, -inf -> minimum of the feature's finite values; 0 if none."""
+def _join_names(table: DataFrame, per_name: DataFrame, names: int | None) -> DataFrame:
+    """Left join of one row per name. A name has one row per sample, so the table is not
+    moved by name when the number of names is known to be small."""
+    small = names is not None and names <= MAX_BROADCAST_NAMES
+    return table.join(F.broadcast(per_name) if small else per_name, NAME, "left")
+
+
+def impute_feature_table(table: DataFrame, names: int | None = None) -> DataFrame:
+    """NULL -> median, +inf -> maximum, -inf -> minimum of the feature's finite values; 0 if none.
+
+    ``names`` is the number of feature names (features x statistics), if the caller knows it:
+    up to ``MAX_BROADCAST_NAMES`` the fill values are broadcast, else Spark picks the join.
+    """
     infinite = F.abs(F.col(VALUE)) == float("inf")
     missing = F.col(VALUE).isNull() | F.isnan(VALUE)
     finite = table.where(~missing & ~infinite)
@@ -275,7 +287,7 @@ def impute_feature_table(table: DataFrame) -> DataFrame:
         .when(F.col(VALUE) == float("-inf"), F.coalesce("_min", zero))
         .otherwise(F.col(VALUE))
     )
-    return table.join(fills, NAME, "left").withColumn(VALUE, value).drop("_median", "_max", "_min")
+    return _join_names(table, fills, names).withColumn(VALUE, value).drop("_median", "_max", "_min")
 
 
 # --- relevance -----------------------------------------------------------------------

@@ -70,7 +70,7 @@ def assemble(
         static = align_to_keys(keys, demographics_matrix(demographics), 1, 2)
         parts.append(extend_timesteps(static, steps))
         width += 2
-    combined = combine_sources(parts)
+    combined = combine_sources(parts, aligned=True)
     spine = split_by_patient(labels_for(keys, labels), test_size, seed)
     return spine.join(combined, KEYS), width
 

@@ -1000,7 +1000,7 @@ FEATURES = (
     f"sqrt({M2}) AS stddev_pop FROM means LEFT JOIN (SELECT * EXCLUDE (m, n, steps) FROM present) "
     "USING (patient_id, observation_date, feature) GROUP BY ALL)",
     "features AS (" + " UNION ALL ".join(
-        f"SELECT patient_id, observation_date, feature || '__{s}' AS name, round({s}, 9) AS value, "
+        f"SELECT patient_id, observation_date, feature || '__{s}' AS name, round({s} + {NUDGE}, 6) AS value, "
         "CASE gender WHEN 'F' THEN 0 ELSE 1 END AS label FROM stats JOIN patients USING (patient_id)"
         for s in FEATURE_STATS
     ) + ")",
@@ -1008,8 +1008,8 @@ FEATURES = (
 
 
 def rounded_features(star: Star) -> DataFrame:
-    """Feature values at 9 digits, so equal values tie in every engine."""
-    return event_features(star, FEATURE_STATS).withColumn("value", F.round("value", 9))
+    """Feature values at 6 digits, so equal values tie in every engine."""
+    return event_features(star, FEATURE_STATS).withColumn("value", F.round(F.col("value") + NUDGE, 6))
 
 
 @query(
@@ -1018,7 +1018,9 @@ def rounded_features(star: Star) -> DataFrame:
 round(coalesce(value, md, 0) + {NUDGE}, 6) AS value FROM features JOIN medians USING (name)"""
 )
 def impute_feature_table(star: Star) -> DataFrame:
-    return shown(tsfeatures.impute_feature_table(rounded_features(star).drop("label")), NUDGE)
+    return shown(tsfeatures.impute_feature_table(
+        rounded_features(star).drop("label"), len(EVENT_IDS) * len(FEATURE_STATS)
+    ), NUDGE)
 
 
 @query(
