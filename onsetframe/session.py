@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings. Skewed join sides are split by adaptive execution also where
 # the split costs one more exchange, so a hot patient never pins one task. Windows grow
@@ -30,16 +30,25 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     """The folder every executor can reach: the cluster's checkpoint directory.
 
-    A fallback is taken only where the session names none (local tests).
+    Where the session names none, as in tests, the given fallback or else a folder in the
+    warehouse, which executors share as well.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    if folder:
-        return folder
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no folder was given")
-    return fallback
+    return folder or fallback or join_path(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The DataFrame, computed once and kept in the shared folder until it is no longer used.
+
+    Later reads survive lost executors. Spark removes the files with the DataFrame if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def join_path(root: str, *parts: str) -> str:
