@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from onsetframe.llm import jaccard, mixing, multi_index, packing, quality_rules, secrets, sharding
+from onsetframe.llm import cotraining, jaccard, lm_scoring, mixing, multi_index, packing, quality_rules, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_packing": packing.op4_packing,
+    "op5_cotraining": cotraining.op5_cotraining,
     "op6_multi_index": multi_index.op6_multi_index,
+    "op7_cross_entropy": lm_scoring.op7_cross_entropy,
     "op8_histogram_sort": sharding.op8_histogram_sort,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
