@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from onsetframe.llm import cotraining, jaccard, lm_scoring, mixing, multi_index, packing, quality_rules, secrets, sharding
+import corpus_pipeline
+from onsetframe.llm import cotraining, jaccard, lm_scoring, mixing, multi_index, packing, quality_rules, secrets, sharding, style_tree
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +14,8 @@ QUERIES = {
     "op6_multi_index": multi_index.op6_multi_index,
     "op7_cross_entropy": lm_scoring.op7_cross_entropy,
     "op8_histogram_sort": sharding.op8_histogram_sort,
+    "op9_site_style_tree": style_tree.op9_site_style_tree,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_mixing": mixing.SQL}

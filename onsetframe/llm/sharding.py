@@ -8,7 +8,7 @@ the group is larger than the tolerance. The rows move once, by shard and a part
 
 Defined results: a null text has 0 bytes and the checksum of the empty text; rows with equal text
 and doc_id stay together; with fewer documents than shards some shards are empty; an empty
-table gives an empty result; further columns are kept.
+table gives an empty result; further columns are kept, but for those named like a new one.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ FIRST_DIGITS, MORE_DIGITS = 3, 2
 TOLERANCE = 0.005
 # parts of a shard, so that no task numbers a whole shard
 PARTS = 64
+PART, PLACE, FIRST = "__part", "__place", "__first_slot"  # names that no column of the documents has
 
 
 def sort_key(text: Column, doc_id: Column) -> Column:
@@ -99,14 +100,14 @@ def assign(rows: DataFrame, bounds: list[str], parts: int = PARTS) -> DataFrame:
     shard = F.lit(0)
     for key in bounds:
         shard = shard + F.when(F.col("sort_key") >= key, 1).otherwise(0)
-    dealt = rows.withColumns({"shard": shard, "part": F.pmod(F.xxhash64("sort_key"), F.lit(parts)).cast("int")})
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = dealt.groupBy("shard", "part").count().select(
-        "shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first_slot")
+    dealt = rows.withColumns({"shard": shard, PART: F.pmod(F.xxhash64("sort_key"), F.lit(parts)).cast("int")})
+    before = Window.partitionBy("shard").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.groupBy("shard", PART).count().select(
+        "shard", PART, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(FIRST)
     )
-    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("sort_key"))
-    numbered = dealt.withColumn("place", place).join(F.broadcast(first), ["shard", "part"])  # shards x parts rows
-    return numbered.withColumn("slot", F.col("first_slot") + F.col("place") - 1).drop("part", "place", "first_slot")
+    place = F.row_number().over(Window.partitionBy("shard", PART).orderBy("sort_key"))
+    numbered = dealt.withColumn(PLACE, place).join(F.broadcast(first), ["shard", PART])  # shards x parts rows
+    return numbered.withColumn("slot", F.col(FIRST) + F.col(PLACE) - 1).drop(PART, PLACE, FIRST)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
