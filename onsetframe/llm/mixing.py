@@ -5,7 +5,7 @@ by source and hash bucket; the bucket in which the running sum crosses the budge
 with the next digits of the hash, and all others are decided already. What remains is a filter
 ``hash < threshold`` per source: nothing is sorted, and a larger budget takes a superset.
 
-Defined results: a null or empty text has size 0 and takes nothing; a null source is a source of
+Defined results: a null or empty text has size 0 and gives no words; a null source is a source of
 its own, the last one; rows that share a doc_id (a null one too) share their fate; an empty table
 gives an empty result; further columns are ignored.
 """
@@ -95,7 +95,7 @@ def thresholds(thin: DataFrame, targets: DataFrame) -> DataFrame:
         )
         length = digits
     # the last bucket holds one hash: it is taken if that comes nearer to the budget
-    with_last = F.col("below") + F.col("last") - F.col("rest") <= F.col("rest") - F.col("below")
+    with_last = (F.col("rest") > 0) & (F.col("below") + F.col("last") - F.col("rest") <= F.col("rest") - F.col("below"))
     return state.select(
         "source", "source_size", "target", "whole", F.col("prefix").alias("threshold"), with_last.alias("with_last")
     )
