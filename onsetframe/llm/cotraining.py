@@ -109,15 +109,17 @@ VIEWS = ("text_view", "meta_view")
 def cotrained_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, text_score, meta_score, score, kept`` of every document."""
     hasher = FeatureHasher(inputCols=["source", "lang", "size_class"], outputCol="meta_view", numFeatures=METADATA_SIZE)
-    seen = views(docs)
-    thin = checkpointed(seen)
-    ready = hasher.transform(thin).withColumn("text_view", array_to_vector("content")).select("doc_id", *VIEWS)
-    truth = labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("double").alias("label")).distinct()
-    labelled = checkpointed(ready.join(truth, "doc_id").withColumn("weight", F.lit(1.0)))
+    # one row per labelled document; labels grow with the corpus, so they are merged at every size
+    truth = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.array_sort(F.collect_set(F.col("quality").cast("double"))).alias("labels")
+    ).hint("merge")
+    thin = checkpointed(views(docs).join(truth, "doc_id", "left"))
+    vectors = hasher.transform(thin).withColumn("text_view", array_to_vector("content"))
+    ready, unlabelled = vectors.select("doc_id", *VIEWS), vectors.where("labels IS NULL").select(*VIEWS)
+    labelled = vectors.select("doc_id", *VIEWS, F.explode("labels").alias("label"), F.lit(1.0).alias("weight"))
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_SHARE)) == 0
     fit_rows, held = labelled.where(~held_out), labelled.where(held_out)
     models = {v: _fit(fit_rows.select(v, "label", "weight"), v) for v in VIEWS}
-    unlabelled = ready.join(truth.select("doc_id").distinct(), "doc_id", "left_anti")
     for _ in range(rounds):
         if None in models.values():
             break
