@@ -6,8 +6,8 @@ centroids), by a heap over pairs, until the cells hold enough entries. How many
 a bounded set of queries is answered by brute force over all rows, and the budget is what reaches
 ``RECALL`` of their neighbours. Visited entries are ranked by the exact inner product.
 
-Entries and queries meet in blocks: by first centroid, a part of its entries and a part of the queries,
-so no crowded cell and no number of queries makes a task large. Bounded on the driver: the codebooks and
+Entries and queries meet in blocks: some first centroids, or a part of the entries of a crowded one, and
+a part of the queries, so no crowded cell and no number of queries makes a task large. Bounded on the driver: the codebooks and
 their sample, one count per cell, the calibration queries and their neighbours.
 
 Defined results: vectors that are null, zero, of another than the commonest length, or with null
@@ -34,10 +34,12 @@ RECALL = 0.96
 FIT_VECTORS = 16_384
 CALIBRATION_QUERIES = 96
 MOST_CENTROIDS = 256
+LEAST_VISITED = 1024
 ROUNDS = 12
 ENTRY_BLOCK, QUERY_BLOCK = 4096, 1024
 # products within this of the last place are ranked by the exact sum
 SLACK = 1e-9
+FOUND = ["query_id", "vec_id", "score"]
 
 
 @dataclass
@@ -66,14 +68,24 @@ class Index:
             if j == 0 and i + 1 < len(a):
                 heappush(heap, (d[i + 1] + e[0], i + 1, 0))
 
-    def visited(self, q: np.ndarray) -> dict[int, list[int]]:
-        """Cells to visit, by first centroid; empty cells are left out."""
+    def blocks(self, size: int) -> tuple[list[int], list[int]]:
+        """Block of each first centroid, neighbours sharing one up to ``size`` entries; parts of each block."""
+        of, held = [], []
+        for n in self.counts.sum(axis=1).tolist():
+            if not held or held[-1] + n > size:
+                held.append(0)
+            held[-1] += n
+            of.append(len(held) - 1)
+        return of, [max(1, -(-n // size)) for n in held]
+
+    def visited(self, q: np.ndarray, block_of: list[int]) -> dict[int, list[int]]:
+        """Numbers of the cells to visit, by block; empty cells are left out."""
         out: dict[int, list[int]] = {}
-        seen = 0
+        seen, width = 0, len(self.second)
         for i, j in self.traversal(q):
             here = int(self.counts[i, j])
             if here:
-                out.setdefault(i, []).append(j)
+                out.setdefault(block_of[i], []).append(i * width + j)
                 seen += here
                 if seen >= self.visit:
                     break
@@ -163,13 +175,16 @@ def best(scores: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, top:
 
 
 def _few_copies(ids: np.ndarray, x: np.ndarray, top: int) -> np.ndarray:
-    """Positions without those copies of a vector that ``top`` others with smaller ids precede anyway."""
-    order = np.argsort(ids, kind="stable")
-    _, of = np.unique(np.ascontiguousarray(x[order]).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True)
-    by = np.argsort(of, kind="stable")
-    starts = np.r_[0, np.flatnonzero(np.diff(of[by])) + 1]
+    """Positions without repeated rows, and without those copies of a vector that ``top`` others with
+    smaller ids precede anyway."""
+    rows = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel()
+    _, of = np.unique(rows, return_inverse=True)
+    by = np.lexsort((ids, of))
+    new_vector = np.r_[True, of[by][1:] != of[by][:-1]]
+    by = by[new_vector | np.r_[True, ids[by][1:] != ids[by][:-1]]]
+    starts = np.flatnonzero(np.r_[True, of[by][1:] != of[by][:-1]])
     nth = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
-    return order[by[nth <= top]]
+    return by[nth <= top]
 
 
 def calibrated(entries: DataFrame, index: Index, queries: DataFrame, top: int, recall: float) -> int:
@@ -213,73 +228,76 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, recall: float
     if built is None:
         return vectors.sparkSession.createDataFrame([], schema)
     entries, index = built
-    index.visit = max(calibrated(entries, index, queries, top, recall), 4 * top)
+    index.visit = max(calibrated(entries, index, queries, top, recall), LEAST_VISITED, 2 * top)
     asked = queries.count()
     query_parts = -(-asked // QUERY_BLOCK) or 1
-    parts = [max(1, -(-int(n) // ENTRY_BLOCK)) for n in index.counts.sum(axis=1)]
-    parts_of = F.array(*[F.lit(p) for p in parts])
+    block_of, parts = index.blocks(ENTRY_BLOCK)
+    width = len(index.second)
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 rows = [
-                    (i, c1, c2) for i, v in enumerate(matrix(part.column("embedding"))) for c1, c2 in index.visited(v).items()
+                    (i, block, cells)
+                    for i, v in enumerate(matrix(part.column("embedding")))
+                    for block, cells in index.visited(v, block_of).items()
                 ]
-                at, c1, c2 = zip(*rows)
+                at, block, cells = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c).take(pa.array(at)) for c in ("vec_id", "embedding")], pa.array(c1, pa.int32()),
-                     pa.array(c2, pa.list_(pa.int32()))],
-                    ["query_id", "query", "c1", "visit"],
+                    [*[part.column(c).take(pa.array(at)) for c in ("vec_id", "embedding")], pa.array(block, pa.int32()),
+                     pa.array(cells, pa.list_(pa.int32()))],
+                    ["query_id", "query", "block", "visit"],
                 )
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    spread = F.sequence(F.lit(0), F.element_at(parts_of, F.col("c1") + 1) - 1)
+    parts_of = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("block") + 1)
     asking = (
-        queries.mapInArrow(plan, f"query_id long, query {kind}, c1 int, visit array<int>")
-        .withColumn("part", F.explode(spread))
+        queries.mapInArrow(plan, f"query_id long, query {kind}, block int, visit array<int>")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), parts_of - 1)))
         .withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int"))
     )
-    held = entries.withColumn(
-        "part", F.pmod(F.xxhash64("vec_id"), F.element_at(parts_of, F.col("c1") + 1)).cast("int")
-    ).withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    held = (
+        entries.withColumn("block", F.element_at(F.array(*[F.lit(b) for b in block_of]), F.col("c1") + 1))
+        .withColumn("part", F.pmod(F.xxhash64("vec_id"), parts_of).cast("int"))
+        .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    )
 
     def meet(q: pa.Table, e: pa.Table) -> pa.Table:
-        names = ["query_id", "ids", "nearness"]
         ids, x = e.column("vec_id").to_numpy(), matrix(e.column("embedding").combine_chunks())
         asked_ids, asked_q = q.column("query_id").to_numpy(), matrix(q.column("query").combine_chunks())
-        out = [np.empty(0, np.int64)] * len(asked_ids), [np.empty(0)] * len(asked_ids)
-        if len(ids) and len(asked_ids):
-            keep = _few_copies(ids, x, top)
-            ids, x, of = ids[keep], x[keep], e.column("c2").to_numpy()[keep]
-            scores = np.full((len(asked_ids), len(ids)), -np.inf)
-            visits = np.zeros((len(asked_ids), len(index.second)), bool)
-            for i, cells in enumerate(q.column("visit").to_pylist()):
-                visits[i, cells] = True
-            for cell in np.unique(of):
-                who, what = np.flatnonzero(visits[:, cell]), np.flatnonzero(of == cell)
-                if len(who):
-                    scores[np.ix_(who, what)] = asked_q[who] @ x[what].T
-            scores[asked_ids[:, None] == ids[None, :]] = -np.inf
-            pairs = list(best(scores, asked_q, x, ids, top))
-            out = [ids[at] for at, _ in pairs], [exact for _, exact in pairs]
-        offsets = pa.array(np.r_[0, np.cumsum([len(a) for a in out[0]])].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*a, a[0][:0]] if a else [np.empty(0, t)]).astype(t)))
-                 for a, t in zip(out, (np.int64, np.float64))]
-        return pa.table([pa.array(asked_ids, pa.int64()), *lists], names)
-
-    key = ["c1", "part", "query_part"]
-    met = asking.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(
-        meet, "query_id long, ids array<long>, nearness array<double>"
-    )
-    # a query has one list of at most ``top`` for each block it visited
-    far = F.transform(F.arrays_zip("ids", "nearness"), lambda x: F.struct((-x["nearness"] + 0.0).alias("far"), x["ids"].alias("vec_id")))
-    lists = met.where(F.size("ids") > 0).groupBy("query_id").agg(F.flatten(F.collect_list(far)).alias("found"))
-    ranked = lists.select("query_id", F.posexplode(F.slice(F.array_sort(F.array_distinct("found")), 1, top)).alias("at", "one"))
-    return ranked.select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"),
-        (-F.col("one.far") + 0.0).alias("score"),
-    )
+        if not len(ids) or not len(asked_ids):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], FOUND)
+        once = _few_copies(asked_ids, asked_q, len(asked_ids))
+        asked_ids, asked_q, lists = asked_ids[once], asked_q[once], q.column("visit").take(pa.array(once)).to_pylist()
+        keep = _few_copies(ids, x, top)
+        cell = (e.column("c1").to_numpy().astype(np.int64) * width + e.column("c2").to_numpy())[keep]
+        ids, x = ids[keep], x[keep]
+        here, of = np.unique(cell, return_inverse=True)
+        visits = np.zeros((len(asked_ids), len(here)), bool)
+        for i, cells in enumerate(lists):
+            at = np.searchsorted(here, cells)
+            known = at < len(here)
+            at = at[known]
+            visits[i, at[here[at] == np.array(cells)[known]]] = True
+        scores = np.full((len(asked_ids), len(ids)), -np.inf)
+        for c in range(len(here)):
+            who, what = np.flatnonzero(visits[:, c]), np.flatnonzero(of == c)
+            if len(who):
+                scores[np.ix_(who, what)] = asked_q[who] @ x[what].T
+        scores[asked_ids[:, None] == ids[None, :]] = -np.inf
+        pairs = list(best(scores, asked_q, x, ids, top))
+        return pa.table(
+            [pa.array(np.repeat(asked_ids, [len(at) for at, _ in pairs])), pa.array(np.concatenate([ids[at] for at, _ in pairs])),
+             pa.array(np.concatenate([exact for _, exact in pairs]) + 0.0)],
+            FOUND,
+        )
+
+    key = ["block", "part", "query_part"]
+    met = asking.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    # a query has at most ``top`` rows of each block it visited
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_multi_index(spark, sf_dir: str) -> DataFrame:
