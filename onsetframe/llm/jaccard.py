@@ -1,14 +1,16 @@
 """N-gram Jaccard join by prefixes of single tokens and of token combinations.
 
 A document is its set of distinct word shingles (64-bit hashes). Equal sets become one node. Two
-sets at or above the threshold share a token among the first ``n - ceil(t n) + 1`` of either, in hash
-order, so each node posts these. The postings themselves tell the classes of tokens: a rare one (at
-most ``RARE`` nodes) gives its few pairs at once. Nodes with a frequent token in their prefix extend
-the prefix to the whole set and post token combinations: the set is cut by hash into more groups than
-a qualifying pair can have differing tokens, so some non-empty group agrees as a whole, about eight
-tokens at a time. A combination's nodes are first paired with its smallest one only; what these links
-do not join is paired afterwards. A parity bitmap gives a lower bound of the difference and discards
-most pairs; the rest are verified on the whole sets. Links are joined to components by repeated stars.
+sets at or above the threshold share a token among the first ``n - ceil(t n) + 1`` of either, in any
+order common to all. Here tokens with a small hash are posted and counted, which tells their class;
+the order takes rare ones of them first, then those with a larger hash, then frequent ones. So a pair
+shares a rare token, or both sets have too few rare ones for a prefix. Rare tokens (at most ``RARE``
+nodes) give their few pairs at once. Sets of the other kind extend the prefix to the whole set and
+post token combinations: the set is cut by hash into more groups than a qualifying pair can have
+differing tokens, so some non-empty group agrees as a whole, about eight tokens at a time. A
+combination's nodes are first paired with its smallest one only; what these links do not join is
+paired afterwards. A parity bitmap gives a lower bound of the difference and discards most pairs; the
+rest are verified on the whole sets. Links are joined to components by repeated stars.
 
 Defined results: a null or empty text has no shingles and no links; with fewer words than a shingle,
 the whole sequence is one; rows that share a doc_id are one document with regard to links; a null
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from onsetframe.llm.texts import slices, utf8
 from onsetframe.session import checkpointed
 
-RARE = 4
+RARE = 3  # least, greatest and the exclusive or of all name the nodes of a token
 SKETCH_BITS = 2048
 REMEMBERED = 200_000
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -47,6 +49,11 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def small_hash(percent: int) -> int:
+    """Hashes below this are posted: two fifths more tokens than a prefix takes."""
+    return int((1.4 * (100 - percent) / 100 + 0.01) * 2**64)
+
+
 def size_classes(upto: int, percent: int) -> list[int]:
     """Lower bounds of size classes: a larger partner lies in the same class or the next one."""
     bounds = [1]
@@ -113,11 +120,12 @@ def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
     for own in (len(bounds) - 2, len(bounds) - 3):
         if own < 0:
             continue
+        salt = np.array([own], np.uint64)
         smaller = bounds[own] * 100 // percent  # the largest size of the class below
         both = smaller + smaller * 100 // percent
         differ = (100 - percent) * both // (100 + percent)
         groups = differ + 2 + differ // 10
-        of = (mix(tokens + np.uint64(own)) % np.uint64(groups)).astype(np.int64)
+        of = (mix(tokens + salt) % np.uint64(groups)).astype(np.int64)
         content = np.zeros(groups, np.uint64)
         np.add.at(content, of, mix(tokens ^ B))
         filled = np.bincount(of, minlength=groups) > 0
@@ -125,7 +133,7 @@ def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
             posted = np.flatnonzero(filled).astype(np.uint64)
         else:
             posted = np.arange(groups, dtype=np.uint64)
-        out.append(mix(mix(content[posted.astype(np.int64)] + posted * C) + np.uint64(own) * B))
+        out.append(mix(mix(content[posted.astype(np.int64)] + posted * C) + salt * B))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
@@ -136,24 +144,24 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def prefixes(docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """``doc_id, n, fp, prefix`` of every document."""
+def posted_tokens(docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """``doc_id, n, fp, low`` of every document: its tokens with a small hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(length)
+        shingles, most = Shingles(length), np.uint64(small_hash(percent))
         for part in slices(batches):
             sets = [shingles.of(t) for t in utf8(part)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) for s in sets], pa.binary()),
-                    _lists([s[: len(s) - required(len(s), percent) + 1] if len(s) else s for s in sets]),
+                    _lists([s[: np.searchsorted(s, most)] for s in sets]),
                 ],
-                ["doc_id", "n", "fp", "prefix"],
+                ["doc_id", "n", "fp", "low"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, fp binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, fp binary, low array<long>")
 
 
 def whole_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
@@ -248,22 +256,31 @@ def components(links: DataFrame) -> DataFrame:
 
 def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document row."""
-    thin = checkpointed(prefixes(docs, length, percent))
+    thin = checkpointed(posted_tokens(docs, length, percent))
     nodes = checkpointed(
         thin.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
     )
     # one row of each set, found by id as well, so that many copies are no hot key
-    posting = nodes.join(
-        thin.select("fp", F.col("doc_id").alias("node"), "prefix"), ["fp", "node"]
-    ).select("node", F.explode("prefix").alias("token"))
-    classes = posting.groupBy("token").agg(F.count("*").alias("nodes")).where("nodes > 1")
-    shared = checkpointed(posting.join(classes, "token"))
-    rare = (
-        shared.where(F.col("nodes") <= RARE).groupBy("token").agg(F.collect_set("node").alias("of"))
-        .select(F.explode("of").alias("one"), "of").select("one", F.explode("of").alias("other"))
+    ones = nodes.join(thin.withColumnRenamed("doc_id", "node"), ["fp", "node"])
+    posting = ones.select("node", F.explode("low").alias("token"))
+    classes = checkpointed(
+        posting.groupBy("token").agg(
+            F.count("*").alias("nodes"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor("node").alias("all")
+        ).where("nodes > 1")
+    )
+    middle = F.col("all").bitwiseXOR(F.col("first")).bitwiseXOR(F.col("last"))
+    of_token = F.when(F.col("nodes") == 2, F.array(F.struct("first", "last"))).otherwise(
+        F.array(F.struct("first", "last"), F.struct("first", middle.alias("last")), F.struct(middle.alias("first"), "last"))
+    )
+    few = classes.where(F.col("nodes") <= RARE).select(F.explode(of_token).alias("p"))
+    rare = checkpointed(distinct_pairs(F.col("p.first"), F.col("p.last"), few))
+    frequent = posting.join(classes.where(F.col("nodes") > RARE).select("token"), "token").groupBy("node").count()
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    extended = (
+        ones.select("node", prefix.alias("prefix"), F.size("low").alias("low")).join(frequent, "node", "left")
+        .where(F.col("low") - F.coalesce("count", F.lit(0)) < F.col("prefix"))
+        .select("node", F.lit(True).alias("extended"))
     )
-    rare = checkpointed(distinct_pairs(F.col("one"), F.col("other"), rare))
-    extended = shared.where(F.col("nodes") > RARE).select("node", F.lit(True).alias("extended")).distinct()
     paired = rare.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("extended")).distinct()
     wanted = checkpointed(extended.unionByName(paired).groupBy("node").agg(F.max("extended").alias("extended")))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
