@@ -10,7 +10,7 @@ from onsetframe.operators.labels import LABEL
 from onsetframe.operators.samples import Statistic, apply_column_fill, fit_column_fill, impute_windows
 from onsetframe.operators.windows import MATRIX
 from onsetframe.schemas import KEYS
-from onsetframe.sources.stages import cut_lineage
+from onsetframe.session import checkpointed
 
 COPY, TIMES = "copy", "times"
 PICK_CHUNK = 10_000  # picks one task makes from one row
@@ -131,16 +131,15 @@ def oversample(
     seed: int = 0,
     label: str = LABEL,
     keys: list[str] | None = None,
-    root: str | None = None,
 ) -> DataFrame:
     """Repeat samples of smaller classes, drawn with replacement, until the counts are met.
 
     ``"auto"`` fills every class up to the largest; a number fills up to that share of the
-    largest. Originals stay. With a shared folder ``root`` the thin table of multiplicities
-    is written there, so a plan that uses the result twice draws once.
+    largest. Originals stay. The thin table of multiplicities is kept, so a plan that uses the
+    result twice draws once.
     """
     counts = repeat_counts(samples, ratio, seed, label, keys)
-    return repeat_samples(samples, cut_lineage(counts, root) if root else counts, keys)
+    return repeat_samples(samples, checkpointed(counts), keys)
 
 
 # --- chains --------------------------------------------------------------------------
@@ -161,18 +160,16 @@ def prepare_train(
     resampler: float | str | None = "auto",
     scale: bool = True,
     seed: int = 0,
-    root: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Impute, balance, scale the training windows; returns the samples and the scaler.
 
-    ``train`` is used several times and should be a written table; ``root`` is handed to
-    :func:`oversample`.
+    ``train`` is used several times and should be a written table.
     """
     check_matrix(train)
     prepared = impute_windows(train, width, imputer) if imputer is not None else train
     if resampler is not None:
         counts = repeat_counts(train, resampler, seed)  # keys and labels only, imputation is not needed
-        prepared = repeat_samples(prepared, cut_lineage(counts, root) if root else counts)
+        prepared = repeat_samples(prepared, checkpointed(counts))
     scaler = fit_cell_scaler(prepared, width) if scale else None
     return (apply_scaler(prepared, scaler) if scale else prepared), scaler
 

@@ -15,14 +15,22 @@ TRUTH, PREDICTED, SCORE, SCORES = "truth", "predicted", "score", "scores"
 EPS = 2.220446049250313e-16
 
 
+def present(score: Column) -> Column:
+    """The score as a double; a missing one (NULL or NaN) is an error, not a low score."""
+    value = score.cast("double")
+    missing = F.raise_error(F.lit("a prediction has no score")).cast("double")
+    return F.when(value.isNull() | F.isnan(value), missing).otherwise(value)
+
+
 def threshold_class(score: Column, threshold: float = 0.5) -> Column:
     """1 if the score is strictly above the threshold, else 0."""
-    return F.when(score > threshold, 1).otherwise(0)
+    return F.when(present(score) > threshold, 1).otherwise(0)
 
 
 def argmax_class(scores: Column) -> Column:
     """Position of the largest score, the first of equal ones."""
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    checked = F.transform(scores, present)
+    return (F.array_position(checked, F.array_max(checked)) - 1).cast("int")
 
 
 def with_class(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -107,7 +115,7 @@ def log_loss(predictions: DataFrame) -> DataFrame:
         of_truth = F.get(F.col(SCORES), F.col(TRUTH).cast("int"))
     else:
         of_truth = F.when(F.col(TRUTH) == 1, F.col(SCORE)).otherwise(1 - F.col(SCORE))
-    clipped = F.least(F.greatest(of_truth.cast("double"), F.lit(EPS)), F.lit(1 - EPS))
+    clipped = F.least(F.greatest(present(of_truth), F.lit(EPS)), F.lit(1 - EPS))
     return predictions.agg(F.avg(-F.log(clipped)).alias("log_loss"))
 
 
@@ -169,7 +177,7 @@ def auc_of_classes(confusion: DataFrame) -> DataFrame:
 
 def auc_of_scores(predictions: DataFrame) -> DataFrame:
     """One row: area under the curve of scores by midranks, NULL unless the truth has two classes."""
-    counts = predictions.groupBy(F.col(SCORE).cast("double").alias(SCORE)).agg(
+    counts = predictions.groupBy(present(F.col(SCORE)).alias(SCORE)).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col(TRUTH) == 1, 1).otherwise(0)).alias("positives"),
     )

@@ -1,14 +1,14 @@
 """Features of window series, and their selection.
 
-A sample's matrix is turned into one series per feature. Order statistics come from
-native array functions on the series; sums come from its exploded values, which one
-task reduces to one row per series again before the exchange. Missing steps are left
-out of a series; the trend keeps the step numbers.
+A sample's matrix is turned into one series per feature, and all statistics come from
+native array functions on it, so nothing is exchanged and samples with equal keys stay
+apart. Missing steps are left out of a series; the trend keeps the step numbers.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -23,18 +23,17 @@ from onsetframe.operators.windows import MATRIX
 from onsetframe.schemas import KEYS
 
 NAME, FEATURE, VALUE = "name", "feature", "value"
-MAX_BROADCAST_NAMES = 100_000
 
 _RAW, _S, _STEPS, _ORDERED, _TOTAL = "_raw", "_s", "_steps", "_ordered", "_total"
-_MEAN, _N, _MID, _P, _V = "_mean", "_n", "_mid", "_p", "_v"
+_MEAN, _N, _MID = "_mean", "_n", "_mid"
 
 
 @dataclass(frozen=True)
 class Group:
-    """A group of statistics: per-series values, sums over exploded values, final formulas."""
+    """A group of statistics: per-series values, sums of a term (value, place), final formulas."""
 
     scalars: dict[str, Column]
-    sums: dict[str, Column]
+    sums: dict[str, Callable[[Column, Column], Column]]
     stats: dict[str, Column]
 
 
@@ -67,21 +66,32 @@ def _present(value: Column) -> Column:
     return F.when(F.col(_N) > 0, value)
 
 
-def _before(lag: int) -> Column:
-    """The present value ``lag`` places earlier."""
-    return F.get(F.col(_S), F.col(_P) - lag)
+def _before(place: Column, lag: int) -> Column:
+    """The present value ``lag`` places earlier; NULL before the first."""
+    return F.get(F.col(_S), place - lag)
 
 
 def _off(value: Column) -> Column:
     return value - F.col(_MEAN)
 
 
-def _count_if(condition: Column) -> Column:
-    return F.count(F.when(condition, 1)).cast("int")
+def _sum(term: Callable[[Column, Column], Column]) -> Column:
+    """Sum of the terms that are not NULL; NULL without one."""
+    terms = F.array_compact(F.transform(F.col(_S), term))
+    return F.when(F.size(terms) > 0, total(terms))
+
+
+def _count(name: str) -> Column:
+    """A sum of ones as a count."""
+    return F.coalesce(F.col(name), F.lit(0.0)).cast("int")
+
+
+def _one(condition: Column) -> Column:
+    return F.when(condition, 1.0)
 
 
 def basic_group() -> Group:
-    n, ordered, d = F.col(_N), F.col(_ORDERED), _off(F.col(_V))
+    n, ordered = F.col(_N), F.col(_ORDERED)
     m2 = _ratio(F.col("_d2"), n)
     return Group(
         {
@@ -95,10 +105,10 @@ def basic_group() -> Group:
             "missing_share": F.lit(1.0) - n / F.size(_RAW),
         },
         {
-            "_d2": F.sum(d * d),
-            "_d3": F.sum(d * d * d),
-            "_d4": F.sum(d * d * d * d),
-            "_energy": F.sum(F.col(_V) * F.col(_V)),
+            "_d2": lambda v, _: _off(v) * _off(v),
+            "_d3": lambda v, _: _off(v) * _off(v) * _off(v),
+            "_d4": lambda v, _: _off(v) * _off(v) * _off(v) * _off(v),
+            "_energy": lambda v, _: v * v,
         },
         {
             "count": n,
@@ -120,30 +130,29 @@ def basic_group() -> Group:
 
 
 def change_group() -> Group:
-    n, v, mean = F.col(_N), F.col(_V), F.col(_MEAN)
-    change = v - _before(1)
+    n, mean = F.col(_N), F.col(_MEAN)
     return Group(
         {"_ends": F.get(F.col(_S), n - 1) - F.get(F.col(_S), F.lit(0))},
         {
-            "_abs": F.sum(F.abs(change)),
-            "_squares": F.sum(change * change),
-            "zero_crossings": _count_if((v > 0) != (_before(1) > 0)),
-            "mean_crossings": _count_if((v > mean) != (_before(1) > mean)),
+            "_abs": lambda v, p: F.abs(v - _before(p, 1)),
+            "_squares": lambda v, p: (v - _before(p, 1)) * (v - _before(p, 1)),
+            "zero_crossings": lambda v, p: _one((v > 0) != (_before(p, 1) > 0)),
+            "mean_crossings": lambda v, p: _one((v > mean) != (_before(p, 1) > mean)),
         },
         {
             "mean_abs_change": _ratio(F.col("_abs"), n - 1),
             "mean_change": _ratio(F.col("_ends"), n - 1),
             "abs_sum_of_changes": _present(F.coalesce("_abs", F.lit(0.0))),
             "cid": _present(F.sqrt(F.coalesce("_squares", F.lit(0.0)))),
-            "zero_crossings": F.col("zero_crossings"),
-            "mean_crossings": F.col("mean_crossings"),
+            "zero_crossings": _count("zero_crossings"),
+            "mean_crossings": _count("mean_crossings"),
         },
     )
 
 
 def location_group() -> Group:
     """Positions are shares of the series length, counted over the present values."""
-    s, n, v, mean = F.col(_S), F.col(_N), F.col(_V), F.col(_MEAN)
+    s, n, mean = F.col(_S), F.col(_N), F.col(_MEAN)
     low, top = F.get(F.col(_ORDERED), F.lit(0)), F.get(F.col(_ORDERED), n - 1)
     scalars = {
         "first": F.get(s, F.lit(0)),
@@ -153,18 +162,25 @@ def location_group() -> Group:
         "first_location_min": _ratio(F.array_position(s, low) - 1, n),
         "last_location_min": _present(1 - (F.array_position(F.reverse(s), low) - 1) / n),
     }
-    sums = {"count_above_mean": _count_if(v > mean), "count_below_mean": _count_if(v < mean)}
-    return Group(scalars, sums, {k: F.col(k) for k in (*scalars, *sums)})
+    sums = {"count_above_mean": lambda v, _: _one(v > mean), "count_below_mean": lambda v, _: _one(v < mean)}
+    return Group(scalars, sums, {**{k: F.col(k) for k in scalars}, **{k: _count(k) for k in sums}})
+
+
+def _step_off(place: Column) -> Column:
+    return F.get(F.col(_STEPS), place) - F.col(_MID)
 
 
 def trend_group() -> Group:
     """Least squares of the values on the step numbers."""
-    x, y = F.get(F.col(_STEPS), F.col(_P)) - F.col(_MID), _off(F.col(_V))
     sxx, sxy, syy = F.col("_sxx"), F.col("_sxy"), F.col("_syy")
     slope = _ratio(sxy, sxx)
     return Group(
         {},
-        {"_sxx": F.sum(x * x), "_sxy": F.sum(x * y), "_syy": F.sum(y * y)},
+        {
+            "_sxx": lambda _, p: _step_off(p) * _step_off(p),
+            "_sxy": lambda v, p: _step_off(p) * _off(v),
+            "_syy": lambda v, _: _off(v) * _off(v),
+        },
         {
             "slope": slope,
             "intercept": F.col(_MEAN) - slope * F.col(_MID),
@@ -173,13 +189,20 @@ def trend_group() -> Group:
     )
 
 
+def _lagged(lag: int) -> Callable[[Column, Column], Column]:
+    return lambda v, p: _off(v) * _off(_before(p, lag))
+
+
 def autocorr_group(lags: tuple[int, ...] = (1, 2, 3)) -> Group:
     """Mean product of centred values a lag apart, over the population variance."""
-    n, d = F.col(_N), _off(F.col(_V))
+    n = F.col(_N)
     variance = _ratio(F.col("_var"), n)
     return Group(
         {},
-        {"_var": F.sum(d * d), **{f"_lag{k}": F.sum(d * _off(_before(k))) for k in lags}},
+        {
+            "_var": lambda v, _: _off(v) * _off(v),
+            **{f"_lag{k}": _lagged(k) for k in lags},
+        },
         {f"autocorr_{k}": F.when(n > k, _ratio(F.col(f"_lag{k}") / (n - k), variance)) for k in lags},
     )
 
@@ -229,14 +252,7 @@ def extract_features(
     sums = {k: v for g in chosen for k, v in g.sums.items()}
     stats = {k: v for g in chosen for k, v in g.stats.items()}
     table = table.withColumns(scalars) if scalars else table
-    if sums:
-        single = [_N, _TOTAL, _MEAN, _MID, *scalars]
-        exploded = table.select(
-            *keys, FEATURE, *single, _S, _STEPS, F.posexplode_outer(_S).alias(_P, _V)
-        )
-        table = exploded.groupBy(*keys, FEATURE).agg(
-            *[F.first(c).alias(c) for c in single], *[v.alias(k) for k, v in sums.items()]
-        )
+    table = table.withColumns({k: _sum(term) for k, term in sums.items()}) if sums else table
     return table.select(*keys, FEATURE, *[v.alias(k) for k, v in stats.items()])
 
 
@@ -261,19 +277,8 @@ def wide_feature_table(table: DataFrame, names: list[str], keys: list[str] | Non
     return table.where(F.col(NAME).isin(names)).groupBy(*keys).agg(*columns)
 
 
-def _join_names(table: DataFrame, per_name: DataFrame, names: int | None) -> DataFrame:
-    """Left join of one row per name. A name has one row per sample, so the table is not
-    moved by name when the number of names is known to be small."""
-    small = names is not None and names <= MAX_BROADCAST_NAMES
-    return table.join(F.broadcast(per_name) if small else per_name, NAME, "left")
-
-
-def impute_feature_table(table: DataFrame, names: int | None = None) -> DataFrame:
-    """NULL -> median, +inf -> maximum, -inf -> minimum of the feature's finite values; 0 if none.
-
-    ``names`` is the number of feature names (features x statistics), if the caller knows it:
-    up to ``MAX_BROADCAST_NAMES`` the fill values are broadcast, else Spark picks the join.
-    """
+def impute_feature_table(table: DataFrame) -> DataFrame:
+    """NULL -> median, +inf -> maximum, -inf -> minimum of the feature's finite values; 0 if none."""
     infinite = F.abs(F.col(VALUE)) == float("inf")
     missing = F.col(VALUE).isNull() | F.isnan(VALUE)
     finite = table.where(~missing & ~infinite)
@@ -287,7 +292,7 @@ def impute_feature_table(table: DataFrame, names: int | None = None) -> DataFram
         .when(F.col(VALUE) == float("-inf"), F.coalesce("_min", zero))
         .otherwise(F.col(VALUE))
     )
-    return _join_names(table, fills, names).withColumn(VALUE, value).drop("_median", "_max", "_min")
+    return table.join(fills, NAME, "left").withColumn(VALUE, value).drop("_median", "_max", "_min")
 
 
 # --- relevance -----------------------------------------------------------------------
@@ -300,7 +305,7 @@ def rank_sum_test(table: DataFrame, label: str = "label") -> DataFrame:
     correction. Rows are reduced to counts per value first, ranks come from these counts.
     """
     counts = (
-        table.where(F.col(VALUE).isNotNull())
+        table.where(F.col(VALUE).isNotNull() & ~F.isnan(VALUE))  # a missing value has no rank
         .groupBy(NAME, VALUE)
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +35,14 @@ from onsetframe.session import join_path
 from onsetframe.sources.stages import StageStore, is_complete
 from onsetframe.sources.tables import ClinicalTables
 
-LABEL_SETTINGS = ("positive_diagnoses", "gap_days", "prediction_window_days", "backward_window_time_unit")
+ONSET_SETTINGS = ("positive_diagnoses", "gap_days", "prediction_window_days")
+# labels also depend on the dates of the category they were made for
+LABEL_SETTINGS = (*ONSET_SETTINGS, *PERIOD_SETTINGS)
+
+
+def digest(**parts) -> str:
+    """Key of a stage: a digest of everything that it depends on, in the order given."""
+    return hashlib.md5(json.dumps(parts, default=str).encode()).hexdigest()[:16]
 
 
 def stage(
@@ -49,9 +58,12 @@ def stage(
 
 
 def lab_periods(events: DataFrame, ids: list, freq: str, unit: str) -> DataFrame:
-    """Events -> time grid -> calendar periods, in one plan."""
-    names = [str(i) for i in ids]
-    return resample(grid_records(clean_events(events, ids), ids, freq), names, unit)
+    """Events -> time grid -> calendar periods, in one plan.
+
+    The grid stays sparse until the periods are known: an event moves as one value, not as a
+    column for every analysis.
+    """
+    return pivot_periods(resample_long(long_records(clean_events(events, ids), freq), unit), ids, unit)
 
 
 def labelled_windows(
@@ -87,12 +99,15 @@ def extract(
     paths: StagePaths | None = None,
     events: DataFrame | None = None,
     overwrite: bool = False,
+    label_config: CohortConfig | None = None,
 ) -> dict[str, DataFrame]:
     """Lab records, windows and labels; stages with a path are written and reused.
 
-    A finished later stage is read without building the earlier ones. Labels depend on the
-    label settings only, so all categories share the labels of the one that ran first.
+    A finished later stage is read without building the earlier ones. ``label_config`` are the
+    settings of the category whose dates are labelled (default: ``config``), so categories that
+    share labels get the same ones in any order.
     """
+    dated = label_config or config
     spark, paths = tables.spark, paths or StagePaths()
     ids = config.selected_analyses_ids
     if ids is None:
@@ -115,20 +130,31 @@ def extract(
     def filtered() -> DataFrame:
         return at(paths.filtered_lab_records, RECORD_SETTINGS, lambda: select_features(records(), ids))
 
+    def dates() -> DataFrame:
+        if dated == config:
+            return spine_of(windows)
+        source = tables.analyses() if events is None else events
+        periods = lab_periods(
+            source, dated.selected_analyses_ids, dated.lab_records_frequency, dated.backward_window_time_unit
+        )
+        return periods.select(PATIENT, F.col("period_end").alias("observation_date"))
+
     windows = at(
         paths.rolling_lab_records,
         WINDOW_SETTINGS,
         lambda: own_date_windows(resample(filtered(), names, unit), names, config.backward_window_value),
     )
-    labels = at(
+    labels = stage(
+        spark,
         paths.labeled_lab_records,
-        LABEL_SETTINGS,
+        dated.key(*LABEL_SETTINGS),
         lambda: label_onsets(
-            spine_of(windows),
-            earliest_positive(tables.diagnoses(), tables.admissions(), config.positive_diagnoses),
-            config.gap_days,
-            config.prediction_window_days,
+            dates(),
+            earliest_positive(tables.diagnoses(), tables.admissions(), dated.positive_diagnoses),
+            dated.gap_days,
+            dated.prediction_window_days,
         ),
+        overwrite,
     )
     return {"windows": windows, "labels": labels}
 
@@ -159,6 +185,8 @@ def extract_grid(
     per category. Cells of one grid share window, gap and
     frequency. Output: ``windows_<category>``, ``labels``, ``ecg``, ``demographics``.
     """
+    if not cells:
+        raise ValueError("a grid needs at least one cell")
     store = StageStore(tables.spark, root)
     base = cells[0].config
     shared = ("backward_window_time_unit", "backward_window_value", "gap_days", "lab_records_frequency")
@@ -172,7 +200,7 @@ def extract_grid(
                          base.backward_window_value, base.gap_days, 0)
     unit, steps = base.backward_window_time_unit, base.backward_window_value
     periods = store.materialize(
-        "periods", whole.key(*PERIOD_SETTINGS),
+        "periods", digest(settings=whole.key(*PERIOD_SETTINGS), tables=tables.identity()),
         lambda: resample_long(
             long_records(clean_events(tables.analyses(), union), base.lab_records_frequency), unit
         ).sortWithinPartitions("analysis_id", PATIENT),
@@ -182,14 +210,15 @@ def extract_grid(
     for category, ids in categories.items():
         names = [str(i) for i in ids]
         own = pivot_periods(periods, ids, unit)
-        key = CohortConfig(ids, [], base.lab_records_frequency, unit, steps).key(*WINDOW_SETTINGS)
+        settings = CohortConfig(ids, [], base.lab_records_frequency, unit, steps).key(*WINDOW_SETTINGS)
+        key = digest(settings=settings, tables=tables.identity())
         out[f"windows_{category}"] = store.materialize(
             f"windows_{category}", key, lambda own=own, names=names: own_date_windows(own, names, steps), overwrite
         )
-    label_key = CohortConfig(
-        categories[label_category], sorted({c for codes in diseases.values() for c in codes}),
-        base.lab_records_frequency, unit, steps, base.gap_days, sum(horizons),
-    ).key()
+    label_key = digest(
+        diseases=list(diseases.items()), horizons=horizons, category=label_category,
+        ids=categories[label_category], base=base.key(*shared), tables=tables.identity(),
+    )
     out["labels"] = store.materialize(
         "labels", label_key,
         lambda: label_onset_grid(

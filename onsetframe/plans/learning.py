@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from onsetframe.operators.balance import prepare_test, prepare_train
 from onsetframe.operators.demographics import demographics_matrix
-from onsetframe.operators.evaluate import confusion_counts, confusion_matrix, evaluate, report
+from onsetframe.operators.evaluate import confusion_counts, confusion_matrix, evaluate, report, with_class
 from onsetframe.operators.labels import LABEL
 from onsetframe.operators.learn import binary_score, fit_forest, score_forest
 from onsetframe.operators.samples import (
@@ -25,9 +25,10 @@ from onsetframe.operators.samples import (
     sample_keys,
     split_by_patient,
 )
+from onsetframe.plans.extraction import digest
 from onsetframe.schemas import KEYS
-from onsetframe.session import join_path
-from onsetframe.sources.stages import StageStore, cut_lineage, write_metrics
+from onsetframe.session import checkpointed, join_path
+from onsetframe.sources.stages import StageStore, write_metrics
 
 
 @dataclass
@@ -85,23 +86,24 @@ def learn(
     max_depth: int = 10,
     seed: int = 0,
     threshold: float = 0.5,
-    root: str | None = None,
 ) -> Learned:
     """Fit a forest on the training side and judge it on the test side.
 
     Pass samples read from a written table (see :func:`learn_job`): they are used for the
-    scaler, the fit and the test. With a shared folder ``root`` the prepared samples are
-    written before the fit, which reads them many times.
+    scaler, the fit and the test. Prepared samples and predictions are kept, as the fit and
+    the metrics read them many times. With two classes the threshold decides, with more the
+    largest score; all metrics come from that one class.
     """
     train = samples.where(F.col(SPLIT) == TRAIN)
     test = samples.where(F.col(SPLIT) == TEST)
-    prepared, scaler = prepare_train(train, width, imputer, resampler, scale, seed, root)
-    if root is not None:
-        prepared = cut_lineage(prepared, root)
-        if scaler is not None:
-            scaler = cut_lineage(scaler, root)
+    prepared, scaler = prepare_train(train, width, imputer, resampler, scale, seed)
+    prepared = checkpointed(prepared)
+    scaler = checkpointed(scaler) if scaler is not None else None
     model = fit_forest(prepared, trees, seed, max_depth)
-    scored = binary_score(score_forest(model, prepare_test(test, width, imputer, scaler)))
+    scored = score_forest(model, prepare_test(test, width, imputer, scaler))
+    if model.stages[-1].numClasses <= 2:
+        scored = binary_score(scored)
+    scored = checkpointed(with_class(scored, threshold))
     confusion = confusion_counts(scored)
     return Learned(model, scored, evaluate(scored, threshold), report(confusion), confusion_matrix(confusion))
 
@@ -122,10 +124,13 @@ def learn_job(
     the iterative fit starts at a table; model and metrics go to ``output``."""
     width = sum(s.width for s in sources) + (2 if demographics is not None else 0)
     samples = store.materialize(
-        "samples", f"{key}_{seed}_{test_size}",
+        "samples", digest(
+            key=key, seed=seed, test_size=test_size, sources=[(s.name, s.width) for s in sources], steps=steps,
+            demographics=demographics is not None,
+        ),
         lambda: assemble(labels.select(*KEYS, LABEL), sources, steps, demographics, test_size, seed)[0],
     )
-    learned = learn(samples, width, seed=seed, root=store.root, **settings)
+    learned = learn(samples, width, seed=seed, **settings)
     if output is not None:
         learned.model.write().overwrite().save(join_path(output, "model"))
         learned.predictions.write.mode("overwrite").parquet(join_path(output, "predictions"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from onsetframe.schemas import PATIENT
 from onsetframe.session import join_path
 
 BUCKET = "patient_bucket"
+BUCKETS = "patient_buckets"  # their number, a folder level above the buckets
 
 
 def _bucket(patient, buckets: int):
@@ -19,23 +20,32 @@ def _bucket(patient, buckets: int):
 
 
 def write_records(df: DataFrame, path: str, buckets: int = 64, overwrite: bool = False) -> None:
-    """Write a record set, partitioned by a bucket of the patient.
+    """Write a record set, partitioned by a bucket of the patient; the set keeps their number.
 
     The rebalance hint lets adaptive execution split a bucket that holds a hot
     patient over several writers, and merge small ones.
     """
-    keyed = df.withColumn(BUCKET, _bucket(F.col(PATIENT).cast("string"), buckets))
+    keyed = df.withColumns({BUCKETS: F.lit(buckets), BUCKET: _bucket(F.col(PATIENT).cast("string"), buckets)})
     spread = keyed.hint("rebalance", F.col(BUCKET))
-    spread.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(BUCKET).parquet(path)
+    spread.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(BUCKETS, BUCKET).parquet(path)
 
 
-def read_records(spark: SparkSession, path: str, patients: list | None = None, buckets: int = 64) -> DataFrame:
+def bucket_count(df: DataFrame) -> int | None:
+    """The number of buckets a record set was written with; None if it holds no file."""
+    found = {int(m[1]) for f in df.inputFiles() if (m := re.search(rf"/{BUCKETS}=(\d+)/", f))}
+    if len(found) > 1:
+        raise ValueError(f"the record set mixes bucket counts {sorted(found)}")
+    return found.pop() if found else None
+
+
+def read_records(spark: SparkSession, path: str, patients: list | None = None) -> DataFrame:
     """Read a record set; a short patient list prunes to the buckets that hold them."""
     df = spark.read.parquet(path)
-    if patients is not None:
+    buckets = bucket_count(df)
+    if patients is not None and buckets is not None:
         wanted = F.array(*[_bucket(F.lit(str(p)), buckets) for p in patients])
         df = df.where(F.array_contains(wanted, F.col(BUCKET)) & F.col(PATIENT).isin(list(patients)))
-    return df.drop(BUCKET)
+    return df.drop(BUCKET, BUCKETS)
 
 
 def _marker_exists(spark: SparkSession, path: str) -> bool:
@@ -77,17 +87,6 @@ class StageStore:
         return self.spark.read.parquet(path)
 
 
-def cut_lineage(df: DataFrame, root: str, partition_by: list[str] | None = None) -> DataFrame:
-    """The DataFrame written once below the shared folder and read back.
-
-    For plans that use a costly input several times: each use reads only its columns, and
-    a lost executor costs a re-read, not a recomputation.
-    """
-    path = join_path(root, "cut", uuid.uuid4().hex)
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def write_output(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write an output table; an existing one is kept unless ``overwrite``."""
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)

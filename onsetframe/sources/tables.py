@@ -62,6 +62,11 @@ class ClinicalTables:
     def write_config(path: str, root: str = "") -> None:
         Path(path).write_text(json.dumps({"database_root": root}, indent=4, sort_keys=True))
 
+    def identity(self) -> dict:
+        """What the tables are read from, for the keys of written stages."""
+        replaced = {name: sorted(df.inputFiles()) or df.schema.simpleString() for name, df in self._replaced.items()}
+        return {"root": self.root, "replaced": sorted(replaced.items())}
+
     def replace(self, name: str, df: DataFrame) -> ClinicalTables:
         """Serve ``name`` from a DataFrame, e.g. a Parquet sample or converted table."""
         self._replaced[name] = df

@@ -79,7 +79,7 @@ def test_chains(spark, t, tmp_path):
                for i, x in enumerate(train)]
     df = spark.createDataFrame(as_rows, SCHEMA)
     filled = np.array([np.where(np.isnan(x), np.nan_to_num(np.nanmean(x, 0)), x) for x in train])
-    prepared, scaler = bl.prepare_train(df, 2, seed=4, root=str(tmp_path))
+    prepared, scaler = bl.prepare_train(df, 2, seed=4)
     out = prepared.collect()
     assert sum(r.label for r in out) * 2 == len(out) == 18
     raw = np.array([filled[r.patient_id] for r in out])

@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,9 +26,10 @@ from onsetframe.plans.extraction import (
     lab_periods,
     labelled_windows,
 )
-from onsetframe.plans.learning import Source, learn_job
+from onsetframe.plans.learning import Source, learn, learn_job
 from onsetframe.sources.stages import (
     StageStore,
+    bucket_count,
     read_records,
     write_metrics,
     write_output,
@@ -102,14 +104,20 @@ def test_code_list(spark, tmp_path):
     assert tuple(read_code_list(spark, str(path)).first()) == ("5856", 8885, "End stage")
 
 
-def test_records_roundtrip_and_guard(tables, tmp_path, rows):
+def test_records_roundtrip_and_guard(tables, tmp_path, rows, spark):
     grid = grid_records(clean_events(tables.analyses(), [50912]), [50912])
     path = str(tmp_path / "records")
     write_records(grid, path, buckets=8)
     assert rows(read_records(tables.spark, path)) == rows(grid)
-    some = read_records(tables.spark, path, [3, 7], buckets=8)
+    some = read_records(tables.spark, path, [3, 7])
     assert rows(some) == rows(grid.where("patient_id in (3, 7)"))
     assert "PartitionFilters: []" not in some._jdf.queryExecution().executedPlan().toString()
+    other = str(tmp_path / "default")
+    write_records(grid, other)  # the reader takes the number of buckets from the set
+    assert rows(read_records(tables.spark, other, [3, 7])) == rows(some)
+    write_records(grid, other + "/more", buckets=5)
+    with pytest.raises(ValueError, match="mixes"):
+        bucket_count(spark.read.option("recursiveFileLookup", "true").parquet(other))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         write_records(grid, path, buckets=8)
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
@@ -171,6 +179,19 @@ def test_grid_matches_single_runs(tables, tmp_path, rows):
     assert len(out["ecg"].first().matrix) == 3 and len(out["ecg"].first().matrix[0]) == 9
 
 
+def test_grid_keys_name_all_they_depend_on(tables, tmp_path, rows):
+    def labels(diseases, windows):
+        cells = config_grid({"a": [50912]}, diseases, windows, 3, 30)
+        return rows(extract_grid(tables, cells, str(tmp_path), "a")["labels"])
+
+    first = labels({"x": ["5856"], "y": ["25000"]}, {"p": 90, "q": 365})
+    swapped = labels({"x": ["25000"], "y": ["5856"]}, {"p": 90, "q": 365})
+    one = labels({"x": ["5856"], "y": ["25000"]}, {"p": 455})
+    assert first != swapped and len(one) != len(first)
+    with pytest.raises(ValueError):
+        extract_grid(tables, [], str(tmp_path), "a")
+
+
 def test_config_files(tmp_path):
     cells = config_grid({**ANALYSIS_CATEGORIES, "top": COMMON_ANALYSES})
     assert len(cells) == 136
@@ -202,7 +223,11 @@ def test_command_line(tables, hospital, tmp_path, spark):
     paths = StagePaths.from_json(find_configs(str(tmp_path / "configs"))[0][1])
     assert spark.read.parquet(paths.rolling_ecg_records).count() == spark.read.parquet(paths.demographics_records).count()
     cli.main(["records", "--dataset", dataset, "--output", str(tmp_path / "records")])
-    assert {"50912", "51221", "99999"} <= set(read_records(spark, str(tmp_path / "records")).columns)
+    records = read_records(spark, str(tmp_path / "records"))
+    assert {50912, 51221, 99999} <= {int(r[0]) for r in records.select("analysis_id").distinct().collect()}
+    learned = str(tmp_path / "learned")
+    cli.main(["learn", *common, "--output", learned, "--trees", "3", "--max-depth", "3"])
+    assert len(list((tmp_path / "learned").glob("*/metrics"))) == 2
 
 
 def test_learn_job(tables, tmp_path, spark):
@@ -221,13 +246,31 @@ def test_learn_job(tables, tmp_path, spark):
     )
     metrics = {r.metric: r.value for r in spark.read.json(out + "/metrics").collect()}
     assert 0 <= metrics["accuracy"] <= 1 and metrics["roc_auc_scores"] > 0.5
-    samples = spark.read.parquet(store.path("samples", "k_1_0.3"))
+    samples = spark.read.parquet(str(next((tmp_path / "stages" / "samples").iterdir())))
     assert samples.where("split = 'test'").select("patient_id").distinct().count() == 12
     assert {len(r.matrix[0]) for r in samples.limit(20).collect()} == {13}
     assert learned.predictions.count() == samples.where("split = 'test'").count()
     assert spark.read.json(out + "/confusion").count() == 4
 
 
+def test_one_class_for_all_metrics(spark):
+    """Several classes by the largest score, two by the threshold, in every metric alike."""
+    rng = random.Random(1)
+    many = [(i, float(i % 3), "test" if i % 4 == 0 else "train", [[i % 3 + rng.random() / 2, rng.random()]]) for i in range(240)]
+    schema = "patient_id int, label double, split string, matrix array<array<double>>"
+    df = spark.createDataFrame(many, schema).withColumn("observation_date", F.lit("2020-01-01").cast("date"))
+    learned = learn(df, 2, trees=5, max_depth=3)
+    metrics = {r.metric: r.value for r in learned.metrics.collect()}
+    hits = sum(r.n for r in learned.confusion.collect() if r.truth == r.predicted)
+    assert metrics["accuracy"] > 0.95 and metrics["accuracy"] == hits / 60
+    two = df.withColumn("label", (F.col("label") > 0).cast("double"))
+    for threshold in (0.3, 0.9):
+        learned = learn(two, 2, trees=5, max_depth=2, threshold=threshold)
+        value = {r.metric: r.value for r in learned.metrics.collect()}["accuracy"]
+        assert value == next(r.precision for r in learned.report.collect() if r["class"] == "accuracy")
+        assert value == sum(r.n for r in learned.confusion.collect() if r.truth == r.predicted) / 60
+
+
 def test_forest_probabilities_and_latent(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("vector")

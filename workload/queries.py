@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from onsetframe.functions.arrays import total
 from onsetframe.functions.periods import UNITS, period_end
 from onsetframe.operators import balance, demographics, discovery, evaluate, labels, learn, samples, tsfeatures, windows
 from onsetframe.operators.records import (
@@ -18,11 +18,12 @@ from onsetframe.operators.records import (
     resample,
     select_features,
 )
+from onsetframe.plans.extraction import lab_periods as lab_periods_plan
 from onsetframe.plans.extraction import labelled_windows as labelled_windows_plan
 from onsetframe.plans.config import CohortConfig
-from onsetframe.session import join_path, shared_folder, tune
+from onsetframe.session import checkpointed, join_path, shared_folder, tune
 from onsetframe.sources.tables import rename_columns
-from onsetframe.sources.stages import cut_lineage, read_records, write_records
+from onsetframe.sources.stages import read_records, write_records
 from workload import sqltext as q
 from workload.adapters import DISEASES, EVENT_IDS, LAB_FEATURES, LAB_IDS, POSITIVE, SIGNALS, Star
 from workload.shapes import cell, coded, matrix_text, shown, vector_text
@@ -50,21 +51,15 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-def scratch(spark: SparkSession) -> str:
-    """Shared folder of the cluster; a temporary one only in a local session without it."""
-    local = spark.sparkContext.master.startswith("local")
-    return shared_folder(spark, tempfile.mkdtemp(prefix="onsetframe-") if local else None)
-
-
 # --- shared plans --------------------------------------------------------------------
 
 
 def lab_periods(star: Star, unit: str = "month") -> DataFrame:
-    return resample(grid_records(clean_events(star.analyses(), LAB_IDS), LAB_IDS), LAB_FEATURES, unit)
+    return lab_periods_plan(star.analyses(), LAB_IDS, "h", unit)
 
 
 def event_periods(star: Star, unit: str = "day") -> DataFrame:
-    return resample(grid_records(clean_events(star.events(), EVENT_IDS), EVENT_IDS), EVENT_IDS, unit)
+    return lab_periods_plan(star.events(), EVENT_IDS, "h", unit)
 
 
 def lab_windows(star: Star, steps: int = LAB_STEPS) -> DataFrame:
@@ -100,7 +95,7 @@ def lab_samples(star: Star, steps: int = LAB_STEPS, split: tuple | None = None)
 def written_samples(star: Star) -> DataFrame:
     """The labelled windows with their side of the split as a written stage, for queries that
     use them several times."""
-    return cut_lineage(lab_samples(star, split=(0.2, SEED)), scratch(star.spark), ["split"])
+    return checkpointed(lab_samples(star, split=(0.2, SEED)))
 
 
 LAB_GRID = (q.ANALYSES, q.grid("analyses", LAB_IDS))
@@ -147,7 +142,7 @@ def scan_project(star: Star) -> DataFrame:
     + ", ".join(f"round({n}, 6) AS {n}" for n in q.EVT) + " FROM grid"
 )
 def records_roundtrip(star: Star) -> DataFrame:
-    path = join_path(scratch(star.spark), "records", uuid.uuid4().hex)
+    path = join_path(shared_folder(star.spark), "records", uuid.uuid4().hex)
     write_records(grid_records(clean_events(star.events(), EVENT_IDS), EVENT_IDS), path)
     return shown(read_records(star.spark, path))
 
@@ -807,7 +802,7 @@ COPY_COLUMNS = f"patient_id, {q.date_text('observation_date')} AS observation_da
     q.with_(*LAB_LABELS, *_oversample_sql("labels_cte", "most - rows_")) + f"SELECT {COPY_COLUMNS} FROM copies"
 )
 def oversample_auto(star: Star) -> DataFrame:
-    return shown(balance.oversample(cut_lineage(lab_labels(star), scratch(star.spark)), "auto", SEED))
+    return shown(balance.oversample(checkpointed(lab_labels(star)), "auto", SEED))
 
 
 @query(
@@ -818,7 +813,7 @@ def oversample_auto(star: Star) -> DataFrame:
     + f"SELECT {COPY_COLUMNS} FROM copies"
 )
 def oversample_ratio(star: Star) -> DataFrame:
-    return shown(balance.oversample(cut_lineage(lab_labels(star), scratch(star.spark)), 0.5, SEED))
+    return shown(balance.oversample(checkpointed(lab_labels(star)), 0.5, SEED))
 
 
 TRAIN_SIDE = (
@@ -845,7 +840,7 @@ def raw_sides(star: Star) -> tuple[DataFrame, DataFrame]:
 )
 def prep_train(star: Star) -> DataFrame:
     train, _ = raw_sides(star)
-    prepared, _scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED, root=scratch(star.spark))
+    prepared, _scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED)
     return _scaled_output(prepared, "label", "copy")
 
 
@@ -859,7 +854,7 @@ def prep_train(star: Star) -> DataFrame:
 )
 def prep_test(star: Star) -> DataFrame:
     train, test = raw_sides(star)
-    _, scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED, root=scratch(star.spark))
+    _, scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED)
     return _scaled_output(balance.prepare_test(test, len(LAB_IDS), scaler=scaler), "label")
 
 
@@ -1018,9 +1013,7 @@ def rounded_features(star: Star) -> DataFrame:
 round(coalesce(value, md, 0) + {NUDGE}, 6) AS value FROM features JOIN medians USING (name)"""
 )
 def impute_feature_table(star: Star) -> DataFrame:
-    return shown(tsfeatures.impute_feature_table(
-        rounded_features(star).drop("label"), len(EVENT_IDS) * len(FEATURE_STATS)
-    ), NUDGE)
+    return shown(tsfeatures.impute_feature_table(rounded_features(star).drop("label")), NUDGE)
 
 
 @query(
@@ -1061,8 +1054,8 @@ def latent_pca(star: Star) -> DataFrame:
 @query()
 def rf_train_score(star: Star) -> DataFrame:
     train, test = raw_sides(star)
-    prepared, scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED, root=scratch(star.spark))
-    prepared, scaler = cut_lineage(prepared, scratch(star.spark)), cut_lineage(scaler, scratch(star.spark))
+    prepared, scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED)
+    prepared, scaler = checkpointed(prepared), checkpointed(scaler)
     model = learn.fit_forest(prepared, trees=10, seed=SEED, max_depth=5)
     scored = learn.score_forest(model, balance.prepare_test(test, len(LAB_IDS), scaler=scaler))
     return shown(learn.binary_score(scored).drop("split"))
@@ -1078,16 +1071,23 @@ def binary_predictions(star: Star) -> DataFrame:
 
 
 def vector_predictions(star: Star) -> DataFrame:
-    """Ten classes, the first ten vector entries as scores."""
-    return star.read("embeddings").select(
-        "vec_id", F.col("label").alias("truth"), F.slice("embedding", 1, 10).cast("array<double>").alias("scores")
-    )
+    """Ten classes; the score of class c is the sum of all vector entries i with i mod 10 = c."""
+    entries = F.col("embedding").cast("array<double>")
+
+    def score(c: int):
+        return total(F.filter(entries, lambda _, i: i % CLASSES == c))
+
+    scores = F.array(*[score(c) for c in range(CLASSES)])
+    return star.read("embeddings").select("vec_id", F.col("label").alias("truth"), scores.alias("scores"))
 
 
+CLASSES = 10
 BINARY = """bin AS (SELECT doc_id, quality AS truth, (doc_id * 37 % 100) / 100.0 AS score,
   CASE WHEN (doc_id * 37 % 100) / 100.0 > 0.5 THEN 1 ELSE 0 END AS predicted FROM labels)"""
-MULTI = """multi AS (SELECT vec_id, label AS truth,
-  CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS predicted FROM embeddings)"""
+MULTI = f"""scored AS (SELECT vec_id, label AS truth,
+  [{', '.join(f"list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda x, i: (i - 1) % {CLASSES} = {c}))" for c in range(CLASSES))}]
+  AS scores FROM embeddings),
+multi AS (SELECT vec_id, truth, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS predicted FROM scored)"""
 
 
 def _class_ctes(source: str) -> tuple[str, ...]:
