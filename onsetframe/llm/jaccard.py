@@ -19,6 +19,7 @@ doc_id has no component; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,26 +165,44 @@ def posted_tokens(docs: DataFrame, length: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, fp binary, low array<long>")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The checkpointed DataFrame; what its plan shuffled is then of no use and leaves the disks.
+
+    Spark removes shuffle files with the plan that made them, when the driver collects garbage, by
+    itself half an hour apart.
+    """
+    spark = df.sparkSession
+    out = checkpointed(df)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def whole_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """``node, n, tokens, sketch, posts`` of documents given with ``node`` and ``extended``."""
+    """``node, n, packed, sketch, posts`` of documents given with ``node`` and ``extended``.
+
+    ``packed`` is the compressed text: a third of the bytes of its hashes, which are made again to verify.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(length)
         none = np.empty(0, np.uint64)
         for part in slices(batches):
-            sets = [shingles.of(t) for t in utf8(part)]
+            texts = utf8(part)
+            sets = [shingles.of(t) for t in texts]
             extended = part.column("extended").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("node"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets),
+                    part.column("node"), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([zlib.compress(t, 1) for t in texts], pa.binary()),
                     pa.array([sketch(s) for s in sets], pa.binary()),
                     _lists([combinations(s, percent) if e and len(s) else none for s, e in zip(sets, extended)]),
                 ],
-                ["node", "n", "tokens", "sketch", "posts"],
+                ["node", "n", "packed", "sketch", "posts"],
             )
 
     return docs.select("node", "text", "extended").mapInArrow(
-        run, "node long, n long, tokens array<long>, sketch binary, posts array<long>"
+        run, "node long, n long, packed binary, sketch binary, posts array<long>"
     )
 
 
@@ -191,16 +210,16 @@ def distinct_pairs(one: Column, other: Column, rows: DataFrame) -> DataFrame:
     return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).where("a < b").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, length: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that reach the threshold."""
     thin = sets.select("node", "n", "sketch")
     sized = pairs.join(thin.toDF("a", "n_a", "sketch_a"), "a").join(thin.toDF("b", "n_b", "sketch_b"), "b")
     near = sized.where(
         (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     ).mapInArrow(lambda batches: (_near(b, percent) for b in batches), "a long, b long")
-    tokens = sets.select("node", "tokens")
-    both = near.join(tokens.toDF("a", "tokens_a"), "a").join(tokens.toDF("b", "tokens_b"), "b")
-    return both.mapInArrow(lambda batches: (_linked(b, percent) for b in slices(batches)), "a long, b long")
+    packed = sets.select("node", "packed")
+    both = near.join(packed.toDF("a", "packed_a"), "a").join(packed.toDF("b", "packed_b"), "b")
+    return both.mapInArrow(lambda batches: _linked(batches, length, percent), "a long, b long")
 
 
 def _near(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
@@ -213,14 +232,20 @@ def _near(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
     return batch.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= (100 - percent) * total))
 
 
-def _linked(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+def _linked(batches: Iterator[pa.RecordBatch], length: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose sets have 100 |x & y| >= percent |x | y|."""
-    found = []
-    for one, other in zip(batch.column("tokens_a"), batch.column("tokens_b")):
-        x, y = (v.values.to_numpy(zero_copy_only=False) for v in (one, other))
-        shared = len(np.intersect1d(x, y, assume_unique=True))
-        found.append(100 * shared >= percent * (len(x) + len(y) - shared))
-    return batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+    shingles = Shingles(length)
+    for part in slices(batches):
+        sets: dict[bytes, np.ndarray] = {}  # a text of many pairs is cut into shingles once a slice
+        found = []
+        for one, other in zip(part.column("packed_a").to_pylist(), part.column("packed_b").to_pylist()):
+            for packed in (one, other):
+                if packed not in sets:
+                    sets[packed] = shingles.of(zlib.decompress(packed))
+            x, y = sets[one], sets[other]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            found.append(100 * shared >= percent * (len(x) + len(y) - shared))
+        yield part.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,7 +269,7 @@ def components(links: DataFrame) -> DataFrame:
             .where("a > b")
             .distinct()
         )
-        edges = checkpointed(small)
+        edges = written(small)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -256,14 +281,14 @@ def components(links: DataFrame) -> DataFrame:
 
 def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document row."""
-    thin = checkpointed(posted_tokens(docs, length, percent))
-    nodes = checkpointed(
+    thin = written(posted_tokens(docs, length, percent))
+    nodes = written(
         thin.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
     )
     # one row of each set, found by id as well, so that many copies are no hot key
     ones = nodes.join(thin.withColumnRenamed("doc_id", "node"), ["fp", "node"])
     posting = ones.select("node", F.explode("low").alias("token"))
-    classes = checkpointed(
+    classes = written(
         posting.groupBy("token").agg(
             F.count("*").alias("nodes"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor("node").alias("all")
         ).where("nodes > 1")
@@ -273,7 +298,7 @@ def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -
         F.array(F.struct("first", "last"), F.struct("first", middle.alias("last")), F.struct(middle.alias("first"), "last"))
     )
     few = classes.where(F.col("nodes") <= RARE).select(F.explode(of_token).alias("p"))
-    rare = checkpointed(distinct_pairs(F.col("p.first"), F.col("p.last"), few))
+    rare = written(distinct_pairs(F.col("p.first"), F.col("p.last"), few))
     frequent = posting.join(classes.where(F.col("nodes") > RARE).select("token"), "token").groupBy("node").count()
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     extended = (
@@ -282,25 +307,25 @@ def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -
         .select("node", F.lit(True).alias("extended"))
     )
     paired = rare.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("extended")).distinct()
-    wanted = checkpointed(extended.unionByName(paired).groupBy("node").agg(F.max("extended").alias("extended")))
+    wanted = written(extended.unionByName(paired).groupBy("node").agg(F.max("extended").alias("extended")))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
-    sets = checkpointed(whole_sets(texts, length, percent))
+    sets = written(whole_sets(texts, length, percent))
 
     posts = sets.select("node", F.explode("posts").alias("post"))
     buckets = posts.groupBy("post").agg(F.count("*").alias("nodes"), F.min("node").alias("first")).where("nodes > 1")
-    members = checkpointed(posts.join(buckets, "post"))
+    members = written(posts.join(buckets, "post"))
     stars = distinct_pairs(F.col("node"), F.col("first"), members)
-    tried = checkpointed(rare.unionByName(stars).distinct())
-    links = checkpointed(verified(tried, sets, percent))
+    tried = written(rare.unionByName(stars).distinct())
+    links = written(verified(tried, sets, length, percent))
     joined = components(links)
     # combinations whose nodes are not all joined yet: pairs across components
     placed = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = placed.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_members = checkpointed(placed.join(apart.select("post"), "post").select("post", "node", "component"))
+    open_members = written(placed.join(apart.select("post"), "post").select("post", "node", "component"))
     other = open_members.toDF("post", "other", "other_component")
     across = open_members.join(other, "post").where("component < other_component")
     more = distinct_pairs(F.col("node"), F.col("other"), across).join(tried, ["a", "b"], "left_anti")
-    found = checkpointed(verified(more, sets, percent))
+    found = written(verified(more, sets, length, percent))
     final = components(links.unionByName(found))
 
     of_set = nodes.join(final, "node", "left").select("fp", F.coalesce("component", "node").alias("of_fp"))
