@@ -166,16 +166,13 @@ def posted_tokens(docs: DataFrame, length: int, percent: int) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The checkpointed DataFrame; what its plan shuffled is then of no use and leaves the disks.
+    """The checkpointed DataFrame; what earlier steps shuffled and nobody refers to leaves the disks first.
 
-    Spark removes shuffle files with the plan that made them, when the driver collects garbage, by
-    itself half an hour apart.
+    Spark removes shuffle files and checkpoints with the plans that refer to them, when the driver
+    collects garbage, by itself half an hour apart.
     """
-    spark = df.sparkSession
-    out = checkpointed(df)
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return out
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return checkpointed(df)
 
 
 def whole_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
@@ -194,7 +191,7 @@ def whole_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("node"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([zlib.compress(t, 1) for t in texts], pa.binary()),
+                    pa.array([zlib.compress(t, 6) for t in texts], pa.binary()),
                     pa.array([sketch(s) for s in sets], pa.binary()),
                     _lists([combinations(s, percent) if e and len(s) else none for s, e in zip(sets, extended)]),
                 ],
@@ -308,6 +305,9 @@ def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -
     )
     paired = rare.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("extended")).distinct()
     wanted = written(extended.unionByName(paired).groupBy("node").agg(F.max("extended").alias("extended")))
+    # the posted tokens have done their part; without a reference they leave the shared folder
+    thin = written(thin.select("doc_id", "n", "fp"))
+    del ones, posting, classes, few, frequent, extended, paired
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
     sets = written(whole_sets(texts, length, percent))
 
