@@ -9,8 +9,9 @@ nodes) give their few pairs at once. Sets of the other kind extend the prefix to
 post token combinations: the set is cut by hash into more groups than a qualifying pair can have
 differing tokens, so some non-empty group agrees as a whole, about eight tokens at a time. A
 combination's nodes are first paired with its smallest one only; what these links do not join is
-paired afterwards. A parity bitmap gives a lower bound of the difference and discards most pairs; the
-rest are verified on the whole sets. Links are joined to components by repeated stars.
+paired afterwards, in a crowded combination by where their bitmaps depart from its centre. A parity
+bitmap gives a lower bound of the difference and discards most pairs; the rest are verified on the
+whole sets. Links are joined to components by repeated stars.
 
 Defined results: a null or empty text has no shingles and no links; with fewer words than a shingle,
 the whole sequence is one; rows that share a doc_id are one document with regard to links; a null
@@ -34,6 +35,8 @@ from onsetframe.session import checkpointed
 RARE = 3  # least, greatest and the exclusive or of all name the nodes of a token
 SKETCH_BITS = 2048
 REMEMBERED = 200_000
+CROWDED = 16  # nodes of a combination that are paired without regard to their sketches
+CENTRE = 64
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 U32, U29 = np.uint64(32), np.uint64(29)
 
@@ -245,6 +248,67 @@ def _linked(batches: Iterator[pa.RecordBatch], length: int, percent: int) -> Ite
         yield part.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
+def across_crowded(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(node, other)`` across components of crowded combinations; no link between them is left out.
+
+    What all of a combination's nodes share tells nothing, so each is seen as the cells in which its
+    sketch departs from a centre of the combination. Two sets that differ in at most d tokens have
+    sketches that differ in at most d cells: then their departures have a common cell among the first
+    d + 1 of either, at places that add up to d at most, or no common cell and d cells in all. The
+    first are posted cell by cell, the latter meet in the cell -1.
+
+    The claim holds for any centre. It is the majority of some ``CENTRE`` sketches, as what most nodes
+    share then is no departure.
+    """
+    sketches = sets.select("node", "n", "sketch")
+    some = members.where(F.pmod(F.xxhash64("node"), "nodes") < CENTRE).select("post", "node").join(sketches, "node")
+    centres = some.groupBy("post").agg(F.collect_list("sketch").alias("sketches")).mapInArrow(
+        lambda batches: (_centres(b) for b in batches), "post long, centre binary"
+    )
+    apart = members.join(sketches, "node").join(centres, "post")
+    posted = apart.select("post", "node", "component", "n", "sketch", "centre").mapInArrow(
+        lambda batches: (_departures(b, percent) for b in batches),
+        "post long, node long, component long, size int, most int, cells array<int>",
+    )
+    cells = written(posted.select("post", "node", "component", "size", "most", F.posexplode("cells").alias("place", "cell")).unionByName(
+        posted.where("size <= most").select("post", "node", "component", "size", "most", F.lit(0).alias("place"), F.lit(-1).alias("cell"))
+    ))
+    other = cells.select(
+        "post", "cell", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "size", "most", "place"))
+    )
+    most = F.least("most", "other_most")
+    return cells.join(other, ["post", "cell"]).where(
+        (F.col("component") < F.col("other_component"))
+        & (F.abs(F.col("size") - F.col("other_size")) <= most)
+        & (F.col("place") + F.col("other_place") <= most)
+        & ((F.col("cell") >= 0) | (F.col("size") + F.col("other_size") <= most))
+    ).select("node", F.col("other_node").alias("other"))
+
+
+def _centres(batch: pa.RecordBatch) -> pa.RecordBatch:
+    out = []
+    for many in batch.column("sketches").to_pylist():
+        bits = np.unpackbits(np.frombuffer(b"".join(many), np.uint8).reshape(len(many), -1), axis=1)
+        out.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(many)).tobytes())
+    return pa.RecordBatch.from_arrays([batch.column("post"), pa.array(out, pa.binary())], ["post", "centre"])
+
+
+def _departures(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """Where sketches depart from the centre: number of cells, most differing tokens of a pair, first cells."""
+    sizes, most, cells = [], [], []
+    rows = zip(*(batch.column(c).to_pylist() for c in ("n", "sketch", "centre")))
+    for n, own, centre in rows:
+        differ = (100 - percent) * (n + n * 100 // percent) // (100 + percent)
+        bits = np.unpackbits(np.frombuffer(own, np.uint8) ^ np.frombuffer(centre, np.uint8))
+        at = np.flatnonzero(bits)
+        sizes.append(len(at))
+        most.append(differ)
+        cells.append(at[: differ + 1])
+    arrays = [batch.column(c) for c in ("post", "node", "component")]
+    arrays += [pa.array(sizes, pa.int32()), pa.array(most, pa.int32()), pa.array(cells, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(arrays, ["post", "node", "component", "size", "most", "cells"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) of all nodes with a link.
 
@@ -319,11 +383,16 @@ def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -
     links = written(verified(tried, sets, length, percent))
     joined = components(links)
     # combinations whose nodes are not all joined yet: pairs across components
-    placed = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = placed.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_members = written(placed.join(apart.select("post"), "post").select("post", "node", "component"))
-    other = open_members.toDF("post", "other", "other_component")
-    across = open_members.join(other, "post").where("component < other_component")
+    placed = members.select("post", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = placed.groupBy("post").agg(
+        F.count("*").alias("nodes"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).where("low < high")
+    open_members = written(placed.join(apart.select("post", "nodes"), "post").select("post", "node", "component", "nodes"))
+    few = open_members.where(F.col("nodes") <= CROWDED)
+    other = few.select("post", F.col("node").alias("other"), F.col("component").alias("other_component"))
+    across = few.join(other, "post").where("component < other_component").select("node", "other").unionByName(
+        across_crowded(open_members.where(F.col("nodes") > CROWDED), sets, percent)
+    )
     more = distinct_pairs(F.col("node"), F.col("other"), across).join(tried, ["a", "b"], "left_anti")
     found = written(verified(more, sets, length, percent))
     final = components(links.unionByName(found))
