@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from onsetframe.llm import cotraining, jaccard, lm_scoring, mixing, multi_index, packing, quality_rules, secrets, sharding, style_tree
+from onsetframe.llm import cotraining, jaccard, lm_scoring, mixing, multi_index, packing, phrases, quality_rules, secrets, sharding, style_tree
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_histogram_sort": sharding.op8_histogram_sort,
     "op9_site_style_tree": style_tree.op9_site_style_tree,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+    "op12_phrases": phrases.op12_phrases,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_mixing": mixing.SQL}
+ORACLES = {"op1_mixing": mixing.SQL, "op12_phrases": phrases.SQL}
