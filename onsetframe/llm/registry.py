@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from onsetframe.llm import cotraining, jaccard, lm_scoring, mixing, multi_index, packing, phrases, quality_rules, secrets, sharding, style_tree
+from onsetframe.llm import cotraining, hard_negatives, jaccard, lm_scoring, mixing, multi_index, packing, phrases, quality_rules, secrets, sharding, style_tree
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_site_style_tree": style_tree.op9_site_style_tree,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op12_phrases": phrases.op12_phrases,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_mixing": mixing.SQL, "op12_phrases": phrases.SQL}
+ORACLES = {"op1_mixing": mixing.SQL, "op12_phrases": phrases.SQL, "op13_hard_negatives": hard_negatives.SQL}

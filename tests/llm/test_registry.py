@@ -5,6 +5,7 @@ import corpus_pipeline
 from onsetframe.llm import registry
 
 COLUMNS = {
+    "op13": "anchor_id positive_id rank negative_id positive_score negative_score",
     "op12": "lang rank phrase a l r n score",
     "op1": "doc_id size source_size target taken", "op2": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op3": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
