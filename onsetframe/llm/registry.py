@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from onsetframe.llm import cotraining, hard_negatives, jaccard, lm_scoring, mixing, multi_index, packing, phrases, quality_rules, secrets, sharding, style_tree
+from onsetframe.llm import cotraining, hard_negatives, jaccard, lm_scoring, mixing, multi_index, packing, phrases, quality_rules, secrets, sharding, style_tree, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_histogram_sort": sharding.op8_histogram_sort,
     "op9_site_style_tree": style_tree.op9_site_style_tree,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_phrases": phrases.op12_phrases,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
