@@ -3,14 +3,14 @@
 Every word of a piece starts a suffix: the window of up to five words from it. Windows go to the
 task of their leading words. A task sorts pointers to its windows by multikey three-way quicksort,
 one word deeper for each partition of equal words, down to the fifth: the size of an equal partition
-is the count of the phrase, and a partition lighter than ``LEAST`` is abandoned unsorted. Equal windows of
-a text segment travel once, with their number.
+is the count of the phrase, and a partition lighter than ``LEAST`` is abandoned unsorted. Equal windows
+travel once, with their number.
 
-Which windows travel: a pair of words that occurs less than ``LEAST`` times ends a window, as no
-frequent phrase contains it. Pairs are counted in a table of hashed cells that stop at ``LEAST``; a cell is
-never too low, so the table only saves shuffling. It has one cell for every eight words, at most 2^24 bytes.
+Windows end where no frequent phrase can go on. Two tables of hashed cells say so: one counts words and pairs, the
+other the longer phrases whose pairs are frequent. A cell stops at ``LEAST`` and is never too low, so the tables
+only save shuffling, whatever their size: one cell for every ``BYTES_PER_CELL`` bytes of text, at most 2^26.
 
-Leading words: two, but where more than 1/``CROWDED`` of the windows start with the same two, the third word
+Leading words: one, but where more than 1/``CROWDED`` of the windows start with the same word, the second
 deals them out too, and so on. At most ``CROWDED`` such groups exist; their own counts are sums.
 
 Defined results: a null text is empty, a null lang ``und``; repeated rows count as often as they occur; an
@@ -36,16 +36,17 @@ LEAST = 100
 LONGEST = 5
 FIRST = 2000
 KINDS = byte_kinds(gaps=b" \t", breaks=b".,;:!?\n\x0b\x0c\r")
-WORDS_PER_CELL, FEWEST_CELLS, MOST_CELLS = 8, 1 << 16, 1 << 24
+BYTES_PER_CELL, FEWEST_CELLS, MOST_CELLS = 64, 1 << 16, 1 << 26
 CELL_BLOCK = 1 << 16
 CROWDED = 4096
 FEWEST_CROWDED = 20_000  # windows with the same leading words that one task always takes
 TASK_WINDOWS = 400_000
 RANK_PARTS = 64
+HELD_WINDOWS = 1 << 20  # windows a task holds before equal ones are added up
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
-# --- words and pairs ------------------------------------------------------------------
+# --- tables of cells ------------------------------------------------------------------
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -58,69 +59,75 @@ def _langs(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
     return column.indices.to_numpy(zero_copy_only=False).astype(np.int64), column.dictionary
 
 
-def word_counts(docs: DataFrame, least: int) -> DataFrame:
-    """``lang, phrase, f`` of the frequent words; the row without a word has the lang's number of words."""
+def _lang_hash(langs: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, seed=1) for x in langs.to_pylist()], np.uint64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang_of, langs = _langs(batch)
-            for words in segments(batch, KINDS):
-                width = len(words.distinct)
-                key, n = np.unique(lang_of[words.row] * width + words.ids, return_counts=True)
-                whole = np.bincount(lang_of[words.row], minlength=len(langs))
-                yield pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(np.r_[key // width, np.arange(len(langs))])),
-                     pa.concat_arrays([words.distinct.take(pa.array(key % width)).cast(pa.string()), pa.nulls(len(langs), pa.string())]),
-                     pa.array(np.r_[n, whole].astype(np.int64))],
-                    ["lang", "phrase", "n"],
-                )
 
-    counted = _texts(docs).mapInArrow(count, "lang string, phrase string, n long")
-    summed = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    return summed.where(F.col("phrase").isNull() | (F.col("f") >= least))
+def _word_hashes(words: Words) -> np.ndarray:
+    distinct = np.array([xxhash.xxh64_intdigest(w) for w in words.distinct.to_pylist()], np.uint64)
+    return distinct[words.ids] if len(words.ids) else np.zeros(0, np.uint64)
 
 
-def _pair_cells(words: Words, lang_of: np.ndarray, lang_hash: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each word and the next are in one piece, and the cell of the pair."""
-    mixed = np.array([xxhash.xxh64_intdigest(w) for w in words.distinct.to_pylist()], np.uint64)
-    of = mixed[words.ids]
-    joined = np.zeros(len(of), bool)
-    joined[:-1] = words.piece[:-1] == words.piece[1:]
-    pair = of * _MIX[0] + np.r_[of[1:], np.zeros(1, np.uint64)] * _MIX[1] + lang_hash[lang_of[words.row]]
-    return joined, ((pair ^ (pair >> np.uint64(29))) % np.uint64(cells)).astype(np.int64)
+def _cell(hashes: np.ndarray, cells: int) -> np.ndarray:
+    return ((hashes ^ (hashes >> np.uint64(29))) % np.uint64(cells)).astype(np.int64)
 
 
-def _lang_hash(langs: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(x, seed=1) for x in langs.to_pylist()], np.uint64)
+class Prefixes:
+    """The phrases of one to five words from each word of a segment, as hashes, while they may be frequent."""
+
+    def __init__(self, words: Words, lang_hash: np.ndarray) -> None:
+        self.n = len(words.ids)
+        self.of = _word_hashes(words)
+        self.hash = (self.of + lang_hash) * _MIX[0]
+        self.at = np.arange(self.n)
+        self.room = np.zeros(self.n, np.int64)  # words from here to the end of the piece
+        ends = np.r_[np.flatnonzero(np.diff(words.piece)), self.n - 1] if self.n else self.at
+        self.room = ends[np.searchsorted(ends, self.at)] - self.at + 1 if self.n else self.room
+
+    def longer(self, length: int) -> None:
+        """Go on to phrases of ``length`` words, of those that are left."""
+        fit = self.room[self.at] >= length
+        self.at, self.hash = self.at[fit], self.hash[fit]
+        self.hash = (self.hash ^ self.of[self.at + length - 1]) * _MIX[length % 2] + np.uint64(length)
 
+    def keep(self, which: np.ndarray) -> None:
+        self.at, self.hash = self.at[which], self.hash[which]
 
-def pair_table(docs: DataFrame, cells: int, least: int) -> np.ndarray:
-    """Occurrences of word pairs by hashed cell, up to ``least``."""
+
+def _cell_table(docs: DataFrame, cells: int, least: int, visit: Callable[[Prefixes, Callable[[np.ndarray], None]], None]) -> np.ndarray:
+    """Sums, up to ``least``, of the cells that ``visit`` names for each segment."""
     tops = np.uint8 if least < 256 else np.int64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(cells, tops)
+
+        def seen(cell: np.ndarray) -> None:
+            at, n = np.unique(cell, return_counts=True)
+            table[at] = np.minimum(table[at] + n, least)
+
         for batch in batches:
             lang_of, langs = _langs(batch)
+            hashes = _lang_hash(langs)
             for words in segments(batch, KINDS):
-                joined, cell = _pair_cells(words, lang_of, _lang_hash(langs), cells)
-                at, n = np.unique(cell[joined], return_counts=True)
-                table[at] = np.minimum(table[at] + n, least)
+                visit(Prefixes(words, hashes[lang_of[words.row]]), seen)
         blocks = [(i, table[s : s + CELL_BLOCK]) for i, s in enumerate(range(0, cells, CELL_BLOCK))]
-        blocks = [(i, b.tobytes()) for i, b in blocks if b.any()]
+        blocks = [(i, pa.compress(b.tobytes(), "zstd", asbytes=True)) for i, b in blocks if b.any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([i for i, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], ["block", "cells"]
         )
 
+    size = min(CELL_BLOCK, cells)
+
+    def opened(held: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(held, size * np.dtype(tops).itemsize, "zstd", asbytes=True), tops)
+
     def add(part: pa.Table) -> pa.Table:
-        table = np.zeros(CELL_BLOCK, np.int64)
-        for held in part.column("cells"):
-            found = np.frombuffer(held.as_buffer(), tops)
-            table[: len(found)] += found
-        size = min(CELL_BLOCK, cells)
-        merged = pa.array([np.minimum(table, least).astype(tops)[:size].tobytes()], pa.binary())
-        return pa.table([part.column(c).slice(0, 1) for c in part.column_names if c != "cells"] + [merged],
-                        [c for c in part.column_names if c != "cells"] + ["cells"])
+        table = np.zeros(size, np.int64)
+        for held in part.column("cells").to_pylist():
+            table += opened(held)
+        merged = pa.compress(np.minimum(table, least).astype(tops).tobytes(), "zstd", asbytes=True)
+        others = [c for c in part.column_names if c != "cells"]
+        return pa.table([*[part.column(c).slice(0, 1) for c in others], pa.array([merged], pa.binary())], [*others, "cells"])
 
     counted = _texts(docs).mapInArrow(count, "block int, cells binary")
     # first the tables of some tasks each, then those sums: no task adds more than a few hundred blocks
@@ -129,51 +136,103 @@ def pair_table(docs: DataFrame, cells: int, least: int) -> np.ndarray:
     merged = merged.select("block", "cells").groupBy("block").applyInArrow(add, "block int, cells binary")
     table = np.zeros(cells, tops)
     for block, held in merged.collect():
-        table[block * CELL_BLOCK : (block + 1) * CELL_BLOCK] = np.frombuffer(held, tops)
+        table[block * CELL_BLOCK : block * CELL_BLOCK + size] = opened(held)
     return table
 
 
+def short_table(docs: DataFrame, cells: int, least: int) -> np.ndarray:
+    """Occurrences of words and of pairs."""
+
+    def visit(phrases: Prefixes, seen: Callable[[np.ndarray], None]) -> None:
+        seen(_cell(phrases.hash, cells))
+        phrases.longer(2)
+        seen(_cell(phrases.hash, cells))
+
+    return _cell_table(docs, cells, least, visit)
+
+
+def _frequent_pairs(phrases: Prefixes, short: np.ndarray, least: int) -> np.ndarray:
+    """Whether each word starts a frequent pair; leaves the pairs in ``phrases``."""
+    phrases.longer(2)
+    phrases.keep(short[_cell(phrases.hash, len(short))] >= least)
+    pair = np.zeros(phrases.n, bool)
+    pair[phrases.at] = True
+    return pair
+
+
+def long_table(docs: DataFrame, short: np.ndarray, least: int) -> np.ndarray:
+    """Occurrences of phrases of three to five words whose pairs are frequent."""
+
+    def visit(phrases: Prefixes, seen: Callable[[np.ndarray], None]) -> None:
+        pair = _frequent_pairs(phrases, short, least)
+        for length in range(3, LONGEST + 1):
+            phrases.keep(pair[np.minimum(phrases.at + length - 2, phrases.n - 1)])
+            phrases.longer(length)
+            seen(_cell(phrases.hash, len(short)))
+
+    return _cell_table(docs, len(short), least, visit)
+
+
 # --- windows --------------------------------------------------------------------------
 
 
-def _windows(words: Words, follows: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ``lang, w1..w5`` (-1 behind the end) of the suffixes of two words and more, each once, and how often."""
-    n = len(words.ids)
-    start = np.flatnonzero(follows)
-    rows = np.full((len(start), LONGEST + 1), -1, np.int32)
-    rows[:, 0], rows[:, 1] = langs[start], words.ids[start]
-    goes_on = np.ones(len(start), bool)
-    for k in range(1, LONGEST):
-        goes_on &= follows[np.minimum(start + k - 1, n - 1)]
-        rows[goes_on, k + 1] = words.ids[start[goes_on] + k]
+def _windows(words: Words, phrases: Prefixes, langs: np.ndarray, short: np.ndarray, long: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``lang, w1..w5`` (-1 behind the end), each once, and how often."""
+    phrases.keep(short[_cell(phrases.hash, len(short))] >= least)
+    place = np.full(phrases.n, -1)
+    place[phrases.at] = np.arange(len(phrases.at))
+    rows = np.full((len(phrases.at), LONGEST + 1), -1, np.int32)
+    rows[:, 0], rows[:, 1] = langs[phrases.at], words.ids[phrases.at]
+    for length in range(2, LONGEST + 1):
+        phrases.longer(length)
+        table = short if length == 2 else long
+        phrases.keep(table[_cell(phrases.hash, len(table))] >= least)
+        rows[place[phrases.at], length] = words.ids[phrases.at + length - 1]
     mixed = np.zeros(len(rows), np.uint64)
     for c in range(LONGEST + 1):
         mixed = (mixed ^ rows[:, c].astype(np.uint64)) * _MIX[c % 2]
         mixed ^= mixed >> np.uint64(31)
     rows = rows[np.argsort(mixed, kind="stable")]
-    new = np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)] if len(rows) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, np.int64)
     return rows[first], np.diff(np.r_[first, len(rows)])
 
 
-def suffix_windows(docs: DataFrame, table: np.ndarray, least: int) -> DataFrame:
-    """``lang, phrase, n``: the windows of two to five words that frequent phrases may start."""
-    cells = len(table)
+def suffix_windows(docs: DataFrame, short: np.ndarray, long: np.ndarray, least: int) -> DataFrame:
+    """``lang, phrase, n``: the windows that frequent phrases may start, each once; without a phrase, all words of the lang."""
+
+    def added(held: list[pa.Table]) -> pa.Table:
+        summed = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        return summed.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows_held = [], 0
         for batch in batches:
             lang_of, langs = _langs(batch)
+            hashes = _lang_hash(langs)
             for words in segments(batch, KINDS):
-                joined, cell = _pair_cells(words, lang_of, _lang_hash(langs), cells)
-                rows, n = _windows(words, joined & (table[cell] >= least), lang_of[words.row])
+                lang = lang_of[words.row]
+                rows, n = _windows(words, Prefixes(words, hashes[lang]), lang, short, long, least)
                 texts = words.distinct.cast(pa.string())
                 parts = [texts.take(pa.array(rows[:, k], mask=rows[:, k] < 0)) for k in range(1, LONGEST + 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(rows[:, 0])), pc.binary_join_element_wise(*parts, " ", null_handling="skip"), pa.array(n, pa.int64())],
+                phrases = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+                whole = np.bincount(lang, minlength=len(langs))
+                held.append(pa.table(
+                    [langs.take(pa.array(np.r_[rows[:, 0], np.arange(len(langs))])),
+                     pa.concat_arrays([phrases, pa.nulls(len(langs), pa.string())]), pa.array(np.r_[n, whole].astype(np.int64))],
                     ["lang", "phrase", "n"],
-                )
+                ))
+                rows_held += len(rows)
+                if rows_held >= HELD_WINDOWS:
+                    held = [added(held)]
+                    rows_held = held[0].num_rows
+                    if rows_held >= HELD_WINDOWS // 2:
+                        yield from held.pop().to_batches(max_chunksize=1 << 16)
+                        rows_held = 0
+        if held:
+            yield from added(held).to_batches(max_chunksize=1 << 16)
 
-    return _texts(docs).mapInArrow(cut, "lang string, phrase string, n long")
+    counted = _texts(docs).mapInArrow(cut, "lang string, phrase string, n long")
+    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _lead(words: int) -> Column:
@@ -184,8 +243,8 @@ def routed(windows: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None]:
     """The windows with the leading words that deal them out and their number (``depth``), and the counts of
     the crowded leads, which no single task sees whole."""
     crowd = max(rows // CROWDED, FEWEST_CROWDED)
-    out, sums = windows.withColumn("lead", _lead(2)).withColumn("depth", F.lit(2)), None
-    for depth in range(2, LONGEST):
+    out, sums = windows.withColumn("lead", _lead(1)).withColumn("depth", F.lit(1)), None
+    for depth in range(1, LONGEST):
         here = out.where(F.col("depth") == depth).groupBy("lang", "lead").agg(F.count("*").alias("rows"), F.sum("n").alias("f"))
         found = here.where(F.col("rows") > crowd).collect()  # at most CROWDED
         if not found:
@@ -281,15 +340,16 @@ def sorted_counts(routed_windows: DataFrame, parts: int, least: int) -> DataFram
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``lang, phrase, f, words``: frequent phrases of one to five words (kept); without a phrase, all words of the lang."""
-    words = checkpointed(word_counts(docs, least))
-    total = words.where("phrase IS NULL").agg(F.sum("f")).first()[0] or 0
-    cells = min(max(1 << (total // WORDS_PER_CELL).bit_length(), FEWEST_CELLS), MOST_CELLS)
-    windows = checkpointed(suffix_windows(docs, pair_table(docs, cells, least), least))
-    rows = windows.count()
-    dealt, sums = routed(windows, rows)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = min(max(1 << (size // BYTES_PER_CELL).bit_length(), FEWEST_CELLS), MOST_CELLS)
+    short = short_table(docs, cells, least)
+    windows = checkpointed(suffix_windows(docs, short, long_table(docs, short, least), least))
+    starts = windows.where("phrase IS NOT NULL")
+    rows = starts.count()
+    dealt, sums = routed(starts, rows)
     counted = sorted_counts(dealt, -(-rows // TASK_WINDOWS) or 1, least)
     counted = counted if sums is None else counted.unionByName(sums.where(F.col("f") >= least))
-    every = words.unionByName(counted)
+    every = counted.unionByName(windows.where("phrase IS NULL").withColumnRenamed("n", "f"))
     return checkpointed(every.withColumn("words", F.size(F.split("phrase", " "))))
 
 

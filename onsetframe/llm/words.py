@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from onsetframe.llm.texts import utf8
+from onsetframe.llm.texts import slices, utf8
 
 # bytes of text that one step turns into arrays
 SEGMENT = 4 << 20
@@ -61,7 +61,8 @@ def segments(batch: pa.RecordBatch, kinds: np.ndarray, size: int = SEGMENT) -> I
         starts = np.cumsum([0] + [len(x) + 1 for x in held[:-1]])
         return words_of(b"\n".join(held), np.array(rows), starts, kinds)
 
-    for row, text in enumerate(utf8(batch)):
+    texts = (x for part in slices([batch]) for x in utf8(part))
+    for row, text in enumerate(texts):
         at = 0
         while at < len(text):
             stop = len(text)
