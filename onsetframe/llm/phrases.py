@@ -42,15 +42,18 @@ CROWDED = 4096
 FEWEST_CROWDED = 20_000  # windows with the same leading words that one task always takes
 TASK_WINDOWS = 400_000
 RANK_PARTS = 64
-HELD_WINDOWS = 1 << 20  # windows a task holds before equal ones are added up
+TASK_BYTES = 256 << 20  # text one task reads at least if all cores have work, as equal windows add up inside a task
+HELD_WINDOWS = 1 << 21  # windows a task holds before equal ones are added up
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 # --- tables of cells ------------------------------------------------------------------
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+def _texts(docs: DataFrame, size: int) -> DataFrame:
+    """``lang, text`` in as few tasks as keep every core at work."""
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").coalesce(tasks)
 
 
 def _langs(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
@@ -94,7 +97,7 @@ class Prefixes:
         self.at, self.hash = self.at[which], self.hash[which]
 
 
-def _cell_table(docs: DataFrame, cells: int, least: int, visit: Callable[[Prefixes, Callable[[np.ndarray], None]], None]) -> np.ndarray:
+def _cell_table(texts: DataFrame, cells: int, least: int, visit: Callable[[Prefixes, Callable[[np.ndarray], None]], None]) -> np.ndarray:
     """Sums, up to ``least``, of the cells that ``visit`` names for each segment."""
     tops = np.uint8 if least < 256 else np.int64
 
@@ -129,7 +132,7 @@ def _cell_table(docs: DataFrame, cells: int, least: int, visit: Callable[[Prefix
         others = [c for c in part.column_names if c != "cells"]
         return pa.table([*[part.column(c).slice(0, 1) for c in others], pa.array([merged], pa.binary())], [*others, "cells"])
 
-    counted = _texts(docs).mapInArrow(count, "block int, cells binary")
+    counted = texts.mapInArrow(count, "block int, cells binary")
     # first the tables of some tasks each, then those sums: no task adds more than a few hundred blocks
     some = counted.withColumn("part", F.spark_partition_id() % 256).select("part", "block", "cells")
     merged = some.groupBy("part", "block").applyInArrow(add, "part int, block int, cells binary")
@@ -140,7 +143,7 @@ def _cell_table(docs: DataFrame, cells: int, least: int, visit: Callable[[Prefix
     return table
 
 
-def short_table(docs: DataFrame, cells: int, least: int) -> np.ndarray:
+def short_table(texts: DataFrame, cells: int, least: int) -> np.ndarray:
     """Occurrences of words and of pairs."""
 
     def visit(phrases: Prefixes, seen: Callable[[np.ndarray], None]) -> None:
@@ -148,7 +151,7 @@ def short_table(docs: DataFrame, cells: int, least: int) -> np.ndarray:
         phrases.longer(2)
         seen(_cell(phrases.hash, cells))
 
-    return _cell_table(docs, cells, least, visit)
+    return _cell_table(texts, cells, least, visit)
 
 
 def _frequent_pairs(phrases: Prefixes, short: np.ndarray, least: int) -> np.ndarray:
@@ -160,7 +163,7 @@ def _frequent_pairs(phrases: Prefixes, short: np.ndarray, least: int) -> np.ndar
     return pair
 
 
-def long_table(docs: DataFrame, short: np.ndarray, least: int) -> np.ndarray:
+def long_table(texts: DataFrame, short: np.ndarray, least: int) -> np.ndarray:
     """Occurrences of phrases of three to five words whose pairs are frequent."""
 
     def visit(phrases: Prefixes, seen: Callable[[np.ndarray], None]) -> None:
@@ -170,7 +173,7 @@ def long_table(docs: DataFrame, short: np.ndarray, least: int) -> np.ndarray:
             phrases.longer(length)
             seen(_cell(phrases.hash, len(short)))
 
-    return _cell_table(docs, len(short), least, visit)
+    return _cell_table(texts, len(short), least, visit)
 
 
 # --- windows --------------------------------------------------------------------------
@@ -197,7 +200,7 @@ def _windows(words: Words, phrases: Prefixes, langs: np.ndarray, short: np.ndarr
     return rows[first], np.diff(np.r_[first, len(rows)])
 
 
-def suffix_windows(docs: DataFrame, short: np.ndarray, long: np.ndarray, least: int) -> DataFrame:
+def suffix_windows(texts: DataFrame, short: np.ndarray, long: np.ndarray, least: int) -> DataFrame:
     """``lang, phrase, n``: the windows that frequent phrases may start, each once; without a phrase, all words of the lang."""
 
     def added(held: list[pa.Table]) -> pa.Table:
@@ -212,8 +215,8 @@ def suffix_windows(docs: DataFrame, short: np.ndarray, long: np.ndarray, least:
             for words in segments(batch, KINDS):
                 lang = lang_of[words.row]
                 rows, n = _windows(words, Prefixes(words, hashes[lang]), lang, short, long, least)
-                texts = words.distinct.cast(pa.string())
-                parts = [texts.take(pa.array(rows[:, k], mask=rows[:, k] < 0)) for k in range(1, LONGEST + 1)]
+                known = words.distinct.cast(pa.string())
+                parts = [known.take(pa.array(rows[:, k], mask=rows[:, k] < 0)) for k in range(1, LONGEST + 1)]
                 phrases = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
                 whole = np.bincount(lang, minlength=len(langs))
                 held.append(pa.table(
@@ -231,7 +234,7 @@ def suffix_windows(docs: DataFrame, short: np.ndarray, long: np.ndarray, least:
         if held:
             yield from added(held).to_batches(max_chunksize=1 << 16)
 
-    counted = _texts(docs).mapInArrow(cut, "lang string, phrase string, n long")
+    counted = texts.mapInArrow(cut, "lang string, phrase string, n long")
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
@@ -342,8 +345,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``lang, phrase, f, words``: frequent phrases of one to five words (kept); without a phrase, all words of the lang."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = min(max(1 << (size // BYTES_PER_CELL).bit_length(), FEWEST_CELLS), MOST_CELLS)
-    short = short_table(docs, cells, least)
-    windows = checkpointed(suffix_windows(docs, short, long_table(docs, short, least), least))
+    texts = _texts(docs, size)
+    short = short_table(texts, cells, least)
+    windows = checkpointed(suffix_windows(texts, short, long_table(texts, short, least), least))
     starts = windows.where("phrase IS NOT NULL")
     rows = starts.count()
     dealt, sums = routed(starts, rows)
