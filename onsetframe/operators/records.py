@@ -75,7 +75,7 @@ def long_records(events: DataFrame, freq: str = "h", aggfunc: str | Callable = "
     binned = _with_bin(events, freq)
     keys = [PATIENT, BIN, ID]
     if aggfunc == "median":
-        return grouped_quantile(binned, keys, VALUE, 0.5, VALUE)
+        return grouped_quantile(binned, keys, VALUE, 0.5, VALUE, refine=False)
     value = aggfunc(F.col(VALUE)) if callable(aggfunc) else AGGREGATES[aggfunc](F.col(VALUE), F.col(TIME), F.lit(True))
     return binned.groupBy(*keys).agg(value.alias(VALUE)).where(F.col(VALUE).isNotNull())
 

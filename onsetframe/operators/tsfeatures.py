@@ -7,18 +7,15 @@ apart. Missing steps are left out of a series; the trend keeps the step numbers.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from onsetframe.functions.arrays import quantile, total
 from onsetframe.functions.ranking import grouped_quantile, with_rows_below
+from onsetframe.functions.tails import two_sided_normal
 from onsetframe.operators.windows import MATRIX
 from onsetframe.schemas import KEYS
 
@@ -330,30 +327,23 @@ def rank_sum_test(table: DataFrame, label: str = "label") -> DataFrame:
     return sums.withColumn("u", u).withColumn("z", z).select(NAME, "n1", "n0", "u", "z")
 
 
-def two_sided(z: str) -> Column:
-    """Two-sided p-value of a normal statistic; runs on one row per feature."""
+def false_discovery(tests: DataFrame, fdr: float = 0.05, independent: bool = False, within: list[str] = ()) -> DataFrame:
+    """Add ``relevant``: kept at a false discovery rate (Yekutieli's bound, or Hochberg's if independent).
 
-    @pandas_udf(DoubleType())
-    def tail(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else 1.0)
-
-    return tail(F.col(z))
+    ``tests`` has one row per feature (and ``within`` columns) with a ``p_value``, so its order is a small one.
+    """
+    family = Window.partitionBy(*within)
+    placed = tests.withColumn("_k", F.row_number().over(family.orderBy("p_value", NAME)))
+    placed = placed.withColumn("_m", F.count(F.lit(1)).over(family))
+    harmonic = F.lit(1.0) if independent else F.sum(1 / F.col("_k")).over(family)
+    judged = placed.withColumn("_passes", F.col("p_value") <= F.col("_k") / (F.col("_m") * harmonic) * F.lit(fdr))
+    last = F.max(F.when(F.col("_passes"), F.col("_k"))).over(family)
+    return judged.withColumn("relevant", F.coalesce(F.col("_k") <= last, F.lit(False))).drop("_m", "_k", "_passes")
 
 
 def select_relevant(tests: DataFrame, fdr: float = 0.05, independent: bool = False) -> DataFrame:
-    """Features kept at a false discovery rate (Yekutieli's bound, or Hochberg's if independent).
-
-    ``tests`` has one row per feature, so its order is a small one.
-    """
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy("p_value", NAME))
-    harmonic = F.lit(1.0) if independent else F.aggregate(
-        F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda a, i: a + 1 / i
-    )
-    judged = tests.withColumn("p_value", two_sided("z")).withColumn("_m", m).withColumn("_k", place)
-    judged = judged.withColumn("_passes", F.col("p_value") <= F.col("_k") / (F.col("_m") * harmonic) * F.lit(fdr))
-    last = F.max(F.when(F.col("_passes"), F.col("_k"))).over(Window.partitionBy())
-    return judged.withColumn("relevant", F.coalesce(F.col("_k") <= last, F.lit(False))).drop("_m", "_k", "_passes")
+    """Features of the rank-sum test kept at a false discovery rate, with their p-value."""
+    return false_discovery(tests.withColumn("p_value", two_sided_normal(F.col("z"))), fdr, independent)
 
 
 def relevant_names(selected: DataFrame) -> list[str]:
