@@ -1,10 +1,12 @@
 import __spark_entry__ as contract
+from workload.queries import ORACLES, QUERIES
 
 
 def test_registry():
     queries, oracles = contract.queries(), contract.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"feature_select", "latent_pca", "rf_train_score"}
+    assert set(QUERIES) - set(ORACLES) == {"latent_pca", "rf_train_score"}
+    assert set(QUERIES) <= set(queries) and set(ORACLES) <= set(oracles)
 
 
 def test_entry(spark):

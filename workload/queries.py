@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from onsetframe.functions.arrays import total
 from onsetframe.functions.periods import UNITS, period_end
-from onsetframe.operators import balance, demographics, discovery, evaluate, labels, learn, samples, tsfeatures, windows
+from onsetframe.operators import balance, demographics, discovery, evaluate, labels, learn, relevance, samples, tsfeatures, windows
 from onsetframe.operators.records import (
     clean_events,
     grid_records,
@@ -1036,11 +1036,151 @@ def feature_ranksum(star: Star) -> DataFrame:
     return shown(tsfeatures.rank_sum_test(rounded_features(star)))
 
 
-@query()
+# --- relevance -----------------------------------------------------------------------
+
+
+def _normal_p(z: str) -> str:
+    """Two-sided p-value of a normal statistic by the series of erf."""
+    x = f"greatest(abs({z}) / sqrt(2), 1e-300)"
+    term = f"exp(n * ln(4) + (2 * n + 1) * ln({x}) + lgamma(n + 1) - lgamma(2 * n + 2) - {x} * {x})"
+    return f"coalesce(CASE WHEN abs({z}) > 8 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 150), lambda n: {term})) END, 1)"
+
+
+def _relevant_sql(source: str, within: str = "") -> str:
+    """Yekutieli's bound at 5%, for each class on its own."""
+    by = f"PARTITION BY {within}" if within else ""
+    return f"""placed AS (SELECT *, row_number() OVER ({by} ORDER BY p, name) AS k, count(*) OVER ({by}) AS m FROM {source}),
+weighed AS (SELECT *, sum(1 / k) OVER ({by}) AS harmonic FROM placed),
+judged AS (SELECT *, coalesce(k <= max(CASE WHEN p <= k / (m * harmonic) * 0.05 THEN k END) OVER ({by}), false) AS relevant FROM weighed)"""
+
+
+RANKSUM = (
+    *FEATURES,
+    "ranked AS (SELECT name, label, value, rank() OVER (PARTITION BY name ORDER BY value) "
+    "+ (count(*) OVER (PARTITION BY name, value) - 1) / 2 AS r FROM features WHERE value IS NOT NULL)",
+    "ties AS (SELECT name, sum(c * c * c - c) AS t FROM (SELECT name, CAST(count(*) AS DOUBLE) AS c FROM ranked "
+    "GROUP BY name, value) GROUP BY name)",
+)
+
+
+@query(
+    q.with_(
+        *RANKSUM,
+        "sums AS (SELECT name, CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS a, "
+        "CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) AS b, sum(r) FILTER (WHERE label = 1) AS s "
+        "FROM ranked GROUP BY name)",
+        "us AS (SELECT name, a, b, s - a * (a + 1) / 2 AS u, "
+        "a * b / 12 * (a + b + 1 - t / ((a + b) * (a + b - 1))) AS var FROM sums JOIN ties USING (name))",
+        "zs AS (SELECT name, a, b, u, sign(u - a * b / 2) * greatest(abs(u - a * b / 2) - 0.5, 0) / sqrt(var) AS z FROM us)",
+        f"tests AS (SELECT *, {_normal_p('z')} AS p FROM zs)",
+        _relevant_sql("tests"),
+    )
+    + "SELECT name, CAST(a AS BIGINT) AS n1, CAST(b AS BIGINT) AS n0, u, round(z, 6) AS z, round(p, 6) AS p_value, relevant FROM judged"
+)
 def feature_select(star: Star) -> DataFrame:
     return shown(tsfeatures.select_relevant(tsfeatures.rank_sum_test(rounded_features(star))))
 
 
+def aged_features(star: Star) -> DataFrame:
+    """Feature values with the patient's age as a numeric label."""
+    ages = star.patients().select("patient_id", F.col("age").cast("double").alias("label"))
+    return rounded_features(star).drop("label").join(ages, "patient_id")
+
+
+def age_classes(table: DataFrame) -> DataFrame:
+    """The age in three classes."""
+    return table.withColumn("label", F.floor(F.col("label") / 20).cast("int"))
+
+
+def flags(table: DataFrame) -> DataFrame:
+    """Binary features: the value is above 50."""
+    return table.withColumn("value", F.when(F.col("value") > 50, 1.0).when(F.col("value").isNotNull(), 0.0))
+
+
+def shown_tests(tests: DataFrame, *columns: str) -> DataFrame:
+    return shown(tests.select("name", *columns, "kind", "statistic", "p_value", "relevant"))
+
+
+AGED = (*FEATURES, "aged AS (SELECT name, value, CAST(age AS DOUBLE) AS y FROM features JOIN patients USING (patient_id) WHERE value IS NOT NULL)")
+
+
+@query(
+    q.with_(
+        *AGED,
+        # pairs by counts of equal samples, so the self join stays small
+        "cells AS (SELECT name, value AS x, y, CAST(count(*) AS DOUBLE) AS c FROM aged GROUP BY ALL)",
+        "scores AS (SELECT a.name, sum(a.c * b.c * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM cells a JOIN cells b ON a.name = b.name GROUP BY a.name)",
+        *[f"""{v}t AS (SELECT name, sum(t * (t - 1) / 2) AS {v}2, sum(t * (t - 1) * (t - 2)) AS {v}0, sum(t * (t - 1) * (2 * t + 5)) AS {v}1,
+  sum(t) AS n FROM (SELECT name, {v}, sum(c) AS t FROM cells GROUP BY name, {v}) GROUP BY name)""" for v in "xy"],
+        """facts AS (SELECT name, s, xt.n * (xt.n - 1) / 2 AS pairs, x2, y2,
+  (xt.n * (xt.n - 1) * (2 * xt.n + 5) - x1 - y1) / 18 + 2 * x2 * y2 / (xt.n * (xt.n - 1)) + x0 * y0 / (9 * xt.n * (xt.n - 1) * (xt.n - 2)) AS var
+  FROM scores JOIN xt USING (name) JOIN yt USING (name))""",
+        f"tests AS (SELECT name, s / sqrt((pairs - x2) * (pairs - y2)) AS statistic, {_normal_p('s / sqrt(var)')} AS p FROM facts)",
+        _relevant_sql("tests"),
+    )
+    + f"SELECT name, 'real' AS kind, round(statistic + {NUDGE}, 6) AS statistic, round(p, 6) AS p_value, relevant FROM judged"
+)
+def relevance_numeric(star: Star) -> DataFrame:
+    """Kendall's rank correlation of every feature with the age."""
+    found = relevance.relevance(aged_features(star), numeric=True)
+    return shown_tests(found.withColumn("statistic", F.col("statistic") + NUDGE))
+
+
+def _log_choose(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1))"
+
+
+@query(
+    q.with_(
+        *AGED,
+        "flagged AS (SELECT name, CASE WHEN value > 50 THEN 1 ELSE 0 END AS x, y FROM aged)",
+        "tops AS (SELECT name, CAST(sum(x) AS DOUBLE) AS n1, CAST(sum(1 - x) AS DOUBLE) AS n0 FROM flagged GROUP BY name HAVING sum(x) > 0 AND sum(1 - x) > 0)",
+        "steps AS (SELECT DISTINCT name, y, sum(x) OVER w AS f1, sum(1 - x) OVER w AS f0 FROM flagged WINDOW w AS (PARTITION BY name ORDER BY y))",
+        "gaps AS (SELECT name, max(abs(f1 / n1 - f0 / n0)) AS d, any_value(sqrt(n1 * n0 / (n1 + n0))) AS e FROM steps JOIN tops USING (name) GROUP BY name)",
+        """age_tests AS (SELECT name, d AS statistic, CASE WHEN e * d < 0.2 THEN 1 ELSE greatest(least(
+  list_sum(list_transform(range(1, 81), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * e * d * e * d))), 1), 0) END AS p FROM gaps)""",
+        """coded AS (SELECT name, CASE WHEN value > 50 THEN 1 ELSE 0 END AS x, label AS y FROM features WHERE value IS NOT NULL),
+cells AS (SELECT name, sum(x * y) AS a, sum((1 - x) * y) AS b, sum(x * (1 - y)) AS c, sum((1 - x) * (1 - y)) AS d FROM coded GROUP BY name
+  HAVING sum(x) > 0 AND sum(1 - x) > 0)""",
+        f"""tables AS (SELECT *, unnest(range(greatest(0, a + c - c - d)::BIGINT, least(a + b, a + c)::BIGINT + 1)) AS k FROM cells),
+chances AS (SELECT *, exp({_log_choose('a + b', 'k')} + {_log_choose('c + d', 'a + c - k')} - {_log_choose('a + b + c + d', 'a + c')}) AS chance,
+  exp({_log_choose('a + b', 'a')} + {_log_choose('c + d', 'c')} - {_log_choose('a + b + c + d', 'a + c')}) AS seen FROM tables),
+sex_tests AS (SELECT name, any_value(CASE WHEN b * c > 0 THEN a * d / (b * c) END) AS statistic, least(sum(CASE WHEN chance <= seen * (1 + 1e-7) THEN chance ELSE 0 END), 1) AS p
+  FROM chances GROUP BY name)""",
+        "tests AS (SELECT 'age' AS label, * FROM age_tests UNION ALL SELECT 'sex', * FROM sex_tests)",
+        _relevant_sql("tests", "label"),
+    )
+    + f"SELECT name, label, 'binary' AS kind, round(statistic + {NUDGE}, 6) AS statistic, round(p, 6) AS p_value, relevant FROM judged"
+)
+def relevance_binary_feature(star: Star) -> DataFrame:
+    """Binary features against the age (Kolmogorov-Smirnov) and the sex (Fisher)."""
+    age = relevance.relevance(flags(aged_features(star)), numeric=True).withColumn("label", F.lit("age"))
+    sex = relevance.relevance(flags(rounded_features(star))).withColumn("label", F.lit("sex"))
+    found = age.drop("class").unionByName(sex.drop("class"))
+    return shown_tests(found.withColumn("statistic", F.col("statistic") + NUDGE), "label")
+
+
+@query(
+    q.with_(
+        *RANKSUM,
+        """classed AS (SELECT name, CAST(floor(age / 20) AS INTEGER) AS "class", value, rank() OVER (PARTITION BY name ORDER BY value)
+  + (count(*) OVER (PARTITION BY name, value) - 1) / 2 AS r FROM features JOIN patients USING (patient_id) WHERE value IS NOT NULL)""",
+        """sums AS (SELECT name, "class", CAST(count(*) AS DOUBLE) AS a, sum(r) AS s FROM classed GROUP BY ALL)""",
+        "sizes AS (SELECT name, CAST(count(*) AS DOUBLE) AS n FROM classed GROUP BY name)",
+        """us AS (SELECT name, "class", a, n - a AS b, s - a * (a + 1) / 2 AS u, a * (n - a) / 12 * (n + 1 - t / (n * (n - 1))) AS var
+  FROM sums JOIN sizes USING (name) JOIN ties USING (name))""",
+        """zs AS (SELECT name, "class", sign(u - a * b / 2) * greatest(abs(u - a * b / 2) - 0.5, 0) / sqrt(var) AS z FROM us)""",
+        f"tests AS (SELECT *, {_normal_p('z')} AS p FROM zs)",
+        _relevant_sql("tests", '"class"'),
+    )
+    + f"""SELECT name, "class", 'real' AS kind, round(z + {NUDGE}, 6) AS statistic, round(p, 6) AS p_value, relevant FROM judged"""
+)
+def relevance_classes(star: Star) -> DataFrame:
+    """Every feature against three classes of age, each against the rest."""
+    found = relevance.relevance(age_classes(aged_features(star)))
+    return shown_tests(found.withColumn("statistic", F.col("statistic") + NUDGE), "class")
+
+
 # --- models --------------------------------------------------------------------------
 
 
