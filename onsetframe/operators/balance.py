@@ -1,4 +1,8 @@
-"""Scaling and class balancing of window samples."""
+"""Scaling and class balancing of window samples.
+
+A balanced set is kept as its distinct samples with a ``weight``, how often each is there. Statistics and
+models take the weight; copies are made at the end, if they are asked for at all.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from onsetframe.operators.windows import MATRIX
 from onsetframe.schemas import KEYS
 from onsetframe.session import checkpointed
 
-COPY, TIMES = "copy", "times"
+COPY, TIMES, WEIGHT = "copy", "times", "weight"
 PICK_CHUNK = 10_000  # picks one task makes from one row
 
 
@@ -23,30 +27,61 @@ def _spread(sd: Column) -> Column:
     return F.when(sd == 0, F.lit(1.0)).otherwise(sd)
 
 
-def fit_cell_scaler(train: DataFrame, width: int) -> DataFrame:
+def _merged_moments(alike: DataFrame, keys: list[str]) -> DataFrame:
+    """``mu, sd`` per key from the moments of groups: rows times weight ``_n``, ``_mu``, ``_var``.
+
+    Squares are taken about the common mean, so nothing large is subtracted.
+    """
+    whole = Window.partitionBy(*keys)
+    total = F.sum("_n").over(whole)
+    mean = F.sum(F.col("_n") * F.col("_mu")).over(whole) / F.when(total > 0, total)
+    off = F.col("_mu") - F.col("mu")
+    parts = alike.withColumn("mu", mean).withColumn("_part", F.col("_n") * (F.col("_var") + off * off))
+    sd = F.sqrt(F.sum("_part") / F.when(F.sum("_n") > 0, F.sum("_n")))
+    return parts.groupBy(*keys).agg(F.first("mu").alias("mu"), _spread(sd).alias("sd"))
+
+
+def _matrix_moments(train: DataFrame, width: int, by_step: bool, weight: str | None) -> DataFrame:
+    """``step, j, mu, sd``: the moments of a feature, per step or over all of them (``step`` 0)."""
+    carried = [weight] if weight else []
+    rows = train.select(*carried, F.posexplode(MATRIX).alias("step", "_row"))
+    step = F.col("step") if by_step else F.lit(0)
+    if weight is None:
+        cells = [
+            F.struct(F.avg(F.col("_row")[j]).alias("mu"), _spread(F.stddev_pop(F.col("_row")[j])).alias("sd")) for j in range(width)
+        ]
+        per_step = rows.groupBy(step.alias("step")).agg(F.array(*cells).alias("cells"))
+        return per_step.select("step", F.posexplode("cells").alias("j", "c")).select("step", "j", "c.mu", "c.sd")
+    # one row for each step and weight, all features in it, before cells become rows
+    alike = rows.groupBy(step.alias("step"), weight).agg(F.array(*[
+        F.struct(
+            (F.count(F.col("_row")[j]) * F.col(weight)).alias("_n"), F.avg(F.col("_row")[j]).alias("_mu"), F.var_pop(F.col("_row")[j]).alias("_var")
+        ) for j in range(width)
+    ]).alias("cells"))
+    cells = alike.select("step", F.posexplode("cells").alias("j", "c")).select("step", "j", "c.*")
+    return _merged_moments(cells, ["step", "j"])
+
+
+def fit_cell_scaler(train: DataFrame, width: int, weight: str | None = None) -> DataFrame:
     """Mean and population spread per (step, feature), as one row.
 
-    The exploded steps are reduced to one row per step before the exchange, so the
+    The exploded steps are reduced to one row per step (and weight) before the exchange, so the
     result is bounded by the window shape.
     """
-    rows = train.select(F.posexplode(MATRIX).alias("step", "_row"))
-    cells = [
-        F.struct(F.avg(F.col("_row")[j]).alias("mu"), _spread(F.stddev_pop(F.col("_row")[j])).alias("sd"))
-        for j in range(width)
-    ]
-    per_step = rows.groupBy("step").agg(F.array(*cells).alias("cells"))
-    ordered = F.sort_array(F.collect_list(F.struct("step", "cells")))
-    return per_step.agg(F.transform(ordered, lambda s: s["cells"]).alias("stats"))
+    return _as_stats(_matrix_moments(train, width, True, weight))
 
 
-def fit_feature_scaler(train: DataFrame, width: int, steps: int) -> DataFrame:
+def fit_feature_scaler(train: DataFrame, width: int, steps: int, weight: str | None = None) -> DataFrame:
     """Mean and population spread per feature over all steps, in the shape of the cell scaler."""
-    rows = train.select(F.explode(MATRIX).alias("_row"))
-    cells = [
-        F.struct(F.avg(F.col("_row")[j]).alias("mu"), _spread(F.stddev_pop(F.col("_row")[j])).alias("sd"))
-        for j in range(width)
-    ]
-    return rows.agg(F.array_repeat(F.array(*cells), steps).alias("stats"))
+    one = _as_stats(_matrix_moments(train, width, False, weight))
+    return one.select(F.array_repeat(F.get("stats", F.lit(0)), steps).alias("stats"))
+
+
+def _as_stats(moments: DataFrame) -> DataFrame:
+    ordered = F.sort_array(F.collect_list(F.struct("j", F.struct("mu", "sd").alias("cell"))))
+    per_step = moments.groupBy("step").agg(F.transform(ordered, lambda s: s["cell"]).alias("cells"))
+    steps = F.sort_array(F.collect_list(F.struct("step", "cells")))
+    return per_step.agg(F.transform(steps, lambda s: s["cells"]).alias("stats"))
 
 
 def apply_scaler(samples: DataFrame, scaler: DataFrame) -> DataFrame:
@@ -61,11 +96,20 @@ def apply_scaler(samples: DataFrame, scaler: DataFrame) -> DataFrame:
     )
 
 
-def fit_vector_scaler(train: DataFrame, columns: list[str]) -> DataFrame:
+def fit_vector_scaler(train: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
     """Mean and population spread of flat columns, as one row."""
-    return train.agg(F.struct(*[
-        F.struct(F.avg(c).alias("mu"), _spread(F.stddev_pop(c)).alias("sd")).alias(c) for c in columns
-    ]).alias("stats"))
+    if weight is None:
+        return train.agg(F.struct(*[
+            F.struct(F.avg(c).alias("mu"), _spread(F.stddev_pop(c)).alias("sd")).alias(c) for c in columns
+        ]).alias("stats"))
+    alike = train.groupBy(weight).agg(F.array(*[
+        F.struct(
+            F.lit(c).alias("name"), (F.count(c) * F.col(weight)).alias("_n"), F.avg(c).alias("_mu"), F.var_pop(c).alias("_var")
+        ) for c in columns
+    ]).alias("cells"))
+    moments = _merged_moments(alike.select(F.inline("cells")), ["name"])
+    pair = F.struct("mu", "sd")
+    return moments.agg(F.struct(*[F.max(F.when(F.col("name") == c, pair)).alias(c) for c in columns]).alias("stats"))
 
 
 def apply_vector_scaler(df: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
@@ -119,10 +163,20 @@ def repeat_counts(
     return numbered.join(times, [label, "_number"]).select(*keys, TIMES)
 
 
+def weigh_samples(samples: DataFrame, counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Every sample once, with the number of times it is there as ``weight``."""
+    joined = samples.join(counts, keys or KEYS, "left")
+    return joined.withColumn(WEIGHT, F.coalesce(F.col(TIMES), F.lit(0).cast("long")) + 1).drop(TIMES)
+
+
+def copy_samples(weighted: DataFrame) -> DataFrame:
+    """Every sample (``copy`` 0) and its repeats (``copy`` 1, 2, ...)."""
+    return weighted.withColumn(COPY, F.explode(F.sequence(F.lit(0).cast("long"), F.col(WEIGHT) - 1))).drop(WEIGHT)
+
+
 def repeat_samples(samples: DataFrame, counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Every sample once (``copy`` 0) and its repeats (``copy`` 1, 2, ...), in one pass."""
-    copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(TIMES), F.lit(0).cast("long")))
-    return samples.join(counts, keys or KEYS, "left").withColumn(COPY, F.explode(copies)).drop(TIMES)
+    """Every sample and its repeats, in one pass."""
+    return copy_samples(weigh_samples(samples, counts, keys))
 
 
 def oversample(
@@ -160,18 +214,22 @@ def prepare_train(
     resampler: float | str | None = "auto",
     scale: bool = True,
     seed: int = 0,
+    copies: bool = True,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Impute, balance, scale the training windows; returns the samples and the scaler.
 
-    ``train`` is used several times and should be a written table.
+    The scaler is fitted on the balanced set through the weights. Without ``copies`` the samples stay distinct and
+    carry their ``weight``. ``train`` is used several times and should be a written table.
     """
     check_matrix(train)
     prepared = impute_windows(train, width, imputer) if imputer is not None else train
+    weight = None
     if resampler is not None:
-        counts = repeat_counts(train, resampler, seed)  # keys and labels only, imputation is not needed
-        prepared = repeat_samples(prepared, checkpointed(counts))
-    scaler = fit_cell_scaler(prepared, width) if scale else None
-    return (apply_scaler(prepared, scaler) if scale else prepared), scaler
+        # keys and labels only, imputation is not needed
+        prepared, weight = weigh_samples(prepared, checkpointed(repeat_counts(train, resampler, seed))), WEIGHT
+    scaler = fit_cell_scaler(prepared, width, weight) if scale else None
+    prepared = apply_scaler(prepared, scaler) if scale else prepared
+    return (copy_samples(prepared) if weight and copies else prepared), scaler
 
 
 def prepare_test(
@@ -184,15 +242,17 @@ def prepare_test(
 
 def prepare_flat_train(
     train: DataFrame, columns: list[str], imputer: str | None = "mean", resampler: float | str | None = "auto",
-    scale: bool = True, seed: int = 0,
+    scale: bool = True, seed: int = 0, copies: bool = True,
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """The same chain on flat columns; fill values and scaler are fitted and returned."""
     fill = fit_column_fill(train, columns, imputer) if imputer is not None else None
     prepared = apply_column_fill(train, fill, columns) if fill is not None else train
+    weight = None
     if resampler is not None:
-        prepared = oversample(prepared, resampler, seed)
-    scaler = fit_vector_scaler(prepared, columns) if scale else None
-    return (apply_vector_scaler(prepared, scaler, columns) if scale else prepared), fill, scaler
+        prepared, weight = weigh_samples(prepared, checkpointed(repeat_counts(train, resampler, seed))), WEIGHT
+    scaler = fit_vector_scaler(prepared, columns, weight) if scale else None
+    prepared = apply_vector_scaler(prepared, scaler, columns) if scale else prepared
+    return (copy_samples(prepared) if weight and copies else prepared), fill, scaler
 
 
 def prepare_flat_test(

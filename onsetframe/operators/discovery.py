@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from onsetframe.schemas import PATIENT
 
+BLOCK_CODES = 128  # about as many codes of an admission lie in one row
+
 CODE, TITLE, ADMISSION, ID = "diagnosis_code", "long_title", "admission_id", "analysis_id"
 
 
@@ -50,37 +52,65 @@ def code_search(lookup: DataFrame, diagnoses: DataFrame, **patterns: list[str])
     )
 
 
+def _code_blocks(counted: DataFrame) -> DataFrame:
+    """Codes of an admission in blocks: ``admission_id, blocks, block, codes`` (code and its rows)."""
+    size = F.count(F.lit(1)).over(Window.partitionBy(ADMISSION))
+    blocks = F.ceil(F.col("_size") / BLOCK_CODES).cast("int")
+    placed = counted.withColumn("_size", size).withColumn("blocks", blocks)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64(CODE), F.col("blocks")).cast("int"))
+    codes = F.sort_array(F.collect_list(F.struct(F.col(CODE).alias("c"), "n")))
+    return placed.groupBy(ADMISSION, "blocks", "block").agg(codes.alias("codes"))
+
+
+def code_tiles(counted: DataFrame) -> DataFrame:
+    """``times, one, other``: the pairs of blocks of every admission, ``other`` NULL for a block with itself.
+
+    An admission of one block is a basket, and equal baskets are one row with their number. Those of more blocks
+    are joined with themselves in a triangle: each pair of blocks meets once, on a key of its own, so no row and no task holds
+    a whole basket.
+    """
+    blocks = _code_blocks(counted)
+    baskets = blocks.where((F.col("blocks") == 1) & (F.size("codes") > 1)).groupBy(F.col("codes").alias("one")).agg(
+        F.count(F.lit(1)).alias("times")
+    )
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with")
+    sent = blocks.where(F.col("blocks") > 1).select(ADMISSION, "block", "codes", each)
+    corner = [F.least("block", "_with").alias("_i"), F.greatest("block", "_with").alias("_j")]
+    met = sent.select(ADMISSION, *corner, "codes").groupBy(ADMISSION, "_i", "_j").agg(F.collect_list("codes").alias("_met"))
+    # a block without codes meets nothing
+    triangle = met.where((F.col("_i") == F.col("_j")) | (F.size("_met") == 2)).select(
+        F.lit(1).cast("long").alias("times"), F.col("_met")[0].alias("one"), F.get("_met", F.lit(1)).alias("other")
+    )
+    none = F.lit(None).cast(baskets.schema["one"].dataType)
+    return baskets.select("times", "one", none.alias("other")).unionByName(triangle)
+
+
 def pair_cooccurrence(
     diagnoses: DataFrame, lookup: DataFrame, condition: Column, distinct_pairs: bool = False
 ) -> DataFrame:
     """How often two different codes meet in one admission, per unordered pair of titles.
 
     Every unordered pair of rows counts twice (once per order); ``distinct_pairs`` halves it.
-    Rows are reduced to one count per admission and code, admissions to their distinct code
-    baskets. Pairs are made once per basket, never from rows; a basket has at most one entry
-    per matching code.
+    Rows are reduced to one count per admission and code first, and pairs of codes are summed before they
+    get their titles.
     """
     codes = lookup.where(condition).select(CODE, TITLE)
-    matching = diagnoses.select(ADMISSION, CODE).join(codes.select(CODE).distinct(), CODE, "left_semi")
-    counted = matching.groupBy(ADMISSION, CODE).agg(F.count(F.lit(1)).alias("n")).join(codes, CODE)
-    entry = F.struct(F.col(CODE).alias("c"), F.col(TITLE).alias("t"), F.col("n"))
-    baskets = (
-        counted.where(F.col(ADMISSION).isNotNull())
-        .groupBy(ADMISSION)
-        .agg(F.sort_array(F.collect_list(entry)).alias("basket"))
-        .where(F.size("basket") > 1)
-        .groupBy("basket")
-        .agg(F.count(F.lit(1)).alias("times"))
+    matching = diagnoses.where(F.col(ADMISSION).isNotNull()).select(ADMISSION, CODE)
+    counted = matching.join(codes.select(CODE).distinct(), CODE, "left_semi").groupBy(ADMISSION, CODE).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    first = baskets.select("basket", "times", F.posexplode("basket").alias("i", "a"))
-    later = F.slice("basket", F.col("i") + 2, F.size("basket"))
-    pairs = first.select("times", "a", F.explode(later).alias("b")).where(F.col("a.c") != F.col("b.c"))
+    first = code_tiles(counted).select("times", "one", "other", F.posexplode("one").alias("_p", "a"))
+    later = F.coalesce("other", F.slice("one", F.col("_p") + 2, F.size("one")))
+    pairs = first.select("times", "a", F.explode(later).alias("b"))
     weight = F.col("times") * F.col("a.n") * F.col("b.n") * (1 if distinct_pairs else 2)
+    by_code = pairs.groupBy(F.least("a.c", "b.c").alias("_c1"), F.greatest("a.c", "b.c").alias("_c2")).agg(
+        F.sum(weight).alias("_weight")
+    )
+    titles = [codes.select(F.col(CODE).alias(f"_c{i}"), F.col(TITLE).alias(f"_t{i}")) for i in (1, 2)]
+    titled = by_code.join(titles[0], "_c1").join(titles[1], "_c2")
     return (
-        pairs.groupBy(
-            F.least("a.t", "b.t").alias("diagnosis_1"), F.greatest("a.t", "b.t").alias("diagnosis_2")
-        )
-        .agg(F.sum(weight).alias("pair_occurrence_count"))
+        titled.groupBy(F.least("_t1", "_t2").alias("diagnosis_1"), F.greatest("_t1", "_t2").alias("diagnosis_2"))
+        .agg(F.sum("_weight").alias("pair_occurrence_count"))
         .orderBy(F.desc("pair_occurrence_count"), "diagnosis_1", "diagnosis_2")
     )
 

@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from onsetframe.operators.balance import WEIGHT
 from onsetframe.operators.evaluate import PREDICTED, SCORE, SCORES, TRUTH
 from onsetframe.operators.labels import LABEL
 from onsetframe.operators.windows import MATRIX
@@ -25,11 +26,12 @@ def with_vector(samples: DataFrame) -> DataFrame:
 def fit_forest(
     train: DataFrame, trees: int = 100, seed: int = 0, max_depth: int = 10, label: str = LABEL, **params
 ) -> PipelineModel:
-    """Random forest on the prepared samples."""
+    """Random forest on the prepared samples; a ``weight`` column counts a sample more than once."""
+    weights = {"weightCol": WEIGHT} if WEIGHT in train.columns else {}
     forest = RandomForestClassifier(
-        featuresCol=VECTOR, labelCol=label, numTrees=trees, seed=seed, maxDepth=max_depth, **params
+        featuresCol=VECTOR, labelCol=label, numTrees=trees, seed=seed, maxDepth=max_depth, **weights, **params
     )
-    data = with_vector(train).select(VECTOR, F.col(label).cast("double").alias(label))
+    data = with_vector(train).select(VECTOR, F.col(label).cast("double").alias(label), *weights.values())
     return Pipeline(stages=[forest]).fit(data)
 
 

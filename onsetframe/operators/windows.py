@@ -22,7 +22,7 @@ MATRIX, STEP, STEP_DATE = "matrix", "step", "step_date"
 BLOCK_WINDOWS = 4  # a block spans this many windows, so about 1/4 of the rows are copied
 MIN_BLOCK = 64
 
-_BLOCK, _ROW, _HISTORY, _SHOWN = "_block", "_row", "_history", "_shown"
+_BLOCK, _ROW, _HISTORY, _SHOWN, _SOURCE = "_block", "_row", "_history", "_shown", "_source"
 
 
 def _block_span(steps: int) -> int:
@@ -92,6 +92,40 @@ def own_date_windows(
     return at_home.select(PATIENT, F.col(PERIOD).alias(OBSERVED), *carry, matrix.alias(MATRIX))
 
 
+def _swept(sources: list[tuple[DataFrame, list[str]]], shown: list[DataFrame], steps: int) -> DataFrame:
+    """One pass over the rows of all sources and the dates that get a window.
+
+    Sources and ``shown`` rows (patient, index, date) are merged into the same time blocks; a row with a date takes the
+    history of every source with it. Nothing is moved after the matrices are built.
+    """
+    kind = shown[0].schema[OBSERVED].dataType
+    rows = None
+    for k, (periods, features) in enumerate(sources):
+        values = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+        part = periods.select(
+            PATIENT, INDEX, F.lit(None).cast(kind).alias(OBSERVED), F.lit(k).alias(_SOURCE),
+            F.struct(F.col(INDEX).alias("i"), values.alias("r")).alias(_ROW),
+        )
+        part = _with_blocks(part, steps)
+        rows = part if rows is None else rows.unionByName(part)
+    blank = F.lit(None).cast(rows.schema[_ROW].dataType)
+    for points in shown:
+        placed = points.select(PATIENT, INDEX, OBSERVED, F.lit(-1).alias(_SOURCE), blank.alias(_ROW))
+        rows = rows.unionByName(placed.withColumn(_BLOCK, _home(INDEX, _block_span(steps))))
+    window = Window.partitionBy(PATIENT, _BLOCK).orderBy(INDEX).rangeBetween(-(steps - 1), 0)
+    histories = {
+        f"{_HISTORY}{k}": F.collect_list(F.when(F.col(_SOURCE) == k, F.col(_ROW))).over(window) for k in range(len(sources))
+    }
+    cut = rows.withColumns(histories).where(F.col(_SOURCE) < 0)
+    parts = [
+        _dense(F.col(f"{_HISTORY}{k}"), F.col(INDEX), steps, len(features)) for k, (_, features) in enumerate(sources)
+    ]
+    matrix = parts[0]
+    for part in parts[1:]:
+        matrix = F.zip_with(matrix, part, lambda a, b: F.concat(a, b))
+    return cut.select(PATIENT, OBSERVED, matrix.alias(MATRIX))
+
+
 def given_date_windows(
     periods: DataFrame, spine: DataFrame, features: list[str], unit: str, steps: int
 ) -> DataFrame:
@@ -100,21 +134,25 @@ def given_date_windows(
     The window ends with the period that holds the date; the output keeps the date.
     Patients without records are left out, dates outside the records give NULL windows.
     """
-    entry = _entry(features)
-    dated = spine.select(*KEYS).distinct().withColumn(INDEX, period_index(OBSERVED, unit))
-    known = periods.select(PATIENT).distinct()
-    empty = F.lit(None).cast(periods.select(entry.alias("e")).schema["e"].dataType)
-    history_rows = periods.select(PATIENT, INDEX, entry.alias(_ROW), F.lit(False).alias(_SHOWN))
-    points = dated.select(PATIENT, INDEX).distinct().join(known, PATIENT, "left_semi").select(
-        PATIENT, INDEX, empty.alias(_ROW), F.lit(True).alias(_SHOWN)
-    )
-    span = _block_span(steps)
-    blocked = _with_blocks(history_rows, steps).unionByName(points.withColumn(_BLOCK, _home(INDEX, span)))
-    cut = blocked.withColumn(_HISTORY, _history(steps)).where(_SHOWN)
-    matrices = cut.select(
-        PATIENT, INDEX, _dense(F.col(_HISTORY), F.col(INDEX), steps, len(features)).alias(MATRIX)
-    )
-    return dated.join(matrices, [PATIENT, INDEX]).select(*KEYS, MATRIX)
+    return merged_windows([(periods, features)], spine, unit, steps)
+
+
+def merged_windows(sources: list[tuple[DataFrame, list[str]]], spine: DataFrame, unit: str, steps: int) -> DataFrame:
+    """Windows of several sources on the same dates, their features side by side.
+
+    ``sources`` are resampled periods of the same unit with their features. Patients without records in some source
+    are left out; a step without data in a source has NULLs there.
+    """
+    points = spine.select(*KEYS).distinct().withColumn(INDEX, period_index(OBSERVED, unit))
+    for periods, _ in sources:
+        points = points.join(periods.select(PATIENT).distinct(), PATIENT, "left_semi")
+    return _swept(sources, [points], steps)
+
+
+def merged_own_windows(sources: list[tuple[DataFrame, list[str]]], steps: int) -> DataFrame:
+    """The same for the period ends of the first source; patients without rows in another one have NULLs there."""
+    first = sources[0][0]
+    return _swept(sources, [first.select(PATIENT, INDEX, F.col(PERIOD).alias(OBSERVED))], steps)
 
 
 def to_long(windows: DataFrame, features: list[str], unit: str, steps: int) -> DataFrame:

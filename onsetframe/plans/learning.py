@@ -96,7 +96,7 @@ def learn(
     """
     train = samples.where(F.col(SPLIT) == TRAIN)
     test = samples.where(F.col(SPLIT) == TEST)
-    prepared, scaler = prepare_train(train, width, imputer, resampler, scale, seed)
+    prepared, scaler = prepare_train(train, width, imputer, resampler, scale, seed, copies=False)
     prepared = checkpointed(prepared)
     scaler = checkpointed(scaler) if scaler is not None else None
     model = fit_forest(prepared, trees, seed, max_depth)

@@ -99,3 +99,43 @@ def test_flat_chain(spark, t):
     values = prepared.collect()
     assert len(values) == 8 and abs(np.mean([r.a for r in values])) < 1e-9
     assert bl.prepare_flat_test(df, ["a"], fill, scaler).where("a is null").count() == 0
+
+
+def test_weights_stand_for_copies(spark, t):
+    rng = np.random.default_rng(3)
+    arrays = 1e6 + rng.random((40, 3, 2))  # a large mean, where plain sums of squares lose all digits
+    df = windows(spark, t, arrays, [int(i < 33) for i in range(40)])
+    counts = bl.repeat_counts(df, "auto", 6)
+    weighted, copied = bl.weigh_samples(df, counts).cache(), bl.repeat_samples(df, counts).cache()
+    assert weighted.count() == 40 and weighted.agg(F.sum("weight")).first()[0] == copied.count() == 66
+    raw = matrices(copied)
+    for scaler, axis in ((bl.fit_cell_scaler(weighted, 2, "weight"), 0), (bl.fit_feature_scaler(weighted, 2, 3, "weight"), (0, 1))):
+        stats = scaler.first().stats
+        mu, sd = (np.array([[c[k] for c in step] for step in stats]) for k in ("mu", "sd"))
+        np.testing.assert_allclose(mu, np.broadcast_to(raw.mean(axis), (3, 2)), rtol=1e-12)
+        np.testing.assert_allclose(sd, np.broadcast_to(raw.std(axis), (3, 2)), rtol=1e-6)
+    prepared, _ = bl.prepare_train(df, 2, seed=6, copies=False)
+    assert prepared.count() == 40 and {"weight"} <= set(prepared.columns) and "copy" not in prepared.columns
+    full, _ = bl.prepare_train(df, 2, seed=6)
+    assert full.drop("copy").exceptAll(bl.copy_samples(prepared).drop("copy")).count() == 0 and full.count() == 66
+
+
+def test_weights_with_missing_values(spark):
+    rows = [(1, 1.0, None, 3), (2, 2.0, None, 1), (3, None, None, 5), (4, 8.0, None, 1)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, weight long")
+    stats = bl.fit_vector_scaler(df, ["a", "b"], "weight").first().stats
+    copies = np.array([1, 1, 1, 2, 8.0])
+    assert stats.a.mu == pytest.approx(copies.mean()) and stats.a.sd == pytest.approx(copies.std())
+    assert stats.b.mu is None
+
+
+def test_forest_takes_weights(spark, t):
+    from onsetframe.operators import learn
+
+    rng = np.random.default_rng(4)
+    arrays = rng.random((60, 2, 2))
+    df = windows(spark, t, arrays, (arrays[:, 0, 0] > 0.8).astype(int))
+    prepared, scaler = bl.prepare_train(df, 2, seed=1, copies=False)
+    model = learn.fit_forest(prepared, trees=5, seed=1, max_depth=3)
+    assert model.stages[-1].getWeightCol() == "weight"
+    assert learn.score_forest(model, bl.prepare_test(df, 2, scaler=scaler)).count() == 60

@@ -67,3 +67,36 @@ def test_categories(spark):
     profile = [tuple(r) for r in dc.group_profile(df, "category", "event_count").collect()]
     assert profile == [("d", 300, 100, 20, 5), ("c", 250, 90, 10, 5)]
     assert [r.itemid for r in dc.top_k(df, "event_count", 3, "itemid").collect()] == [10, 9, 8]
+
+
+def test_one_admission_with_thousands_of_codes(spark):
+    """No row holds a whole basket, and every pair of codes is met once."""
+    size, small = 5000, 3
+    diagnoses = spark.range(size).select(F.lit(1).alias("admission_id"), F.format_string("c%05d", "id").alias("diagnosis_code"))
+    diagnoses = diagnoses.unionByName(diagnoses.where("diagnosis_code < 'c00003'").withColumn("admission_id", F.lit(2)))
+    counted = diagnoses.groupBy("admission_id", "diagnosis_code").agg(F.count("*").alias("n"))
+    tiles = dc.code_tiles(counted).cache()
+    held = tiles.select((F.size("one") + F.coalesce(F.size("other"), F.lit(0))).alias("n"), "other", F.size("one").alias("a"), F.size("other").alias("b"))
+    assert held.agg(F.max("n")).first()[0] < 4 * dc.BLOCK_CODES < size
+    met = held.select(F.coalesce(F.col("a") * F.col("b"), F.col("a") * (F.col("a") - 1) / 2).alias("p")).agg(F.sum("p")).first()[0]
+    assert met == size * (size - 1) / 2 + small * (small - 1) / 2
+    lookup = spark.range(size).select(F.format_string("c%05d", "id").alias("diagnosis_code"), F.format_string("title %d", F.col("id") % 4).alias("long_title"))
+    out = {(r.diagnosis_1, r.diagnosis_2): r.pair_occurrence_count for r in dc.pair_cooccurrence(diagnoses, lookup, F.lit(True)).collect()}
+    each = size // 4
+    assert out["title 0", "title 1"] == 2 * (each * each + 1) and out["title 3", "title 3"] == each * (each - 1)
+
+
+def test_blocks_of_one_code_and_titles_twice(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_CODES", 1)
+    raw = [(h, c) for h in (1, 2) for c in "abcdefg"] + [(1, "a"), (1, "a"), (3, "b"), (None, "a"), (None, "b"), (4, None)]
+    titles = [(c, f"t{i % 3}") for i, c in enumerate("abcdef")] + [("a", "other")]
+    diagnoses = spark.createDataFrame(raw, "admission_id int, diagnosis_code string")
+    lookup = spark.createDataFrame(titles, "diagnosis_code string, long_title string")
+    want = {}
+    for (h1, c1), (h2, c2) in permutations(raw, 2):
+        if h1 is not None and h1 == h2 and c1 != c2:
+            for x in [t for c, t in titles if c == c1]:
+                for y in [t for c, t in titles if c == c2]:
+                    want[tuple(sorted((x, y)))] = want.get(tuple(sorted((x, y))), 0) + 1
+    got = {(r.diagnosis_1, r.diagnosis_2): r.pair_occurrence_count for r in dc.pair_cooccurrence(diagnoses, lookup, F.lit(True)).collect()}
+    assert got == want

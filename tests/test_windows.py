@@ -105,3 +105,50 @@ def test_second_source(spark, t):
     spine = spark.createDataFrame([(1, t("2023-01-03"))], "patient_id long, observation_date timestamp_ntz")
     out = w.second_source_windows(ecg, spine, ["rr", "qrs"], "ecg_time", "day", 2).collect()
     assert [(r.patient_id, r.matrix) for r in out] == [(1, [[2.0, 5.0], [None, None]])]
+
+
+def exchanges_above_the_window(df):
+    """Exchange nodes between the result and the window that cuts the histories."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    above = executed.split("Window [")[0]
+    assert "Window [" in executed and plan
+    return above.count("Exchange") + above.count("Join")
+
+
+def test_finished_windows_are_not_moved(spark, t):
+    periods = resample(records(spark, t, OWN[0][2]), ["v"], "day")
+    spine = spark.createDataFrame([("patient_1", t("2023-01-04"))], "patient_id string, observation_date timestamp_ntz")
+    given = w.given_date_windows(periods, spine, ["v"], "day", 3)
+    assert exchanges_above_the_window(given) == 0
+    assert exchanges_above_the_window(w.merged_own_windows([(periods, ["v"]), (periods, ["v"])], 2)) == 0
+
+
+@pytest.mark.parametrize("steps", [1, 3, 70])
+def test_merged_sources(spark, steps):
+    rng = np.random.default_rng(steps)
+    base = pd.Timestamp("2001-03-01")
+
+    def source(names, patients, seed):
+        rows_ = [
+            (p, (base + pd.Timedelta(days=int(d))).to_pydatetime(), *[float(d * 10 + p + i) for i in range(len(names))])
+            for p in patients for d in np.sort(np.random.default_rng(seed + p).choice(400, 90, replace=False))
+        ]
+        frame = spark.createDataFrame(rows_, "patient_id long, time_bin timestamp_ntz, " + ", ".join(f"{n} double" for n in names))
+        return resample(frame, names, "day"), {(r[0], (pd.Timestamp(r[1]) - base).days): list(r[2:]) for r in rows_}
+
+    (one, known), (two, other) = source(["a", "b"], [1, 2, 3], 10), source(["c"], [1, 2], 50)
+
+    def want(p, last):
+        return [known.get((p, d), [None, None]) + other.get((p, d), [None]) for d in range(last - steps + 1, last + 1)]
+
+    own = w.merged_own_windows([(one, ["a", "b"]), (two, ["c"])], steps).collect()
+    assert len(own) == len(known)
+    for r in own:
+        assert r.matrix == want(r.patient_id, (pd.Timestamp(r.observation_date) - base).days)
+    dates = [(int(p), (base + pd.Timedelta(days=int(d))).to_pydatetime()) for p in (1, 2, 3, 4) for d in rng.integers(-20, 430, 30)]
+    spine = spark.createDataFrame(dates, "patient_id long, observation_date timestamp_ntz")
+    given = w.merged_windows([(one, ["a", "b"]), (two, ["c"])], spine, "day", steps).collect()
+    assert {(r.patient_id, r.observation_date) for r in given} == {d for d in dates if d[0] < 3} and len(given) == len({d for d in dates if d[0] < 3})
+    for r in given:
+        assert r.matrix == want(r.patient_id, (pd.Timestamp(r.observation_date) - base).days)

@@ -689,7 +689,8 @@ def flatten_window(star: Star) -> DataFrame:
     + q.coded("joined", [*q.EVT, *q.SIG])
 )
 def combine_3d(star: Star) -> DataFrame:
-    return coded(samples.combine_sources([event_windows(star), signal_windows(star)]))
+    signals = resample(star.signals(), SIGNALS, "day", "signal_time")
+    return coded(windows.merged_own_windows([(event_periods(star), EVENT_IDS), (signals, SIGNALS)], EVENT_STEPS))
 
 
 @query(
