@@ -16,6 +16,7 @@ from onsetframe.plans.extraction import (
     LABEL_SETTINGS,
     ONSET_SETTINGS,
     demographics_for_labels,
+    digest,
     ecg_for_labels,
     extract,
     extract_grid,
@@ -43,13 +44,14 @@ def _dated(args: argparse.Namespace, config: CohortConfig) -> CohortConfig:
 def _learn(tables: ClinicalTables, args: argparse.Namespace) -> None:
     """Model and metrics from the written windows and labels of each settings file."""
     for config, paths in _configs(args):
-        name = config.key()
-        windows = tables.spark.read.parquet(join_path(paths.rolling_lab_records, config.key(*WINDOW_SETTINGS)))
-        labels = tables.spark.read.parquet(join_path(paths.labeled_lab_records, _dated(args, config).key(*LABEL_SETTINGS)))
-        source = Source("lab", windows, len(config.selected_analyses_ids))
+        windows = join_path(paths.rolling_lab_records, config.key(*WINDOW_SETTINGS))
+        labels = join_path(paths.labeled_lab_records, _dated(args, config).key(*LABEL_SETTINGS))
+        name = digest(config=config.key(), windows=windows, labels=labels)
+        source = Source("lab", tables.spark.read.parquet(windows), len(config.selected_analyses_ids))
         learn_job(
-            StageStore(tables.spark, join_path(args.output, "stages")), name, labels, [source],
+            StageStore(tables.spark, join_path(args.output, "stages")), name, tables.spark.read.parquet(labels), [source],
             config.backward_window_value, output=join_path(args.output, name), trees=args.trees, max_depth=args.max_depth,
+            inputs=[windows, labels],
         )
 
 

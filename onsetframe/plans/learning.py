@@ -118,10 +118,14 @@ def learn_job(
     output: str | None = None,
     test_size: float | int = 0.2,
     seed: int = 0,
+    inputs: list[str] | None = None,
     **settings,
 ) -> Learned:
     """Sources to metrics. Samples are written to the shared folder first, so the lineage of
-    the iterative fit starts at a table; model and metrics go to ``output``."""
+    the iterative fit starts at a table; model and metrics go to ``output``.
+
+    ``key`` names the settings that labels and windows come from, ``inputs`` the files they are read from: if one
+    of these is replaced, the samples are made anew."""
     width = sum(s.width for s in sources) + (2 if demographics is not None else 0)
     samples = store.materialize(
         "samples", digest(
@@ -129,6 +133,7 @@ def learn_job(
             demographics=demographics is not None,
         ),
         lambda: assemble(labels.select(*KEYS, LABEL), sources, steps, demographics, test_size, seed)[0],
+        inputs=inputs,
     )
     learned = learn(samples, width, seed=seed, **settings)
     if output is not None:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from onsetframe.schemas import COLUMN_ALIASES, TABLE_FILES, schema_for
 from onsetframe.session import join_path
+from onsetframe.sources.manifest import exists, fingerprint
 
 
 def rename_columns(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -63,9 +64,16 @@ class ClinicalTables:
         Path(path).write_text(json.dumps({"database_root": root}, indent=4, sort_keys=True))
 
     def identity(self) -> dict:
-        """What the tables are read from, for the keys of written stages."""
-        replaced = {name: sorted(df.inputFiles()) or df.schema.simpleString() for name, df in self._replaced.items()}
-        return {"root": self.root, "replaced": sorted(replaced.items())}
+        """What the tables are read from, for the keys of written stages: the files with their size and time."""
+        replaced = {}
+        for name, df in self._replaced.items():
+            files = df.inputFiles()
+            replaced[name] = fingerprint(self.spark, files) if files else df.schema.simpleString()
+        files = [join_path(self.root, *TABLE_FILES[name]) for name in TABLE_FILES if name not in self._replaced]
+        there = [f for f in files if exists(self.spark, f)]
+        return {
+            "root": self.root, "replaced": sorted(replaced.items()), "files": fingerprint(self.spark, there) if there else None,
+        }
 
     def replace(self, name: str, df: DataFrame) -> ClinicalTables:
         """Serve ``name`` from a DataFrame, e.g. a Parquet sample or converted table."""

@@ -28,6 +28,7 @@ from onsetframe.plans.extraction import (
 )
 from onsetframe.plans.learning import Source, learn, learn_job
 from onsetframe.sources.stages import (
+    BucketStage,
     StageStore,
     bucket_count,
     read_records,
@@ -117,7 +118,7 @@ def test_records_roundtrip_and_guard(tables, tmp_path, rows, spark):
     assert rows(read_records(tables.spark, other, [3, 7])) == rows(some)
     write_records(grid, other + "/more", buckets=5)
     with pytest.raises(ValueError, match="mixes"):
-        bucket_count(spark.read.option("recursiveFileLookup", "true").parquet(other))
+        bucket_count(spark, other)
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         write_records(grid, path, buckets=8)
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
@@ -138,6 +139,77 @@ def test_stage_store_builds_once(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_replaced_input_rebuilds(spark, tmp_path):
+    store, calls, source = StageStore(spark, str(tmp_path / "stages")), [], str(tmp_path / "in")
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(source)
+
+    spark.range(3).coalesce(1).write.parquet(source)
+    for _ in range(2):
+        assert store.materialize("s", "k", build, inputs=[source]).count() == 3
+    assert len(calls) == 1
+    spark.range(5).coalesce(1).write.mode("overwrite").parquet(source)  # another file under the same path
+    assert store.materialize("s", "k", build, inputs=[source]).count() == 5 and len(calls) == 2
+
+
+def test_only_changed_buckets_are_rewritten(spark, tmp_path):
+    """A bucket whose files are as they were keeps its files, a crash in between is mended by the next refresh."""
+    records, root, built = str(tmp_path / "records"), str(tmp_path / "stages"), []
+    rows = spark.range(200).select((F.col("id") % 40).alias("patient_id"), F.col("id").cast("double").alias("v"))
+    write_records(rows, records, buckets=4)
+    stage = BucketStage(spark, root, "sums", "k")
+
+    def build(part):
+        built.append(sorted(r[0] for r in part.select("patient_id").distinct().collect()))
+        return part.groupBy("patient_id").agg(F.sum("v").alias("total"))
+
+    def files():
+        return {f.parent.name: {x.name: x.stat().st_mtime_ns for x in f.parent.glob("*.parquet")} for f in (tmp_path / "stages" / "sums" / "k").rglob("*.parquet")}
+
+    def sums(df):
+        return {r.patient_id: r.total for r in df.collect()}
+
+    want = {p: float(sum(i for i in range(200) if i % 40 == p)) for p in range(40)}
+    assert sums(stage.refresh(records, build)) == want and len(built) == 1
+    before = files()
+    assert sums(stage.refresh(records, build)) == want and len(built) == 1 and files() == before
+    folder = next((tmp_path / "records" / "patient_buckets=4").glob("patient_bucket=2"))
+    touched = {r[0] for r in spark.read.parquet(str(folder)).select("patient_id").distinct().collect()}
+    spark.read.parquet(str(folder)).selectExpr("patient_id", "v + 1000 AS v").write.parquet(str(tmp_path / "new"))
+    for old in folder.iterdir():
+        old.unlink()
+    for new in (tmp_path / "new").glob("*.parquet"):
+        (folder / new.name).write_bytes(new.read_bytes())
+    want = {p: v + 5000 if p in touched else v for p, v in want.items()}
+    with pytest.raises(RuntimeError):
+        stage.refresh(records, lambda part: (_ for _ in ()).throw(RuntimeError("lost")))
+    assert set(sums(stage.read())) == set(range(40)) - touched  # the stale bucket is not taken for a finished one
+    assert sums(stage.refresh(records, build)) == want
+    assert built[1:] == [sorted(touched)]
+    after = files()
+    assert {b for b in after if after[b] != before[b]} == {"patient_bucket=2"}
+    for old in (tmp_path / "records" / "patient_buckets=4" / "patient_bucket=1").iterdir():
+        old.unlink()
+    left = {p for p in want if p in sums(stage.refresh(records, build))}
+    assert left < set(want) and len(built) == 2
+
+
+def test_identity_follows_the_files(spark, tmp_path):
+    (tmp_path / "hosp").mkdir()
+    tables = ClinicalTables(spark, str(tmp_path))
+    assert tables.identity()["files"] is None
+    path = tmp_path / "hosp" / "patients.csv.gz"
+    with gzip.open(path, "wt") as f:
+        f.write("subject_id,gender\n1,F\n")
+    first = tables.identity()
+    assert first == tables.identity() and first["files"]
+    with gzip.open(path, "wt") as f:
+        f.write("subject_id,gender\n1,F\n2,M\n3,F\n")
+    assert tables.identity() != first
+
+
 def test_main_plan_equals_steps(tables, rows):
     lazy = labelled_windows(tables.analyses(), tables.diagnoses(), tables.admissions(), CONFIG)
     steps = extract(tables, CONFIG)
@@ -228,6 +300,12 @@ def test_command_line(tables, hospital, tmp_path, spark):
     learned = str(tmp_path / "learned")
     cli.main(["learn", *common, "--output", learned, "--trees", "3", "--max-depth", "3"])
     assert len(list((tmp_path / "learned").glob("*/metrics"))) == 2
+    # other label dates are other samples
+    cli.main(["learn", "--dataset", dataset, "--configs", str(tmp_path / "configs"), "--first", "b", "--output", learned, "--trees", "2", "--max-depth", "2"])
+    made = len(list((tmp_path / "learned" / "stages" / "samples").iterdir()))
+    cli.main(["labelled", "--dataset", dataset, "--configs", str(tmp_path / "configs"), "--first", "a"])
+    cli.main(["learn", "--dataset", dataset, "--configs", str(tmp_path / "configs"), "--first", "a", "--output", learned, "--trees", "2", "--max-depth", "2"])
+    assert made == 2 and len(list((tmp_path / "learned" / "stages" / "samples").iterdir())) == 4
 
 
 def test_learn_job(tables, tmp_path, spark):
