@@ -37,9 +37,14 @@ def fit_forest(
 
 def score_forest(model: PipelineModel, samples: DataFrame, label: str = LABEL) -> DataFrame:
     """Predicted class and probabilities, with the truth if the samples carry it."""
-    drop = [c for c in (MATRIX, "vector", VECTOR, "rawPrediction", "probability", "prediction") ]
+    return scored_by(model, with_vector(samples), label)
+
+
+def scored_by(model: PipelineModel, samples: DataFrame, label: str = LABEL) -> DataFrame:
+    """The same by any pipeline that ends in a classifier."""
+    drop = [MATRIX, "vector", VECTOR, WEIGHT, "rawPrediction", "probability", "prediction"]
     scored = (
-        model.transform(with_vector(samples))
+        model.transform(samples)
         .withColumn(SCORES, vector_to_array("probability"))
         .withColumn(PREDICTED, F.col("prediction").cast("int"))
         .drop(*drop)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +12,8 @@ from onsetframe.operators.balance import prepare_test, prepare_train
 from onsetframe.operators.demographics import demographics_matrix
 from onsetframe.operators.evaluate import confusion_counts, confusion_matrix, evaluate, report, with_class
 from onsetframe.operators.labels import LABEL
-from onsetframe.operators.learn import binary_score, fit_forest, score_forest
+from onsetframe.operators.learn import binary_score, fit_forest, score_forest, scored_by
+from onsetframe.operators.parts import Evaluator
 from onsetframe.operators.samples import (
     SPLIT,
     TEST,
@@ -86,9 +87,14 @@ def learn(
     max_depth: int = 10,
     seed: int = 0,
     threshold: float = 0.5,
+    pipeline: Pipeline | None = None,
+    evaluator: Evaluator | None = None,
 ) -> Learned:
     """Fit a forest on the training side and judge it on the test side.
 
+    A ``pipeline`` of ``pyspark.ml`` stages (see :mod:`onsetframe.operators.parts`) takes the place of imputer, resampler,
+    scaler and forest; an ``evaluator`` that of the metrics.
+
     Pass samples read from a written table (see :func:`learn_job`): they are used for the
     scaler, the fit and the test. Prepared samples and predictions are kept, as the fit and
     the metrics read them many times. With two classes the threshold decides, with more the
@@ -96,16 +102,21 @@ def learn(
     """
     train = samples.where(F.col(SPLIT) == TRAIN)
     test = samples.where(F.col(SPLIT) == TEST)
-    prepared, scaler = prepare_train(train, width, imputer, resampler, scale, seed, copies=False)
-    prepared = checkpointed(prepared)
-    scaler = checkpointed(scaler) if scaler is not None else None
-    model = fit_forest(prepared, trees, seed, max_depth)
-    scored = score_forest(model, prepare_test(test, width, imputer, scaler))
+    if pipeline is not None:
+        model = pipeline.fit(train)
+        scored = scored_by(model, test)
+    else:
+        prepared, scaler = prepare_train(train, width, imputer, resampler, scale, seed, copies=False)
+        prepared = checkpointed(prepared)
+        scaler = checkpointed(scaler) if scaler is not None else None
+        model = fit_forest(prepared, trees, seed, max_depth)
+        scored = score_forest(model, prepare_test(test, width, imputer, scaler))
     if model.stages[-1].numClasses <= 2:
         scored = binary_score(scored)
     scored = checkpointed(with_class(scored, threshold))
     confusion = confusion_counts(scored)
-    return Learned(model, scored, evaluate(scored, threshold), report(confusion), confusion_matrix(confusion))
+    metrics = evaluate(scored, threshold) if evaluator is None else evaluator.evaluate(scored)
+    return Learned(model, scored, metrics, report(confusion), confusion_matrix(confusion))
 
 
 def learn_job(
