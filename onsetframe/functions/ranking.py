@@ -47,13 +47,16 @@ def _lower_sums(counted: DataFrame, within: list, weights: list[str], base: bool
     return counted.withColumns(sums)
 
 
-def running_totals(counts: DataFrame, group: list[str], value: str, weights: list[str], refine: bool = True) -> DataFrame:
+def running_totals(
+    counts: DataFrame, group: list[str], value: str, weights: list[str], refine: bool = True, written: bool = False
+) -> DataFrame:
     """Add ``<weight>_below`` (the weight of smaller values in the group) and ``<weight>_total`` for each weight.
 
-    ``counts`` holds one row per ``(group, value)``; groups and values are not NULL. It is written once, as it is read
-    for every histogram. Without ``refine``, for groups known to be small, nothing is written or split.
+    ``counts`` holds one row per ``(group, value)``; groups and values are not NULL. It is written once (unless it is a
+    ``written`` table), as it is read for every histogram. Without ``refine``, for groups known to be small, nothing is
+    written or split.
     """
-    rows = checkpointed(counts) if refine else counts
+    rows = checkpointed(counts) if refine and not written else counts
     rows = rows.withColumn("_path", F.array(value_bucket(F.col(value).cast("double"))))
     counted = _lower_sums(_histogram(rows, group, value, weights), group, weights, base=False)
     whole = Window.partitionBy(*group)

@@ -34,17 +34,48 @@ def as_time(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("timestamp_ntz")
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """Delimited file with a header, plain or gz, under fixed types (no inference pass)."""
+MALFORMED = "_malformed_line"
+
+
+def read_delimited(
+    spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", keep_malformed: bool = False
+) -> DataFrame:
+    """Delimited file with a header, plain or gz, under fixed types (no inference pass).
+
+    A line with another number of fields, or with text where a number or time belongs, has NULL in the fields that can't be read;
+    with ``keep_malformed`` such a line is also kept whole in a column of its own, see :func:`quarantined`.
+    """
     header = spark.read.option("encoding", encoding).text(path).head()
     names = next(csv.reader(io.StringIO(header[0].lstrip("﻿")), delimiter=delimiter)) if header else []
+    schema = schema_for(names)
+    if keep_malformed:
+        schema = schema.add(MALFORMED, T.StringType())
     return (
-        spark.read.schema(schema_for(names))
+        spark.read.schema(schema)
         .option("enforceSchema", "true")
+        .option("columnNameOfCorruptRecord", MALFORMED)
         .csv(path, header=True, sep=delimiter, encoding=encoding, quote='"', escape='"')
     )
 
 
+def quarantined(lines: DataFrame, path: str) -> DataFrame:
+    """The well-formed rows of a scan that kept malformed lines; those lines go to a table at ``path``.
+
+    Whether a line is malformed shows only when all its fields are read, so the scan is written once, split by the
+    outcome, and each side reads its own files. The quarantine table has the lines as they are in the file.
+    """
+    marked = lines.withColumn("malformed", F.col(MALFORMED).isNotNull())
+    marked.write.mode("overwrite").partitionBy("malformed").parquet(path)
+    stored = lines.sparkSession.read.schema(marked.schema).parquet(path)
+    return stored.where(~F.col("malformed")).drop("malformed", MALFORMED)
+
+
+def quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """The malformed lines that :func:`quarantined` put aside, as ``line``."""
+    stored = spark.read.schema(f"{MALFORMED} string, malformed boolean").parquet(path)
+    return stored.where("malformed").select(F.col(MALFORMED).alias("line"))
+
+
 class ClinicalTables:
     """Named access to the seven tables below one root folder."""
 
@@ -83,9 +114,16 @@ class ClinicalTables:
     def table(self, name: str) -> DataFrame:
         if name in self._replaced:
             return self._replaced[name]
+        return nan_to_null(rename_columns(self._scan(name)))
+
+    def _scan(self, name: str, keep_malformed: bool = False) -> DataFrame:
         module, file = TABLE_FILES[name]
-        raw = read_delimited(self.spark, join_path(self.root, module, file), self.delimiter, self.encoding)
-        return nan_to_null(rename_columns(raw))
+        return read_delimited(self.spark, join_path(self.root, module, file), self.delimiter, self.encoding, keep_malformed)
+
+    def set_aside(self, name: str, path: str) -> DataFrame:
+        """Serve ``name`` without its malformed lines, which go to a quarantine table at ``path``."""
+        good = quarantined(self._scan(name, keep_malformed=True), path)
+        return self.replace(name, nan_to_null(rename_columns(good))).table(name)
 
     def analyses(self) -> DataFrame:
         return self.table("analyses")

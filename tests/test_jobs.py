@@ -36,7 +36,7 @@ from onsetframe.sources.stages import (
     write_output,
     write_records,
 )
-from onsetframe.sources.tables import ClinicalTables, read_code_list, read_sample
+from onsetframe.sources.tables import ClinicalTables, quarantine, read_code_list, read_sample
 
 
 @pytest.fixture(scope="module")
@@ -196,6 +196,24 @@ def test_only_changed_buckets_are_rewritten(spark, tmp_path):
     assert left < set(want) and len(built) == 2
 
 
+def test_malformed_lines_are_set_aside(spark, tmp_path):
+    (tmp_path / "hosp").mkdir()
+    good = ["1,50912,2150-01-01 08:15:00,1.5,\"a, b\"", "2,50912,,,", "3,50912,2150-01-01 08:15:00,2.5,x"]
+    bad = ["4,50912,2150-01-01 08:15:00", "5,x,2150-01-01 08:15:00,1,", "6,50912,tomorrow,1,", "7,50912,2150-01-01 08:15:00,1,a,b"]
+    with gzip.open(tmp_path / "hosp" / "labevents.csv.gz", "wt") as f:
+        f.write("\n".join(["subject_id,itemid,storetime,valuenum,comments", *good[:1], *bad, *good[1:]]) + "\n")
+    tables = ClinicalTables(spark, str(tmp_path))
+    aside = str(tmp_path / "aside")
+    rows = tables.set_aside("analyses", aside)
+    assert sorted(r.patient_id for r in rows.collect()) == [1, 2, 3] and "_malformed_line" not in rows.columns
+    assert sorted(r.line for r in quarantine(spark, aside).collect()) == bad
+    assert tables.analyses().where("comments = 'a, b'").count() == 1
+    with gzip.open(tmp_path / "hosp" / "labevents.csv.gz", "wt") as f:
+        f.write("subject_id,itemid,storetime,valuenum,comments\n")
+    again = ClinicalTables(spark, str(tmp_path))
+    assert again.set_aside("analyses", aside).count() == 0 == quarantine(spark, aside).count()
+
+
 def test_identity_follows_the_files(spark, tmp_path):
     (tmp_path / "hosp").mkdir()
     tables = ClinicalTables(spark, str(tmp_path))

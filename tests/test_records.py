@@ -109,3 +109,46 @@ def test_hot_patient_keeps_all_rows(spark):
     values = np.array([i * 37 % 20011 for i in range(20000)], float)
     assert grid_records(hot, ["A"], "h", "median").first().A == np.median(values)
     assert grid_records(hot, ["A"]).first().A == pytest.approx(values.mean())
+
+
+NAMES = ["mean", "min", "max", "sum", "count", "median", "std", "var", "sem", "prod", "nunique", "first", "last", "size"]
+
+
+@pytest.mark.parametrize("base", [0.0, 1e7])
+def test_all_statistics_of_a_cell_at_once(spark, monkeypatch, base):
+    from onsetframe.functions import ranking
+    from onsetframe.operators.records import cell_statistics
+
+    monkeypatch.setattr(ranking, "LEAF_ROWS", 2)
+    rng = np.random.default_rng(8)
+    times = pd.date_range("2022-01-01", periods=200, freq="37min")
+    pdf = pd.DataFrame({
+        "patient_id": rng.integers(1, 3, 200), "analysis_time": times, "analysis_id": rng.choice(["A", "B"], 200, p=[0.9, 0.1]),
+        "analysis_value": np.where(rng.random(200) < 0.25, np.nan, base + rng.integers(0, 6, 200) / 4),
+    })
+    df = spark.createDataFrame(
+        [(int(p), x.to_pydatetime(), a, None if np.isnan(v) else float(v)) for p, x, a, v in pdf.itertuples(index=False)], SCHEMA
+    )
+    out = cell_statistics(df, "D", [*NAMES, "mode"], {"q10": 0.1, "q90": 0.9}).toPandas()
+    got = out.set_index(["patient_id", "time_bin", "analysis_id"])
+    groups = dict(list(pdf.groupby(["patient_id", pdf.analysis_time.dt.floor("D"), "analysis_id"]).analysis_value))
+    assert set(got.index) == set(groups)
+    for key, values in groups.items():
+        row, present = got.loc[key], values.dropna()
+        for name in NAMES:
+            if name == "prod" and base:
+                continue
+            want = values.size if name == "size" else values.agg(name) if name not in ("first", "last") else (present.iloc[[0, -1][name == "last"]] if len(present) else np.nan)
+            np.testing.assert_allclose(float(row[name]), want, rtol=1e-9, atol=1e-7, err_msg=f"{key} {name}")
+        if len(present):
+            assert row["mode"] == present.mode().iloc[0]
+            np.testing.assert_allclose([row.q10, row.q90], np.quantile(present, [0.1, 0.9]))
+
+
+def test_plain_function_as_aggregate(events, rows):
+    from onsetframe.operators.records import plain_aggregate
+
+    spread = plain_aggregate(lambda values: values.max() - values.min() + len(values))
+    long = long_records(clean_events(events), "D", spread)
+    assert {(r.patient_id, r.analysis_id, r.analysis_value) for r in long.collect()} == {(1, "A", 1.0), (1, "B", 1.0), (2, "A", 1.0), (3, "A", 1.0), (3, "B", 1.0)}
+    assert {r.A for r in grid_records(clean_events(events), ["A"], "D", spread).collect()} == {1.0}

@@ -12,6 +12,7 @@ from onsetframe.functions.arrays import total
 from onsetframe.functions.periods import UNITS, period_end
 from onsetframe.operators import balance, demographics, discovery, evaluate, labels, learn, relevance, samples, tsfeatures, windows
 from onsetframe.operators.records import (
+    cell_statistics,
     clean_events,
     grid_records,
     long_records,
@@ -22,7 +23,8 @@ from onsetframe.plans.extraction import lab_periods as lab_periods_plan
 from onsetframe.plans.extraction import labelled_windows as labelled_windows_plan
 from onsetframe.plans.config import CohortConfig
 from onsetframe.session import checkpointed, join_path, shared_folder, tune
-from onsetframe.sources.tables import rename_columns
+from onsetframe.schemas import TABLE_FILES
+from onsetframe.sources.tables import ClinicalTables, quarantine, rename_columns
 from onsetframe.sources.stages import read_records, write_records
 from workload import sqltext as q
 from workload.adapters import DISEASES, EVENT_IDS, LAB_FEATURES, LAB_IDS, POSITIVE, SIGNALS, Star
@@ -34,6 +36,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 GAP, WINDOW, SEED = 90, 365, 7
+NUDGE = 1e-9
 LAB_STEPS, EVENT_STEPS, HISTORY = 6, 14, 24
 GRID_WINDOWS = [90, 365, 730, 1825]
 
@@ -147,6 +150,41 @@ def records_roundtrip(star: Star) -> DataFrame:
     return shown(read_records(star.spark, path))
 
 
+LINES = """lines AS (SELECT o_custkey AS subject_id, o_orderkey AS itemid,
+  CASE WHEN o_orderkey % 83 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') || ' 08:00:00' END AS storetime,
+  CASE WHEN o_orderkey % 97 = 0 THEN 'n/a' WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey % 1000 AS VARCHAR) END AS valuenum,
+  CASE WHEN o_orderkey % 89 = 0 THEN 'too,many' ELSE 'ok' END AS comments,
+  o_orderkey % 83 = 0 OR o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 AS malformed FROM orders)"""
+
+
+@query(
+    q.with_(LINES)
+    + """SELECT subject_id AS patient_id, CAST(itemid AS INTEGER) AS analysis_id, storetime AS analysis_time,
+CAST(nullif(valuenum, '') AS DOUBLE) AS analysis_value, CAST(NULL AS VARCHAR) AS line FROM lines WHERE NOT malformed
+UNION ALL SELECT NULL, NULL, NULL, NULL, subject_id || ',' || itemid || ',' || storetime || ',' || valuenum || ',' || comments
+FROM lines WHERE malformed"""
+)
+def malformed_lines(star: Star) -> DataFrame:
+    """Orders as delimited text with broken lines: the well-formed rows, and the lines that were set aside."""
+    key = F.col("o_orderkey")
+    fields = {
+        "subject_id": F.col("o_custkey").cast("string"),
+        "itemid": key.cast("string"),
+        "storetime": F.when(key % 83 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd 08:00:00")),
+        "valuenum": F.when(key % 97 == 0, "n/a").when(key % 5 == 0, "").otherwise((key % 1000).cast("string")),
+        "comments": F.when(key % 89 == 0, "too,many").otherwise("ok"),
+    }
+    lines = star.read("orders").select(F.concat_ws(",", *fields.values()).alias(",".join(fields)))
+    root = join_path(shared_folder(star.spark), "lines", uuid.uuid4().hex)
+    # one column under another separator, so that lines are written as they are
+    lines.write.option("sep", "\u0001").csv(join_path(root, *TABLE_FILES["analyses"]), header=True)
+    tables = ClinicalTables(star.spark, root)
+    good = tables.set_aside("analyses", join_path(root, "quarantine"))
+    rows = good.select("patient_id", "analysis_id", "analysis_time", "analysis_value", F.lit(None).cast("string").alias("line"))
+    aside = quarantine(star.spark, join_path(root, "quarantine"))
+    return shown(rows.unionByName(aside, allowMissingColumns=True))
+
+
 # --- code discovery ------------------------------------------------------------------
 
 
@@ -313,13 +351,19 @@ AGG_SQL = {
     "std": "stddev_samp(analysis_value)",
     "first": "arg_min(analysis_value, analysis_time)",
     "last": "arg_max(analysis_value, analysis_time)",
+    "size": "CAST(count(*) AS DOUBLE)",
+    "nunique": "CAST(count(DISTINCT analysis_value) AS DOUBLE)",
+    "var": "var_samp(analysis_value)",
+    "sem": "stddev_samp(analysis_value) / sqrt(count(analysis_value))",
+    # as a logarithm: products of many values have no fixed decimals
+    "prod": "ln(1 + abs(product(coalesce(analysis_value, 1))))",
 }
 
 
 @query(
     q.with_(q.EVENTS)
     + "SELECT aggfunc, patient_id, strftime(time_bin, '%Y-%m-%d %H:%M:%S') AS time_bin, analysis_id, "
-    + "round(analysis_value, 6) AS analysis_value FROM ("
+    + "round(analysis_value + 1e-9, 6) AS analysis_value FROM ("
     + " UNION ALL ".join(
         f"""SELECT '{n}' AS aggfunc, patient_id, date_trunc('day', analysis_time) AS time_bin, analysis_id,
   {e} AS analysis_value FROM evts GROUP BY ALL""" for n, e in AGG_SQL.items()
@@ -327,12 +371,12 @@ AGG_SQL = {
     + ") WHERE analysis_value IS NOT NULL"
 )
 def pivot_aggfuncs(star: Star) -> DataFrame:
-    events = clean_events(star.events(), EVENT_IDS)
-    parts = [long_records(events, "D", n).withColumn("aggfunc", F.lit(n)) for n in AGG_SQL]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return shown(out.select("aggfunc", "patient_id", "time_bin", "analysis_id", "analysis_value"))
+    """All aggregates of a cell from one scan."""
+    cells = cell_statistics(clean_events(star.events(), EVENT_IDS), "D", list(AGG_SQL))
+    cells = cells.withColumn("prod", F.log1p(F.abs("prod")))
+    named = F.inline(F.array(*[F.struct(F.lit(n).alias("aggfunc"), F.col(n).alias("analysis_value")) for n in AGG_SQL]))
+    rows = cells.select("patient_id", "time_bin", "analysis_id", named).where(F.col("analysis_value").isNotNull())
+    return shown(rows.select("aggfunc", "patient_id", "time_bin", "analysis_id", "analysis_value"), NUDGE)
 
 
 @query(
@@ -861,8 +905,6 @@ def prep_test(star: Star) -> DataFrame:
 
 # --- window features -----------------------------------------------------------------
 
-NUDGE = 1e-9
-
 
 def feature_windows(star: Star) -> DataFrame:
     """Event windows of daily means at 6 digits."""
