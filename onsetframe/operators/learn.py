@@ -1,10 +1,9 @@
-"""Forest training and scoring, latent compression, on ``pyspark.ml``."""
+"""Forest training and scoring on ``pyspark.ml``."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,17 +54,3 @@ def scored_by(model: PipelineModel, samples: DataFrame, label: str = LABEL) -> D
 def binary_score(scored: DataFrame) -> DataFrame:
     """Probability of class 1 as ``score``, for two classes."""
     return scored.withColumn(SCORE, F.coalesce(F.get(SCORES, F.lit(1)), F.lit(0.0))).drop(SCORES)
-
-
-def fit_latent(train: DataFrame, latent_dim: int) -> PCAModel:
-    """Principal components of flattened windows; the work matrix is (steps x features) squared."""
-    return PCA(k=latent_dim, inputCol=VECTOR, outputCol="latent").fit(with_vector(train).select(VECTOR))
-
-
-def apply_latent(model: PCAModel, samples: DataFrame) -> DataFrame:
-    """``latent_dim`` numbers per sample as ``vector``."""
-    return (
-        model.transform(with_vector(samples))
-        .withColumn("vector", vector_to_array("latent"))
-        .drop(VECTOR, "latent", MATRIX)
-    )

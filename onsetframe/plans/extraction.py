@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ from onsetframe.session import join_path
 from onsetframe.sources.stages import StageStore, is_complete
 from onsetframe.sources.tables import ClinicalTables
 
+AT_ONCE = 4  # categories of a grid that are written at the same time
+
 ONSET_SETTINGS = ("positive_diagnoses", "gap_days", "prediction_window_days")
 # labels also depend on the dates of the category they were made for
 LABEL_SETTINGS = (*ONSET_SETTINGS, *PERIOD_SETTINGS)
@@ -180,7 +183,7 @@ def extract_grid(
     """All cells of a grid with every shared stage computed once.
 
     One scan over the union of the analyses gives the sparse period means of all categories,
-    sorted by analysis so that a category reads its part; one pass gives the onset of all
+    in a folder for each analysis so that a category opens only its files; one pass gives the onset of all
     diseases; one explode gives the labels of all prediction windows; windows are cut once
     per category. Cells of one grid share window, gap and
     frequency. Output: ``windows_<category>``, ``labels``, ``ecg``, ``demographics``.
@@ -203,18 +206,23 @@ def extract_grid(
         "periods", digest(settings=whole.key(*PERIOD_SETTINGS), tables=tables.identity()),
         lambda: resample_long(
             long_records(clean_events(tables.analyses(), union), base.lab_records_frequency), unit
-        ).sortWithinPartitions("analysis_id", PATIENT),
-        overwrite,
+        ),
+        overwrite, folders="analysis_id",
     )
-    out: dict[str, DataFrame] = {}
-    for category, ids in categories.items():
-        names = [str(i) for i in ids]
-        own = pivot_periods(periods, ids, unit)
+    identity = tables.identity()
+
+    def category_windows(category: str) -> DataFrame:
+        ids = categories[category]
         settings = CohortConfig(ids, [], base.lab_records_frequency, unit, steps).key(*WINDOW_SETTINGS)
-        key = digest(settings=settings, tables=tables.identity())
-        out[f"windows_{category}"] = store.materialize(
-            f"windows_{category}", key, lambda own=own, names=names: own_date_windows(own, names, steps), overwrite
+        return store.materialize(
+            f"windows_{category}", digest(settings=settings, tables=identity),
+            lambda: own_date_windows(pivot_periods(periods, ids, unit), [str(i) for i in ids], steps), overwrite,
         )
+
+    # categories do not depend on each other: a few at a time keep the cluster busy while others end
+    with ThreadPool(min(AT_ONCE, len(categories))) as pool:
+        windows = pool.map(category_windows, categories)
+    out = {f"windows_{category}": made for category, made in zip(categories, windows)}
     label_key = digest(
         diseases=list(diseases.items()), horizons=horizons, category=label_category,
         ids=categories[label_category], base=base.key(*shared), tables=tables.identity(),

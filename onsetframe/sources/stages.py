@@ -72,15 +72,24 @@ class StageStore:
         return is_complete(self.spark, self.path(stage, key))
 
     def materialize(
-        self, stage: str, key: str, build: Callable[[], DataFrame], overwrite: bool = False, inputs: list[str] | None = None
+        self,
+        stage: str,
+        key: str,
+        build: Callable[[], DataFrame],
+        overwrite: bool = False,
+        inputs: list[str] | None = None,
+        folders: str | None = None,
     ) -> DataFrame:
         """The written stage; built and written first if it is absent.
 
-        ``build`` is called only when needed: a finished later stage skips the earlier ones.
+        ``build`` is called only when needed: a finished later stage skips the earlier ones. With ``folders`` the rows of each
+        value of that column have files of their own, and a filter on it opens only these.
         """
         path = self.path(stage, key if inputs is None else f"{key}-{fingerprint(self.spark, inputs)}")
         if overwrite or not is_complete(self.spark, path):
-            build().write.mode("overwrite").parquet(path)
+            rows = build()
+            writer = rows.hint("rebalance", F.col(folders)).write.partitionBy(folders) if folders else rows.write
+            writer.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
 

@@ -2,11 +2,13 @@ import gzip
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from onsetframe.operators import learn as ln
 from onsetframe.operators.labels import earliest_positive, label_onsets
+from onsetframe.operators.latent import LatentModel, fit_latent
 from onsetframe.operators.records import clean_events, grid_records
 from onsetframe.plans import cli
 from onsetframe.plans.codelists import ANALYSIS_CATEGORIES, COMMON_ANALYSES
@@ -375,10 +377,31 @@ def test_forest_probabilities_and_latent(spark):
     scored = ln.score_forest(ln.fit_forest(train, trees=10, seed=42), test).collect()
     assert len(scored) == test.count()
     assert all(abs(sum(r.scores) - 1) < 1e-9 and len(r.scores) == 10 for r in scored)
-    latent = ln.apply_latent(ln.fit_latent(train, 3), test)
+    latent = fit_latent(train, 3).transform(test)
     assert latent.count() == len(scored) and {len(r.vector) for r in latent.collect()} == {3}
 
 
+def test_latent_directions(spark, tmp_path):
+    """The same directions as a full decomposition, on windows wider than there are samples in a partition."""
+    rng = np.random.default_rng(2)
+    hidden = rng.normal(size=(300, 5)) * [9, 6, 4, 2, 1]
+    x = hidden @ rng.normal(size=(5, 120)) + 0.01 * rng.normal(size=(300, 120)) + 50
+    rows = [(i, v.reshape(12, 10).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "patient_id int, matrix array<array<double>>").repartition(7)
+    model = fit_latent(df, 4)
+    centred = x - x.mean(0)
+    _, s, v = np.linalg.svd(centred, full_matrices=False)
+    v = v[:4] * np.sign(v[np.arange(4), np.abs(v[:4]).argmax(1)])[:, None]
+    np.testing.assert_allclose(model.directions, v, atol=1e-7)
+    np.testing.assert_allclose(model.shares, s[:4] ** 2 / (s**2).sum(), rtol=1e-9)
+    model.write().overwrite().save(str(tmp_path / "latent"))
+    got = {r.patient_id: r.vector for r in LatentModel.load(str(tmp_path / "latent")).transform(df).collect()}
+    np.testing.assert_allclose([got[i] for i in range(300)], centred @ v.T, atol=1e-6)
+    assert fit_latent(df.limit(1), 2).shares.tolist() == [0, 0]
+    with pytest.raises(ValueError):
+        fit_latent(df.where("false"), 2)
+
+
 def test_metric_files(spark, tmp_path):
     write_metrics(spark.createDataFrame([("accuracy", 0.5)], "metric string, value double"), str(tmp_path / "m"))
     assert tuple(spark.read.json(str(tmp_path / "m")).first()) == ("accuracy", 0.5)

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onsetframe.functions.arrays import total
 from onsetframe.functions.periods import UNITS, period_end
-from onsetframe.operators import balance, demographics, discovery, evaluate, labels, learn, relevance, samples, tsfeatures, windows
+from onsetframe.operators import balance, demographics, discovery, evaluate, labels, latent, learn, relevance, samples, tsfeatures, windows
 from onsetframe.operators.records import (
     cell_statistics,
     clean_events,
@@ -22,38 +20,21 @@ from onsetframe.operators.records import (
 from onsetframe.plans.extraction import lab_periods as lab_periods_plan
 from onsetframe.plans.extraction import labelled_windows as labelled_windows_plan
 from onsetframe.plans.config import CohortConfig
-from onsetframe.session import checkpointed, join_path, shared_folder, tune
+from onsetframe.session import checkpointed, join_path, shared_folder
 from onsetframe.schemas import TABLE_FILES
 from onsetframe.sources.tables import ClinicalTables, quarantine, rename_columns
 from onsetframe.sources.stages import read_records, write_records
 from workload import sqltext as q
 from workload.adapters import DISEASES, EVENT_IDS, LAB_FEATURES, LAB_IDS, POSITIVE, SIGNALS, Star
+from workload.registry import ORACLES, QUERIES, query
 from workload.shapes import cell, coded, matrix_text, shown, vector_text
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 GAP, WINDOW, SEED = 90, 365, 7
 NUDGE = 1e-9
 LAB_STEPS, EVENT_STEPS, HISTORY = 6, 14, 24
 GRID_WINDOWS = [90, 365, 730, 1825]
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Register ``f(star) -> DataFrame`` under its name, with the SQL that gives the same rows."""
-
-    def register(f: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
-        key = name or f.__name__
-        QUERIES[key] = lambda spark, folder: f(Star(tune(spark), folder))
-        if sql is not None:
-            ORACLES[key] = sql
-        return f
-
-    return register
-
-
 # --- shared plans --------------------------------------------------------------------
 
 
@@ -161,7 +142,7 @@ LINES = """lines AS (SELECT o_custkey AS subject_id, o_orderkey AS itemid,
     q.with_(LINES)
     + """SELECT subject_id AS patient_id, CAST(itemid AS INTEGER) AS analysis_id, storetime AS analysis_time,
 CAST(nullif(valuenum, '') AS DOUBLE) AS analysis_value, CAST(NULL AS VARCHAR) AS line FROM lines WHERE NOT malformed
-UNION ALL SELECT NULL, NULL, NULL, NULL, subject_id || ',' || itemid || ',' || storetime || ',' || valuenum || ',' || comments
+UNION ALL SELECT -1, -1, NULL, NULL, subject_id || ',' || itemid || ',' || storetime || ',' || valuenum || ',' || comments
 FROM lines WHERE malformed"""
 )
 def malformed_lines(star: Star) -> DataFrame:
@@ -182,7 +163,8 @@ def malformed_lines(star: Star) -> DataFrame:
     good = tables.set_aside("analyses", join_path(root, "quarantine"))
     rows = good.select("patient_id", "analysis_id", "analysis_time", "analysis_value", F.lit(None).cast("string").alias("line"))
     aside = quarantine(star.spark, join_path(root, "quarantine"))
-    return shown(rows.unionByName(aside, allowMissingColumns=True))
+    ids = [F.lit(-1).cast(rows.schema[c].dataType).alias(c) for c in ("patient_id", "analysis_id")]
+    return shown(rows.unionByName(aside.select(*ids, "line"), allowMissingColumns=True))
 
 
 # --- code discovery ------------------------------------------------------------------
@@ -1230,8 +1212,32 @@ def relevance_classes(star: Star) -> DataFrame:
 @query()
 def latent_pca(star: Star) -> DataFrame:
     filled = sided_samples(star).drop("split")
-    latent = learn.apply_latent(learn.fit_latent(filled, 4), filled)
-    return shown(latent.withColumn("vector", vector_text()))
+    coded_windows = latent.fit_latent(filled, 4).transform(filled)
+    return shown(coded_windows.withColumn("vector", vector_text()))
+
+
+@query(
+    q.with_(*LAB_LABELS)
+    + """SELECT CAST(unnest(range(4)) AS INTEGER) AS component, count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, true AS share_kept
+FROM labels_cte"""
+)
+def latent_facts(star: Star) -> DataFrame:
+    """What must hold for the latent numbers of all samples: mean 0, no correlation, falling variance that is the stated share."""
+    filled = checkpointed(sided_samples(star).drop("split"))
+    model = latent.fit_latent(filled, 4)
+    cells = model.transform(filled).select([F.col("vector")[i].alias(f"v{i}") for i in range(4)])
+    whole = filled.select(F.posexplode(F.flatten("matrix")).alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v")).agg(F.sum("v").alias("whole"))
+    facts = cells.agg(
+        F.count("*").alias("n"), F.array(*[F.avg(f"v{i}") for i in range(4)]).alias("mean"), F.array(*[F.var_pop(f"v{i}") for i in range(4)]).alias("var"),
+        F.array(*[F.greatest(F.lit(0.0), *[F.abs(F.corr(f"v{i}", f"v{j}")) for j in range(4) if j != i]) for i in range(4)]).alias("corr"),
+    ).withColumn("whole", whole.scalar())
+    shares = F.array(*[F.lit(float(s)) for s in model.shares])
+    i = F.col("component")
+    return facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("component")).select(
+        "component", "n", (F.abs(F.col("mean")[i]) < 1e-6).alias("centred"), (F.col("corr")[i] < 1e-3).alias("uncorrelated"),
+        ((i == 0) | (F.get("var", i - 1) >= F.col("var")[i])).alias("ordered"),
+        (F.abs(F.col("var")[i] / F.col("whole") - shares[i]) < 1e-6).alias("share_kept"),
+    )
 
 
 @query()
@@ -1382,3 +1388,6 @@ def eval_auc_classes(star: Star) -> DataFrame:
 )
 def eval_auc_scores(star: Star) -> DataFrame:
     return shown(evaluate.auc_of_scores(binary_predictions(star)))
+
+
+from workload import job_queries  # noqa: E402, F401  registers the queries on written inputs and jobs
