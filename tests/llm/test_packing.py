@@ -13,9 +13,7 @@ ODD = ["", "  a", "a  b\n\n c", " \n", " x   y　z it's we'll <|endoftext|> ½²
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +27,18 @@ def test_the_librarys_ids(spark, library, tokens):
         assert list(tokens.encode(text)) == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [
+    " " * 2_000_000, "a" + " " * 1_000_000 + "b", "\n" * 5000 + "x" + "\t" * 4096, " \n" * 4000 + "\n!", "x" + "\u3000\x85" * 3000 + "\u3000y",
+    "\x1c" * 5000 + " z", " " * 4095 + "q", "a" + " " * 4096 + "<|endoftext|>" + " " * 4097 + "<|endoftext|><|endoftext|>b", "<|endoftext|>", "<|endoftext", "\u200b" * 5000,
+])
+def test_long_white_space_and_special_tokens(library, tokens, text):
+    assert list(tokens.encode(text)) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_special_token_is_one_id(tokens):
+    assert list(tokens.encode("<|endoftext|>")) == [50256]
+
+
 def checked(rows, docs, library, size=1024):
     """Exact round trip, gapless sequences; the padding."""
     by_doc, by_sequence = {}, {}
@@ -62,7 +72,7 @@ def test_round_trip(spark, library):
 
 
 def test_edges(spark, library):
-    texts = [(i, t, 1, "x") for i, t in enumerate([None, *ODD, "long " * 40_000])] + [(None, "no id", 1, "x")]
+    texts = [(i, t, 1, "x") for i, t in enumerate([None, *ODD, "long " * 40_000, "a" + " " * 1_500_000 + "b"])] + [(None, "no id", 1, "x")]
     docs = spark.createDataFrame(texts, "doc_id long, text string, length int, offset string").repartition(3)
     checked(packing.pack_documents(docs).collect(), [(r[0], r[1]) for r in texts], library)
     again = docs.limit(1).unionByName(docs.limit(1))
