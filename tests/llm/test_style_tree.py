@@ -17,6 +17,9 @@ FRAME = (
     ("<article><p>open <em>never closed", "open never closedYour name" * 0 + "open never closed"),
     ("<div role=main><p>a\n\t b</p><div role='navigation'>no</div></div>", "a b"),
     ("<article><p>a</b>b</p><pre> c\n d</pre><h2></h2></article>", "ab\nc d"),
+    ("<article><p class='related-work'>kept</p><p id='comment-on-x'>too</p><div class='comments'>no</div><p id=comments>no</p>end</article>", "kept\ntoo\nend"),
+    ("<article>A<script>x</script>B<nav>no</nav>C</article>", "AB\nC"),
+    ("<article>A<div class=ad>no</div><b>B</b><form>no</form></article>", "A\nB"),
 ])
 def test_templates(body, text):
     page = FRAME % body
@@ -51,12 +54,48 @@ def test_importance_is_entropy(spark):
     pages = spark.createDataFrame([site(i) for i in range(16)], "page_id long, url string, html string")
     of = {r.node: r.importance for r in s.importance(pages).collect()}
     body = s.step(0, s.make("body", ""))
-    value = lambda name: of[s.step(body, s.make("div", f" class={name}"))]
+    value = lambda name: of[s.step(body, s.make("div", f" class={name}")) << 1]
     assert value("x1") == pytest.approx(0)
     assert value("x3") == pytest.approx(1 - 3 / 4)  # two texts on eight pages each: log 8 / log 16
     assert value("x2") == pytest.approx(2 / 3)  # two of three texts occur once, one everywhere
 
 
+def article(i):
+    """Junk under neutral names inside the main element."""
+    return (
+        i, f"https://h.example/{i}", f"<body><main><h1>Abstract</h1><div class=k7><p>Read our offers</p><p>Call now</p></div><div class=k8><p>Own text of page {i}.</p>"
+        f"<p>Shared line.</p></div><div class=k9>Only on some pages</div></main><div class=k9>Printed {i % 2}</div></body>" if i % 3 else
+        f"<body><main><h1>Abstract</h1><div class=k7><p>Read our offers</p><p>Call now</p></div><div class=k8><p>Own text of page {i}.</p></div></main></body>",
+    )
+
+
+def test_junk_inside_main_goes(spark, monkeypatch):
+    rows = [article(i) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in s.extract_pages(pages).collect()}
+    for i in range(40):
+        assert out[i].splitlines()[:2] == ["Abstract", f"Own text of page {i}."] and "offers" not in out[i] and "Call" not in out[i]
+        assert ("Shared line." in out[i]) == (i % 3 > 0)  # one text of many under its node
+    monkeypatch.setattr(s, "SENT_NODES", 0)  # nodes and pages meet by salt
+    assert {r.page_id: r.text for r in s.extract_pages(pages).collect()} == out
+
+
+def test_copies_of_an_article_are_no_junk(spark):
+    """Half of a host's pages are copies of one article with names of its own."""
+    copy = "<body><main><h1>Title</h1><div class=special><p>A text that many pages copy.</p></div></main></body>"
+    rows = [article(i) for i in range(20)] + [(100 + i, "https://h.example/c", copy) for i in range(30)]
+    out = {r.page_id: r.text for r in s.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {out[100 + i] for i in range(30)} == {"Title\nA text that many pages copy."}
+    assert all("offers" not in out[i] for i in range(20))
+
+
+@pytest.mark.parametrize("open_, close", [("<div>", "</div>"), ("<b>", "</b>"), ("<div>", ""), ("<div><p>x", ""), ("<article><i>", "</u>"), ("<ul><li>", "</em>")])
+def test_deep_markup(spark, open_, close):
+    page = "<main>" + open_ * 100_000 + "deep" + close * 100_000 + "</main> after"
+    pages = spark.createDataFrame([(i, "http://h/", page) for i in range(2)], "page_id long, url string, html string")
+    assert all(r.text.endswith("deep") and r.n_chars == len(r.text) for r in s.extract_pages(pages).collect())
+
+
 def test_an_article_is_never_judged_by_repetition(spark):
     page = "<article><p>The same article</p></article>"
     pages = spark.createDataFrame([(i, "http://h/", page) for i in range(20)], "page_id long, url string, html string")
