@@ -1,6 +1,6 @@
 """N-gram Jaccard join by prefixes of single tokens and of token combinations.
 
-A document is its set of distinct word shingles (64-bit hashes). Equal sets become one node. Two
+A document is its set of distinct word shingles (64-bit hashes); equal sets are one node, named by a hash of the set. Two
 sets at or above the threshold share a token among the first ``n - ceil(t n) + 1`` of either, in any
 order common to all. Here tokens with a small hash are posted and counted, which tells their class;
 the order takes rare ones of them first, then those with a larger hash, then frequent ones. So a pair
@@ -8,11 +8,14 @@ shares a rare token, or both sets have too few rare ones for a prefix. Rare toke
 nodes) give their few pairs at once. Sets of the other kind extend the prefix to the whole set and
 post token combinations: the set is cut by hash into more groups than a qualifying pair can have
 differing tokens, so some non-empty group agrees as a whole, about eight tokens at a time. A
-combination's nodes are first paired with its smallest one only; what these links do not join is
-paired afterwards, in a crowded combination by where their bitmaps depart from its centre. A parity
+combination's nodes are first paired with its pivot only, the one that shares most combinations with others; what these
+links do not join is paired afterwards, in a crowded combination by the rarest tokens in which its nodes depart from its centre. A parity
 bitmap gives a lower bound of the difference and discards most pairs; the rest are verified on the
 whole sets. Links are joined to components by repeated stars.
 
+Posted tokens travel packed, in buckets of the hash; a token that is frequent within a task is told to its bucket once,
+whatever the number of nodes that have it.
+
 Defined results: a null or empty text has no shingles and no links; with fewer words than a shingle,
 the whole sequence is one; rows that share a doc_id are one document with regard to links; a null
 doc_id has no component; an empty table gives an empty result; other columns are ignored.
@@ -26,13 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from onsetframe.llm.texts import slices, utf8
 from onsetframe.session import checkpointed
 
-RARE = 3  # least, greatest and the exclusive or of all name the nodes of a token
+RARE = 3  # nodes of a token that are paired at once
+POSTED = 1.25  # tokens posted for each that a prefix takes
+HELD_TOKENS = 1 << 20  # tokens a task holds before it sorts and sends them
+BUCKET_TOKENS = 500_000
+FREQUENT = -1  # in the place of a node: the token is frequent
 SKETCH_BITS = 2048
 REMEMBERED = 200_000
 CROWDED = 16  # nodes of a combination that are paired without regard to their sketches
@@ -54,8 +61,8 @@ def required(n: int, percent: int) -> int:
 
 
 def small_hash(percent: int) -> int:
-    """Hashes below this are posted: two fifths more tokens than a prefix takes."""
-    return int((1.4 * (100 - percent) / 100 + 0.01) * 2**64)
+    """Hashes below this are posted: some more tokens than a prefix takes."""
+    return int((POSTED * (100 - percent) / 100 + 0.01) * 2**64)
 
 
 def size_classes(upto: int, percent: int) -> list[int]:
@@ -102,8 +109,9 @@ class Shingles:
         return np.unique(joined)
 
 
-def fingerprint(tokens: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(tokens.tobytes())
+def node_of(tokens: np.ndarray) -> int:
+    """Name of a set; equal sets have the same."""
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1
 
 
 def sketch(tokens: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
@@ -148,24 +156,127 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def posted_tokens(docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """``doc_id, n, fp, low`` of every document: its tokens with a small hash."""
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Unsigned numbers byte by byte: in sorted ones the high bytes hardly change, and compress to nothing."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(planes: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+TOKEN_BYTES = 5  # of a token inside its bucket: the finer rest is not needed to tell who shares one
+SCAN = "doc_id long, n long, node long, n_low long, bucket int, tokens binary, nodes binary"
+
+
+def _posting(tokens: np.ndarray, nodes: np.ndarray, step: int) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+    """Buckets with their tokens and nodes, and how many tokens of a node are frequent by these documents alone."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, nodes = tokens[order], nodes[order]
+    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    count = np.diff(np.r_[first, len(tokens)])
+    crowded = np.repeat(count > RARE, count)
+    known = np.unique(nodes[crowded], return_counts=True)
+    kept = ~crowded
+    kept[first[count > RARE]] = True
+    nodes = np.where(crowded, FREQUENT, nodes)
+    tokens, nodes = tokens[kept], nodes[kept]
+    bucket = (tokens // np.uint64(step)).astype(np.int64)
+    inside = tokens - bucket.astype(np.uint64) * np.uint64(step)
+    shift = np.uint64(max(0, int(step).bit_length() - 8 * TOKEN_BYTES))
+    inside = inside >> shift
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.r_[cuts[1:], len(bucket)]
+    blobs = [(_planes(inside[s:e], TOKEN_BYTES), nodes[s:e].astype("<i8").tobytes()) for s, e in zip(cuts, ends)]
+    return bucket[cuts], blobs, known
+
+
+def scanned(docs: DataFrame, length: int, percent: int, buckets: int) -> DataFrame:
+    """One pass over the texts. Rows with ``n``: each document, its node and number of posted tokens. Rows with
+    ``bucket``: posted tokens with their nodes. Rows with neither: ``n_low`` tokens of ``node`` that are frequent."""
+    most = small_hash(percent)
+    step = most // buckets + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, most = Shingles(length), np.uint64(small_hash(percent))
+        shingles, seen = Shingles(length), set()
+        held: list[np.ndarray] = []
+        owners: list[int] = []
+        total = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            tokens = np.concatenate(held)
+            nodes = np.repeat(np.array(owners, np.int64), [len(h) for h in held])
+            bucket, blobs, (known, times) = _posting(tokens, nodes, step)
+            none, size = pa.nulls, len(bucket)
+            yield pa.RecordBatch.from_arrays(
+                [none(size, pa.int64()), none(size, pa.int64()), none(size, pa.int64()), none(size, pa.int64()), pa.array(bucket, pa.int32()),
+                 pa.array([t for t, _ in blobs], pa.binary()), pa.array([o for _, o in blobs], pa.binary())], names
+            )
+            size = len(known)
+            yield pa.RecordBatch.from_arrays(
+                [none(size, pa.int64()), none(size, pa.int64()), pa.array(known, pa.int64()), pa.array(times, pa.int64()), none(size, pa.int32()),
+                 none(size, pa.binary()), none(size, pa.binary())], names
+            )
+
+        names = ["doc_id", "n", "node", "n_low", "bucket", "tokens", "nodes"]
         for part in slices(batches):
             sets = [shingles.of(t) for t in utf8(part)]
+            own = [node_of(x) for x in sets]
+            low = [x[: np.searchsorted(x, np.uint64(most))] for x in sets]
+            size = part.num_rows
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([fingerprint(s) for s in sets], pa.binary()),
-                    _lists([s[: np.searchsorted(s, most)] for s in sets]),
-                ],
-                ["doc_id", "n", "fp", "low"],
+                [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(own, pa.int64()),
+                 pa.array([len(x) for x in low], pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())],
+                names,
             )
+            for doc_id, node, x in zip(part.column("doc_id").to_pylist(), own, low):
+                if len(x) and doc_id is not None and node not in seen:
+                    seen.add(node)
+                    held.append(x)
+                    owners.append(node)
+                    total += len(x)
+            if total >= HELD_TOKENS:
+                yield from flush()
+                seen.clear()
+                held, owners, total = [], [], 0
+        if held:
+            yield from flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, fp binary, low array<long>")
+    return rows.mapInArrow(run, SCAN)
+
+
+def met_tokens(posting: DataFrame) -> DataFrame:
+    """``a, b, frequent``: pairs of nodes that share a rare token; or in ``a`` a node with its number ``frequent`` of frequent tokens."""
+
+    def meet(part: pa.Table) -> pa.Table:
+        tokens = np.concatenate([_numbers(t, TOKEN_BYTES) for t in part.column("tokens").to_pylist()])
+        nodes = np.concatenate([np.frombuffer(o, "<i8") for o in part.column("nodes").to_pylist()])
+        order = np.lexsort((nodes, tokens))
+        tokens, nodes = tokens[order], nodes[order]
+        once = np.r_[True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])]
+        tokens, nodes = tokens[once], nodes[once]
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        count = np.diff(np.r_[first, len(tokens)])
+        frequent = (nodes[first] == FREQUENT) | (count > RARE)
+        pairs = [
+            np.stack((nodes[first[at] + i], nodes[first[at] + j]))
+            for size in range(2, RARE + 1) for at in [np.flatnonzero(~frequent & (count == size))] for i in range(size) for j in range(i + 1, size)
+        ]
+        a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        crowded = nodes[np.repeat(frequent, count)]
+        known, times = np.unique(crowded[crowded != FREQUENT], return_counts=True)
+        return pa.table(
+            [pa.array(np.r_[a, known]), pa.concat_arrays([pa.array(b), pa.nulls(len(known), pa.int64())]),
+             pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(times, pa.int64())])],
+            ["a", "b", "frequent"],
+        )
+
+    return posting.groupBy("bucket").applyInArrow(
+        lambda t: meet(t.select(["tokens", "nodes"])), "a long, b long, frequent long"
+    )
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -181,7 +292,7 @@ def written(df: DataFrame) -> DataFrame:
 def whole_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
     """``node, n, packed, sketch, posts`` of documents given with ``node`` and ``extended``.
 
-    ``packed`` is the compressed text: a third of the bytes of its hashes, which are made again to verify.
+    A document of several texts comes with the nodes of all; the text that makes the node is its. ``packed`` is the compressed text: a third of the bytes of its hashes, which are made again to verify.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +301,8 @@ def whole_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
         for part in slices(batches):
             texts = utf8(part)
             sets = [shingles.of(t) for t in texts]
+            right = [i for i, (x, node) in enumerate(zip(sets, part.column("node").to_pylist())) if node_of(x) == node]
+            part, texts, sets = part.take(pa.array(right, pa.int64())), [texts[i] for i in right], [sets[i] for i in right]
             extended = part.column("extended").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -248,65 +361,83 @@ def _linked(batches: Iterator[pa.RecordBatch], length: int, percent: int) -> Ite
         yield part.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
-def across_crowded(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def across_crowded(members: DataFrame, sets: DataFrame, length: int, percent: int) -> DataFrame:
     """Pairs ``(node, other)`` across components of crowded combinations; no link between them is left out.
 
-    What all of a combination's nodes share tells nothing, so each is seen as the cells in which its
-    sketch departs from a centre of the combination. Two sets that differ in at most d tokens have
-    sketches that differ in at most d cells: then their departures have a common cell among the first
-    d + 1 of either, at places that add up to d at most, or no common cell and d cells in all. The
-    first are posted cell by cell, the latter meet in the cell -1.
+    What all of a combination's nodes share tells nothing, so each is seen as the tokens in which its set departs
+    from a centre of the combination. Two sets that differ in at most d tokens have departures that differ in the same
+    tokens: so they have a common one among the first d + 1 of either, in an order common to both, at places that
+    add up to d at most, or no common one and d in all. The first are posted token by token, the latter meet
+    in the token of all near ones.
 
-    The claim holds for any centre. It is the majority of some ``CENTRE`` sketches, as what most nodes
-    share then is no departure.
+    The claim holds for any centre and any order. The centre has the tokens of most of ``CENTRE`` nodes or so; tokens in which
+    several of these depart from it come last in the order, so what is posted is rare.
     """
-    sketches = sets.select("node", "n", "sketch")
-    some = members.where(F.pmod(F.xxhash64("node"), "nodes") < CENTRE).select("post", "node").join(sketches, "node")
-    centres = some.groupBy("post").agg(F.collect_list("sketch").alias("sketches")).mapInArrow(
-        lambda batches: (_centres(b) for b in batches), "post long, centre binary"
+    packed = sets.select("node", "n", "packed")
+    some = members.where(F.pmod(F.xxhash64("node"), "nodes") < CENTRE).select("post", "node").join(packed, "node")
+    centres = some.groupBy("post").agg(F.collect_list("packed").alias("texts")).mapInArrow(
+        lambda batches: (_centres(b, length) for part in batches for b in slices([part], 16)), "post long, centre binary, usual binary"
     )
-    apart = members.join(sketches, "node").join(centres, "post")
-    posted = apart.select("post", "node", "component", "n", "sketch", "centre").mapInArrow(
-        lambda batches: (_departures(b, percent) for b in batches),
-        "post long, node long, component long, size int, most int, cells array<int>",
+    apart = members.join(packed, "node").join(centres, "post")
+    posted = apart.select("post", "node", "component", "n", "packed", "centre", "usual").mapInArrow(
+        lambda batches: _departures(batches, length, percent),
+        "post long, node long, component long, size int, most int, tokens array<long>",
     )
-    cells = written(posted.select("post", "node", "component", "size", "most", F.posexplode("cells").alias("place", "cell")).unionByName(
-        posted.where("size <= most").select("post", "node", "component", "size", "most", F.lit(0).alias("place"), F.lit(-1).alias("cell"))
+    tokens = written(posted.select("post", "node", "component", "size", "most", F.posexplode("tokens").alias("place", "token")).unionByName(
+        posted.where("size <= most").select("post", "node", "component", "size", "most", F.lit(0).alias("place"), F.lit(-1).cast("long").alias("token"))
     ))
-    other = cells.select(
-        "post", "cell", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "size", "most", "place"))
+    # a token of one component alone brings nobody together
+    shared = tokens.groupBy("post", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    tokens = tokens.join(shared.select("post", "token"), ["post", "token"])
+    other = tokens.select(
+        "post", "token", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "size", "most", "place"))
     )
     most = F.least("most", "other_most")
-    return cells.join(other, ["post", "cell"]).where(
+    return tokens.join(other, ["post", "token"]).where(
         (F.col("component") < F.col("other_component"))
         & (F.abs(F.col("size") - F.col("other_size")) <= most)
         & (F.col("place") + F.col("other_place") <= most)
-        & ((F.col("cell") >= 0) | (F.col("size") + F.col("other_size") <= most))
+        & ((F.col("token") >= 0) | (F.col("size") + F.col("other_size") <= most))
     ).select("node", F.col("other_node").alias("other"))
 
 
-def _centres(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out = []
-    for many in batch.column("sketches").to_pylist():
-        bits = np.unpackbits(np.frombuffer(b"".join(many), np.uint8).reshape(len(many), -1), axis=1)
-        out.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(many)).tobytes())
-    return pa.RecordBatch.from_arrays([batch.column("post"), pa.array(out, pa.binary())], ["post", "centre"])
-
-
-def _departures(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
-    """Where sketches depart from the centre: number of cells, most differing tokens of a pair, first cells."""
-    sizes, most, cells = [], [], []
-    rows = zip(*(batch.column(c).to_pylist() for c in ("n", "sketch", "centre")))
-    for n, own, centre in rows:
-        differ = (100 - percent) * (n + n * 100 // percent) // (100 + percent)
-        bits = np.unpackbits(np.frombuffer(own, np.uint8) ^ np.frombuffer(centre, np.uint8))
-        at = np.flatnonzero(bits)
-        sizes.append(len(at))
-        most.append(differ)
-        cells.append(at[: differ + 1])
-    arrays = [batch.column(c) for c in ("post", "node", "component")]
-    arrays += [pa.array(sizes, pa.int32()), pa.array(most, pa.int32()), pa.array(cells, pa.list_(pa.int32()))]
-    return pa.RecordBatch.from_arrays(arrays, ["post", "node", "component", "size", "most", "cells"])
+def _centres(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """The tokens of most sets, and those in which two or more sets depart from them, the commonest last."""
+    shingles = Shingles(length)
+    centres, usual = [], []
+    for texts in batch.column("texts").to_pylist():
+        tokens, count = np.unique(np.concatenate([shingles.of(zlib.decompress(t)) for t in texts]), return_counts=True)
+        inside = count * 2 > len(texts)
+        centres.append(tokens[inside].tobytes())
+        departing = np.where(inside, len(texts) - count, count)
+        often = departing > 1
+        usual.append(tokens[often][np.argsort(departing[often], kind="stable")].tobytes())
+    return pa.RecordBatch.from_arrays([batch.column("post"), pa.array(centres, pa.binary()), pa.array(usual, pa.binary())], ["post", "centre", "usual"])
+
+
+def _departures(batches: Iterator[pa.RecordBatch], length: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Where sets depart from the centre: number of tokens, most differing tokens of a pair, first tokens."""
+    shingles = Shingles(length)
+    for part in slices(batches):
+        sizes, most, tokens = [], [], []
+        own: dict[bytes, np.ndarray] = {}
+        for n, text, centre, usual in zip(*(part.column(c).to_pylist() for c in ("n", "packed", "centre", "usual"))):
+            if text not in own:
+                own[text] = shingles.of(zlib.decompress(text))
+            apart = np.setxor1d(own[text], np.frombuffer(centre, np.uint64), assume_unique=True)
+            last = np.frombuffer(usual, np.uint64)
+            by = np.argsort(last, kind="stable")
+            at = np.minimum(np.searchsorted(last[by], apart), max(len(last) - 1, 0))
+            known = last[by][at] == apart if len(last) else np.zeros(len(apart), bool)
+            rank = np.where(known, by[at] + 1 if len(last) else 0, 0)
+            differ = (100 - percent) * (n + n * 100 // percent) // (100 + percent)
+            sizes.append(len(apart))
+            most.append(differ)
+            # -1 is the token of all near ones
+            tokens.append((apart[np.argsort(rank, kind="stable")][: differ + 1] >> np.uint64(1)).astype(np.uint64))
+        arrays = [part.column(c) for c in ("post", "node", "component")]
+        arrays += [pa.array(sizes, pa.int32()), pa.array(most, pa.int32()), _lists(tokens)]
+        yield pa.RecordBatch.from_arrays(arrays, ["post", "node", "component", "size", "most", "tokens"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -342,43 +473,39 @@ def components(links: DataFrame) -> DataFrame:
 
 def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document row."""
-    thin = written(posted_tokens(docs, length, percent))
-    nodes = written(
-        thin.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    )
-    # one row of each set, found by id as well, so that many copies are no hot key
-    ones = nodes.join(thin.withColumnRenamed("doc_id", "node"), ["fp", "node"])
-    posting = ones.select("node", F.explode("low").alias("token"))
-    classes = written(
-        posting.groupBy("token").agg(
-            F.count("*").alias("nodes"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor("node").alias("all")
-        ).where("nodes > 1")
-    )
-    middle = F.col("all").bitwiseXOR(F.col("first")).bitwiseXOR(F.col("last"))
-    of_token = F.when(F.col("nodes") == 2, F.array(F.struct("first", "last"))).otherwise(
-        F.array(F.struct("first", "last"), F.struct("first", middle.alias("last")), F.struct(middle.alias("first"), "last"))
-    )
-    few = classes.where(F.col("nodes") <= RARE).select(F.explode(of_token).alias("p"))
-    rare = written(distinct_pairs(F.col("p.first"), F.col("p.last"), few))
-    frequent = posting.join(classes.where(F.col("nodes") > RARE).select("token"), "token").groupBy("node").count()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    posted_share = small_hash(percent) / 2**64
+    buckets = max(32, int(size / 6 * posted_share) // BUCKET_TOKENS)
+    scan = written(scanned(docs, length, percent, buckets))
+    thin = written(scan.where("n IS NOT NULL").select("doc_id", "n", "node", "n_low"))
+    met = written(met_tokens(scan.where("bucket IS NOT NULL").select("bucket", "tokens", "nodes")).unionByName(
+        scan.where("n IS NULL AND node IS NOT NULL").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.col("n_low").alias("frequent"))
+    ))
+    del scan
+    # one row of each set, the copy with the least id stands for it
+    linkable = thin.where("n > 0 AND doc_id IS NOT NULL")
+    nodes = written(linkable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("n_low").alias("n_low")))
+    rare = written(distinct_pairs(F.col("a"), F.col("b"), met.where("b IS NOT NULL")))
+    frequent = met.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("frequent").alias("frequent"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     extended = (
-        ones.select("node", prefix.alias("prefix"), F.size("low").alias("low")).join(frequent, "node", "left")
-        .where(F.col("low") - F.coalesce("count", F.lit(0)) < F.col("prefix"))
+        nodes.join(frequent, "node", "left").where(F.col("n_low") - F.coalesce("frequent", F.lit(0)) < prefix)
         .select("node", F.lit(True).alias("extended"))
     )
     paired = rare.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("extended")).distinct()
-    wanted = written(extended.unionByName(paired).groupBy("node").agg(F.max("extended").alias("extended")))
-    # the posted tokens have done their part; without a reference they leave the shared folder
-    thin = written(thin.select("doc_id", "n", "fp"))
-    del ones, posting, classes, few, frequent, extended, paired
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
+    wanted = extended.unionByName(paired).groupBy("node").agg(F.max("extended").alias("extended"))
+    wanted = written(wanted.join(nodes.select("node", "doc_id"), "node"))
+    del met, frequent, extended, paired
+    # repeated rows are one, where the join has put them together
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").distinct()
     sets = written(whole_sets(texts, length, percent))
 
     posts = sets.select("node", F.explode("posts").alias("post"))
-    buckets = posts.groupBy("post").agg(F.count("*").alias("nodes"), F.min("node").alias("first")).where("nodes > 1")
-    members = written(posts.join(buckets, "post"))
-    stars = distinct_pairs(F.col("node"), F.col("first"), members)
+    buckets_of = posts.groupBy("post").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    members = written(posts.join(buckets_of, "post"))
+    central = members.groupBy("node").agg(F.sum("nodes").alias("weight"))
+    pivots = members.select("post", "node").join(central, "node").groupBy("post").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
+    stars = distinct_pairs(F.col("node"), F.col("pivot"), members.join(pivots, "post"))
     tried = written(rare.unionByName(stars).distinct())
     links = written(verified(tried, sets, length, percent))
     joined = components(links)
@@ -391,29 +518,36 @@ def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -
     few = open_members.where(F.col("nodes") <= CROWDED)
     other = few.select("post", F.col("node").alias("other"), F.col("component").alias("other_component"))
     across = few.join(other, "post").where("component < other_component").select("node", "other").unionByName(
-        across_crowded(open_members.where(F.col("nodes") > CROWDED), sets, percent)
+        across_crowded(open_members.where(F.col("nodes") > CROWDED), sets, length, percent)
     )
     more = distinct_pairs(F.col("node"), F.col("other"), across).join(tried, ["a", "b"], "left_anti")
     found = written(verified(more, sets, length, percent))
-    final = components(links.unionByName(found))
-
-    of_set = nodes.join(final, "node", "left").select("fp", F.coalesce("component", "node").alias("of_fp"))
-    of_row = (
-        thin.select("doc_id", "n", "fp").join(of_set, "fp", "left")
+    # rows that share an id are one document
+    shared = linkable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_last")).where("a < _last")
+    same = linkable.select("doc_id", F.col("node").alias("b")).join(shared, "doc_id").where("a < b").select("a", "b")
+    final = components(links.unionByName(found).unionByName(same))
+
+    placed_nodes = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed_nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_node = placed_nodes.join(least, "component").select("node", "component_id")
+    return (
+        thin.select("doc_id", "n", "node").join(of_node, "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"),
-                F.when(F.col("doc_id").isNotNull(), F.coalesce("of_fp", "doc_id")).alias("component_id"))
+                F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     )
-    return of_row
 
 
 def keep_one_of_each(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near duplicates: of each component the one with the smallest id.
 
+    Of several rows with that id the one with the least digest of its text stays (then of all its columns), so reruns agree.
     Rows without an id can't be told apart and stay.
     """
     kept = similarity_components(docs, length, percent).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    order = [F.md5(F.coalesce("text", F.lit(""))), F.xxhash64(*docs.columns)]
+    first = known.withColumn("__first", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where("__first = 1")
+    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -100,6 +100,54 @@ def test_one_of_each_stays(spark):
     assert kept.where("doc_id IS NULL").count() == 2
 
 
+def test_unlike_texts_of_one_id(spark):
+    """They are one document for the links, and reruns keep the same text."""
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 5000, 60))
+    one, two, other = text(), text(), text()
+    rows = [(5, one), (5, two), (5, two), (7, one + " end"), (8, "start " + two), (9, other), (9, other), (None, one)]
+    compare(spark, rows, 5, 80)
+    kept = [sorted((r.doc_id or 0, r.text) for r in jaccard.keep_one_of_each(table(spark, order).repartition(n), 5, 80).collect())
+            for order, n in ((rows, 1), (rows[::-1], 3))]
+    assert kept[0] == kept[1] and [d for d, _ in kept[0]] == [0, 5, 9]
+
+
+def passage_sharers(count, shared, own, seed=6):
+    rng = np.random.default_rng(seed)
+    passage = " ".join(f"p{i}" for i in range(shared))
+    return [(i, " ".join([*[f"o{i}x{j}" for j in range(own // 2)], passage, *[f"q{i}x{j}" for j in range(own - own // 2)]])) for i in rng.permutation(count).tolist()]
+
+
+@pytest.mark.parametrize("count, own, groups", [(2000, 60, 2000), (400, 30, 1)])
+def test_a_passage_that_many_texts_share(spark, monkeypatch, count, own, groups):
+    """All nodes lie in the same combinations; the pairs that are tried stay in proportion to the rows."""
+    tried, original = [], jaccard.verified
+
+    def spied(pairs, *rest):
+        tried.append(pairs.count())
+        return original(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", spied)
+    out = jaccard.similarity_components(table(spark, passage_sharers(count, 300, own)), 5, 80).collect()
+    assert len(out) == count and len({r.component_id for r in out}) == groups
+    assert sum(tried) < 20 * count
+
+
+def test_packed_tokens():
+    rng = np.random.default_rng(1)
+    values = np.sort(rng.integers(0, 2**40, 1000)).astype(np.uint64)
+    assert (jaccard._numbers(jaccard._planes(values, 5), 5) == values).all()
+
+
+@pytest.mark.parametrize("held, bucket", [(1 << 20, 500_000), (50, 40)])
+def test_few_tokens_at_a_time(spark, monkeypatch, held, bucket):
+    """Documents in many small batches: what is frequent in one of them is told to all."""
+    monkeypatch.setattr(jaccard, "HELD_TOKENS", held)
+    monkeypatch.setattr(jaccard, "BUCKET_TOKENS", bucket)
+    rows = corpus(12) + [(1000 + i, "the same words again and again for everybody here " + f"x{i} y{i}") for i in range(30)]
+    compare(spark, rows, 3, 90)
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_qualifying_sets_share_a_combination(percent):
     rng = np.random.default_rng(percent)
