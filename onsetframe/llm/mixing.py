@@ -66,31 +66,38 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0) -> Dat
     return judged.select("source", "source_size", target.alias("target"))
 
 
+def _near(by_source: DataFrame) -> DataFrame:
+    """A table with a row per source, broadcast up to a number of rows."""
+    return F.broadcast(by_source) if by_source.count() <= BROADCAST_SOURCES else by_source
+
+
 def thresholds(thin: DataFrame, targets: DataFrame) -> DataFrame:
     """How often each source is taken whole, and up to which hash once more.
 
-    ``thin`` has (source, size, place). Every level reads only the rows of the boundary buckets.
+    ``thin`` has (source, size, place). The open bucket of every source meets the rows before they are summed, so beyond the
+    first level only the rows of the boundary buckets are aggregated.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    state = targets.withColumns({"whole": whole.cast("long"), "prefix": F.lit(""), "below": F.lit(0)}).withColumn(
+    state = targets.withColumns({"whole": whole.cast("long"), "prefix": F.lit(""), "below": F.lit(0).cast("long")}).withColumn(
         "rest", F.col("target") - F.col("whole") * F.col("source_size")
     )
+    facts = ["source_size", "target", "whole", "rest"]
     length = 0
     for digits in LEVELS:
-        rows = thin.select(
-            F.col("source").alias("s"), "size", F.substring("place", 1, digits).alias("bucket"),
-            F.substring("place", 1, length).alias("p"),
-        ).groupBy("s", "p", "bucket").agg(F.sum("size").alias("bytes"))
-        inside = state.join(rows, F.col("source").eqNullSafe(F.col("s")) & (F.col("prefix") == F.col("p")))
+        state = checkpointed(state)
+        opened = _near(state.select(F.col("source").alias("s"), "prefix"))
+        boundary = thin.join(opened, F.col("source").eqNullSafe(F.col("s")) & (F.substring("place", 1, length) == F.col("prefix")))
+        rows = boundary.groupBy("s", F.substring("place", 1, digits).alias("bucket")).agg(F.sum("size").alias("bytes"))
+        inside = _near(state).join(rows, F.col("source").eqNullSafe(F.col("s")))
         running = F.col("below") + F.sum("bytes").over(Window.partitionBy("source").orderBy("bucket"))
         crossing = (
             inside.withColumn("running", running)
             .where(F.col("running") >= F.col("rest") - 1e-6)
             .groupBy("source")
-            .agg(F.min(F.struct("bucket", "running", "bytes", "source_size", "target", "whole", "rest")).alias("b"))
+            .agg(F.min(F.struct("bucket", "running", "bytes", *facts)).alias("b"))
         )
         state = crossing.select(
-            "source", "b.source_size", "b.target", "b.whole", "b.rest", F.col("b.bucket").alias("prefix"),
+            "source", *[f"b.{c}" for c in facts], F.col("b.bucket").alias("prefix"),
             (F.col("b.running") - F.col("b.bytes")).alias("below"), F.col("b.bytes").alias("last"),
         )
         length = digits
@@ -111,9 +118,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = 1.0) -> tuple[DataF
 
 def with_copies(rows: DataFrame, limits: DataFrame, keep: list[str]) -> DataFrame:
     """``rows`` (with source and place) and how many ``copies`` the mix takes of each."""
-    limits = limits.withColumnRenamed("source", "limit_source")
-    if limits.count() <= BROADCAST_SOURCES:
-        limits = F.broadcast(limits)
+    limits = _near(limits.withColumnRenamed("source", "limit_source"))
     once_more = (F.col("place") < F.col("threshold")) | (
         (F.col("place") == F.col("threshold")) & F.col("with_last")
     )

@@ -1,10 +1,14 @@
 import base64
+import bz2
 import gzip
+import lzma
 import re
+import time
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 
 from onsetframe.llm import secrets
 
@@ -65,12 +69,59 @@ def test_base_spans(spark):
     assert any(naive(t) for t in texts)
 
 
-def test_cycles_and_bombs():
+LONG = "password = abcdefghijklmnop"
+
+
+@pytest.mark.parametrize("layer", [
+    lambda t: b64(gzip.compress(b"nothing here") + gzip.compress(t.encode())),
+    lambda t: b64(bz2.compress(b"nothing here") + bz2.compress(b"nor here") + bz2.compress(t.encode())),
+    lambda t: b64(zstandard.ZstdCompressor().compress(b"nothing") + zstandard.ZstdCompressor().compress(t.encode())),
+    lambda t: b64(lzma.compress(b"nothing") + lzma.compress(t.encode())),
+    lambda t: "data/base64/abc/" + b64(gzip.compress(t.encode())), lambda t: "abcdefgh" + b64(gzip.compress(t.encode())),
+    lambda t: "abcde" + b64(zlib.compress(t.encode(), 9)), lambda t: "abcde" + b64(bz2.compress(t.encode())),
+    lambda t: b64(gzip.compress(b"\x00\x01 " + t.encode() + b" \xff\x02")), lambda t: b64(zlib.compress(b"caf\xe9 " + t.encode())),
+    lambda t: urllib.parse.quote(gzip.compress(t.encode())), lambda t: urllib.parse.quote(bz2.compress(t.encode()), safe=""),
+    lambda t: urllib.parse.quote(urllib.parse.quote(zlib.compress(t.encode()))),
+    lambda t: b64(gzip.compress(bz2.compress(zlib.compress(t.encode())))),
+    lambda t: b64(gzip.compress(t.encode()) + b"trailing bytes"), lambda t: b64(gzip.compress(t.encode() * 50)[:-20]),
+])
+def test_compressed_layers(layer):
+    text = "Before it, " + layer(LONG) + " and after."
+    assert any(k == 0 for _, k, _ in secrets.scan(text)[1])
+    assert not secrets.scan(secrets.redacted(text))[1]
+
+
+def test_large_content_is_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 5000)
+    monkeypatch.setattr(secrets, "OVERLAP", 500)
+    filler = b"some words without any meaning " * 3000
+    for at in (0, 4990, 5003, 30_000, len(filler)):
+        packed = b64(gzip.compress(filler[:at] + b" " + LONG.encode() + b" " + filler[at:]))
+        assert [k for _, k, _ in secrets.scan("x " + packed)[1]].count(0) == 1
+
+
+def test_cycles_and_bombs(monkeypatch):
     assert secrets.scan("%2525252525" * 50)[2] == 0
-    bomb = b64(zlib.compress(b"a" * (secrets.OPENED_BYTES + 10)))
+    monkeypatch.setattr(secrets, "OPENED_BYTES", 32 << 20)
+    bomb = b64(zlib.compress(b"a" * (secrets.OPENED_BYTES + (8 << 20))))
     base, spans, unopened = secrets.scan(f"{SECRET} {bomb}")
-    assert unopened == 1 and spans[: len(base)] == base
+    assert unopened == 1 and set(base) <= set(spans)
     assert kinds("H4sIAAAAAAAA///////// " + SECRET)  # a broken stream
+    nested = LONG.encode()
+    for _ in range(secrets.NESTED + 2):
+        nested = gzip.compress(nested)
+    assert secrets.scan(b64(nested))[2] == 1
+
+
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 40, 333_000])
+def test_many_times_escaped(depth):
+    """Peeled in half as many steps each time: a megabyte takes no longer than it has characters."""
+    text = "a %" + "25" * depth + "74oken=abcdefghijklmnop z"
+    start = time.perf_counter()
+    spans = secrets.scan(text)[1]
+    assert time.perf_counter() - start < 20
+    begin, end = text.index("%") , text.index(" z")
+    assert (begin, 0, end) in spans
 
 
 def test_redaction():
