@@ -7,7 +7,8 @@ a bounded set of queries is answered by brute force over all rows, and the budge
 ``RECALL`` of their neighbours. Visited entries are ranked by the exact inner product.
 
 Entries and queries meet in blocks: some first centroids, or a part of the entries of a crowded one, and
-a part of the queries, so no crowded cell and no number of queries makes a task large. Bounded on the driver: the codebooks and
+a set of queries that visit it, so no crowded cell and no number of queries makes a task large; an entry is copied only for
+the sets that visit its block. Bounded on the driver: the codebooks and
 their sample, one count per cell, the calibration queries and their neighbours.
 
 Defined results: vectors that are null, zero, of another than the commonest length, or with null
@@ -33,10 +34,10 @@ QUERY_EVERY = 20
 RECALL = 0.96
 FIT_VECTORS = 16_384
 CALIBRATION_QUERIES = 96
-MOST_CENTROIDS = 256
+MOST_CENTROIDS = 1024
 LEAST_VISITED = 1024
 ROUNDS = 12
-ENTRY_BLOCK, QUERY_BLOCK = 4096, 1024
+ENTRY_BLOCK, QUERY_SET, TILE = 4096, 16_384, 512
 # products within this of the last place are ranked by the exact sum
 SLACK = 1e-9
 FOUND = ["query_id", "vec_id", "score"]
@@ -230,7 +231,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, recall: float
     entries, index = built
     index.visit = max(calibrated(entries, index, queries, top, recall), LEAST_VISITED, 2 * top)
     asked = queries.count()
-    query_parts = -(-asked // QUERY_BLOCK) or 1
+    query_sets = -(-asked // QUERY_SET) or 1
     block_of, parts = index.blocks(ENTRY_BLOCK)
     width = len(index.second)
 
@@ -255,24 +256,35 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, recall: float
     asking = (
         queries.mapInArrow(plan, f"query_id long, query {kind}, block int, visit array<int>")
         .withColumn("part", F.explode(F.sequence(F.lit(0), parts_of - 1)))
-        .withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int"))
+        .withColumn("query_set", F.pmod(F.xxhash64("query_id"), F.lit(query_sets)).cast("int"))
     )
+    asking = checkpointed(asking) if query_sets > 1 else asking
     held = (
         entries.withColumn("block", F.element_at(F.array(*[F.lit(b) for b in block_of]), F.col("c1") + 1))
         .withColumn("part", F.pmod(F.xxhash64("vec_id"), parts_of).cast("int"))
-        .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
     )
+    if query_sets > 1:
+        visits = asking.groupBy("block", "part").agg(F.collect_set("query_set").alias("query_set"))
+        held = held.join(visits, ["block", "part"]).withColumn("query_set", F.explode("query_set"))
+    else:
+        held = held.withColumn("query_set", F.lit(0))
 
     def meet(q: pa.Table, e: pa.Table) -> pa.Table:
         ids, x = e.column("vec_id").to_numpy(), matrix(e.column("embedding").combine_chunks())
         asked_ids, asked_q = q.column("query_id").to_numpy(), matrix(q.column("query").combine_chunks())
-        if not len(ids) or not len(asked_ids):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], FOUND)
-        once = _few_copies(asked_ids, asked_q, len(asked_ids))
-        asked_ids, asked_q, lists = asked_ids[once], asked_q[once], q.column("visit").take(pa.array(once)).to_pylist()
-        keep = _few_copies(ids, x, top)
-        cell = (e.column("c1").to_numpy().astype(np.int64) * width + e.column("c2").to_numpy())[keep]
-        ids, x = ids[keep], x[keep]
+        found = []
+        if len(ids) and len(asked_ids):
+            once = _few_copies(asked_ids, asked_q, len(asked_ids))
+            keep = _few_copies(ids, x, top)
+            cell = (e.column("c1").to_numpy().astype(np.int64) * width + e.column("c2").to_numpy())[keep]
+            ids, x = ids[keep], x[keep]
+            for start in range(0, len(once), TILE):
+                at = once[start : start + TILE]
+                found += _tile(asked_ids[at], asked_q[at], q.column("visit").take(pa.array(at)).to_pylist(), ids, x, cell)
+        columns = [np.concatenate([f[i] for f in found]) for i in range(3)] if found else [(), (), ()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], FOUND)
+
+    def _tile(asked_ids, asked_q, lists, ids, x, cell) -> list[tuple]:
         here, of = np.unique(cell, return_inverse=True)
         visits = np.zeros((len(asked_ids), len(here)), bool)
         for i, cells in enumerate(lists):
@@ -286,14 +298,11 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, recall: float
             if len(who):
                 scores[np.ix_(who, what)] = asked_q[who] @ x[what].T
         scores[asked_ids[:, None] == ids[None, :]] = -np.inf
-        pairs = list(best(scores, asked_q, x, ids, top))
-        return pa.table(
-            [pa.array(np.repeat(asked_ids, [len(at) for at, _ in pairs])), pa.array(np.concatenate([ids[at] for at, _ in pairs])),
-             pa.array(np.concatenate([exact for _, exact in pairs]) + 0.0)],
-            FOUND,
-        )
-
-    key = ["block", "part", "query_part"]
+        return [
+            (np.full(len(at), own), ids[at], exact + 0.0) for own, (at, exact) in zip(asked_ids, best(scores, asked_q, x, ids, top))
+        ]
+
+    key = ["block", "part", "query_set"]
     met = asking.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
     # a query has at most ``top`` rows of each block it visited
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

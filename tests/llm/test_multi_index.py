@@ -37,6 +37,31 @@ def test_recall_on_the_given_vectors(spark):
     assert all(len(found[q]) == 20 for q in asked)
 
 
+def test_recall_where_few_are_visited(spark):
+    """Twenty thousand clustered vectors, of which a query visits a part."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(200, 24))
+    x = (centres[rng.integers(0, 200, 20_000)] + 0.35 * rng.normal(size=(20_000, 24))).astype(np.float32)
+    ids = np.arange(20_000)
+    vectors = multi_index.usable_vectors(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>"))
+    visited, original = [], multi_index.calibrated
+
+    def spied(*args):
+        visited.append(original(*args))
+        return visited[-1]
+
+    multi_index.calibrated = spied
+    try:
+        found = {}
+        for r in multi_index.search(vectors, vectors.where("vec_id % 100 = 0")).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+    finally:
+        multi_index.calibrated = original
+    wide = x.astype(float)
+    hits = sum(len(found[q] & {v for v, _ in brute(ids, wide, q)}) for q in range(0, 20_000, 100))
+    assert hits >= 0.9 * 20 * 200 and max(*visited, multi_index.LEAST_VISITED) < 10_000
+
+
 def test_small_tables_and_ties_are_exact(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(60)]
@@ -48,7 +73,8 @@ def test_small_tables_and_ties_are_exact(spark):
 
 def test_crowded_cells_are_split(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "ENTRY_BLOCK", 16)
-    monkeypatch.setattr(multi_index, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(multi_index, "QUERY_SET", 4)
+    monkeypatch.setattr(multi_index, "TILE", 2)
     rng = np.random.default_rng(2)
     rows = [(i, (rng.normal(size=4) * 0.01 + 1).astype(np.float32).tolist()) for i in range(300)]
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(float)
