@@ -9,7 +9,7 @@ nodes) give their few pairs at once. Sets of the other kind extend the prefix to
 post token combinations: the set is cut by hash into more groups than a qualifying pair can have
 differing tokens, so some non-empty group agrees as a whole, about eight tokens at a time. A
 combination's nodes are first paired with its pivot only, the one that shares most combinations with others; what these
-links do not join is paired afterwards, in a crowded combination by the rarest tokens in which its nodes depart from its centre. A parity
+links do not join is paired afterwards, in crowded combinations by the tokens in which nodes depart from the pivot. A parity
 bitmap gives a lower bound of the difference and discards most pairs; the rest are verified on the
 whole sets. Links are joined to components by repeated stars.
 
@@ -23,12 +23,12 @@ doc_id has no component; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +42,8 @@ BUCKET_TOKENS = 500_000
 FREQUENT = -1  # in the place of a node: the token is frequent
 SKETCH_BITS = 2048
 REMEMBERED = 200_000
-CROWDED = 16  # nodes of a combination that are paired without regard to their sketches
-CENTRE = 64
+CROWDED = 16  # nodes of a combination that are paired without regard to their departures
+PACKING = 6  # level of the compression of texts that are moved
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 U32, U29 = np.uint64(32), np.uint64(29)
 
@@ -296,7 +296,7 @@ def whole_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(length)
+        shingles, packer = Shingles(length), zstandard.ZstdCompressor(level=PACKING)
         none = np.empty(0, np.uint64)
         for part in slices(batches):
             texts = utf8(part)
@@ -307,7 +307,7 @@ def whole_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("node"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([zlib.compress(t, 6) for t in texts], pa.binary()),
+                    pa.array([packer.compress(t) for t in texts], pa.binary()),
                     pa.array([sketch(s) for s in sets], pa.binary()),
                     _lists([combinations(s, percent) if e and len(s) else none for s, e in zip(sets, extended)]),
                 ],
@@ -347,97 +347,73 @@ def _near(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
 
 def _linked(batches: Iterator[pa.RecordBatch], length: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose sets have 100 |x & y| >= percent |x | y|."""
-    shingles = Shingles(length)
+    shingles, opener = Shingles(length), zstandard.ZstdDecompressor()
     for part in slices(batches):
         sets: dict[bytes, np.ndarray] = {}  # a text of many pairs is cut into shingles once a slice
         found = []
         for one, other in zip(part.column("packed_a").to_pylist(), part.column("packed_b").to_pylist()):
             for packed in (one, other):
                 if packed not in sets:
-                    sets[packed] = shingles.of(zlib.decompress(packed))
+                    sets[packed] = shingles.of(opener.decompress(packed))
             x, y = sets[one], sets[other]
             shared = len(np.intersect1d(x, y, assume_unique=True))
             found.append(100 * shared >= percent * (len(x) + len(y) - shared))
         yield part.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
-def across_crowded(members: DataFrame, sets: DataFrame, length: int, percent: int) -> DataFrame:
-    """Pairs ``(node, other)`` across components of crowded combinations; no link between them is left out.
+def across_crowded(family: DataFrame, sets: DataFrame, length: int, percent: int) -> DataFrame:
+    """Pairs ``(node, other)`` across components of the nodes that share a pivot; no link between them is left out.
 
-    What all of a combination's nodes share tells nothing, so each is seen as the tokens in which its set departs
-    from a centre of the combination. Two sets that differ in at most d tokens have departures that differ in the same
-    tokens: so they have a common one among the first d + 1 of either, in an order common to both, at places that
-    add up to d at most, or no common one and d in all. The first are posted token by token, the latter meet
-    in the token of all near ones.
-
-    The claim holds for any centre and any order. The centre has the tokens of most of ``CENTRE`` nodes or so; tokens in which
-    several of these depart from it come last in the order, so what is posted is rare.
+    What all of them share tells nothing, so each is seen as the tokens in which its set departs from the pivot's. Two sets that
+    differ in at most d tokens have departures that differ in the same tokens: so they have a common one among the first
+    d + 1 of either, in an order common to both, at places that add up to d at most, or no common one and d in all. The
+    first are posted token by token, the latter meet in the token of all near ones. The order takes tokens that the pivot lacks first: they
+    are mostly a text's own, while those that a text lacks are the pivot's, and lacked by many. The one of the lower place
+    is within d / 2, so only such places are looked up.
     """
     packed = sets.select("node", "n", "packed")
-    some = members.where(F.pmod(F.xxhash64("node"), "nodes") < CENTRE).select("post", "node").join(packed, "node")
-    centres = some.groupBy("post").agg(F.collect_list("packed").alias("texts")).mapInArrow(
-        lambda batches: (_centres(b, length) for part in batches for b in slices([part], 16)), "post long, centre binary, usual binary"
-    )
-    apart = members.join(packed, "node").join(centres, "post")
-    posted = apart.select("post", "node", "component", "n", "packed", "centre", "usual").mapInArrow(
+    pivots = packed.select(F.col("node").alias("pivot"), F.col("packed").alias("centre"))
+    posted = family.join(packed, "node").join(pivots, "pivot").select("pivot", "node", "component", "n", "packed", "centre").mapInArrow(
         lambda batches: _departures(batches, length, percent),
-        "post long, node long, component long, size int, most int, tokens array<long>",
+        "pivot long, node long, component long, size int, most int, tokens array<long>",
     )
-    tokens = written(posted.select("post", "node", "component", "size", "most", F.posexplode("tokens").alias("place", "token")).unionByName(
-        posted.where("size <= most").select("post", "node", "component", "size", "most", F.lit(0).alias("place"), F.lit(-1).cast("long").alias("token"))
+    tokens = written(posted.select("pivot", "node", "component", "size", "most", F.posexplode("tokens").alias("place", "token")).unionByName(
+        posted.where("size <= most").select("pivot", "node", "component", "size", "most", F.col("size").alias("place"), F.lit(-1).cast("long").alias("token"))
     ))
     # a token of one component alone brings nobody together
-    shared = tokens.groupBy("post", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    tokens = tokens.join(shared.select("post", "token"), ["post", "token"])
+    shared = tokens.groupBy("pivot", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    tokens = tokens.join(shared.select("pivot", "token"), ["pivot", "token"])
     other = tokens.select(
-        "post", "token", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "size", "most", "place"))
+        "pivot", "token", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "size", "most", "place"))
     )
     most = F.least("most", "other_most")
-    return tokens.join(other, ["post", "token"]).where(
-        (F.col("component") < F.col("other_component"))
+    return tokens.where("2 * place <= most").join(other, ["pivot", "token"]).where(
+        (F.col("component") != F.col("other_component"))
         & (F.abs(F.col("size") - F.col("other_size")) <= most)
         & (F.col("place") + F.col("other_place") <= most)
-        & ((F.col("token") >= 0) | (F.col("size") + F.col("other_size") <= most))
     ).select("node", F.col("other_node").alias("other"))
 
 
-def _centres(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """The tokens of most sets, and those in which two or more sets depart from them, the commonest last."""
-    shingles = Shingles(length)
-    centres, usual = [], []
-    for texts in batch.column("texts").to_pylist():
-        tokens, count = np.unique(np.concatenate([shingles.of(zlib.decompress(t)) for t in texts]), return_counts=True)
-        inside = count * 2 > len(texts)
-        centres.append(tokens[inside].tobytes())
-        departing = np.where(inside, len(texts) - count, count)
-        often = departing > 1
-        usual.append(tokens[often][np.argsort(departing[often], kind="stable")].tobytes())
-    return pa.RecordBatch.from_arrays([batch.column("post"), pa.array(centres, pa.binary()), pa.array(usual, pa.binary())], ["post", "centre", "usual"])
-
-
 def _departures(batches: Iterator[pa.RecordBatch], length: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Where sets depart from the centre: number of tokens, most differing tokens of a pair, first tokens."""
-    shingles = Shingles(length)
+    """Where sets depart from the pivot's: number of tokens, most differing tokens of a pair, first tokens."""
+    shingles, opener = Shingles(length), zstandard.ZstdDecompressor()
     for part in slices(batches):
         sizes, most, tokens = [], [], []
         own: dict[bytes, np.ndarray] = {}
-        for n, text, centre, usual in zip(*(part.column(c).to_pylist() for c in ("n", "packed", "centre", "usual"))):
-            if text not in own:
-                own[text] = shingles.of(zlib.decompress(text))
-            apart = np.setxor1d(own[text], np.frombuffer(centre, np.uint64), assume_unique=True)
-            last = np.frombuffer(usual, np.uint64)
-            by = np.argsort(last, kind="stable")
-            at = np.minimum(np.searchsorted(last[by], apart), max(len(last) - 1, 0))
-            known = last[by][at] == apart if len(last) else np.zeros(len(apart), bool)
-            rank = np.where(known, by[at] + 1 if len(last) else 0, 0)
+        for n, text, centre in zip(*(part.column(c).to_pylist() for c in ("n", "packed", "centre"))):
+            for held in (text, centre):
+                if held not in own:
+                    own[held] = shingles.of(opener.decompress(held))
+            more = np.setdiff1d(own[text], own[centre], assume_unique=True)
+            less = np.setdiff1d(own[centre], own[text], assume_unique=True)
             differ = (100 - percent) * (n + n * 100 // percent) // (100 + percent)
-            sizes.append(len(apart))
+            sizes.append(len(more) + len(less))
             most.append(differ)
             # -1 is the token of all near ones
-            tokens.append((apart[np.argsort(rank, kind="stable")][: differ + 1] >> np.uint64(1)).astype(np.uint64))
-        arrays = [part.column(c) for c in ("post", "node", "component")]
+            tokens.append(np.concatenate((more, less))[: differ + 1] >> np.uint64(1))
+        arrays = [part.column(c) for c in ("pivot", "node", "component")]
         arrays += [pa.array(sizes, pa.int32()), pa.array(most, pa.int32()), _lists(tokens)]
-        yield pa.RecordBatch.from_arrays(arrays, ["post", "node", "component", "size", "most", "tokens"])
+        yield pa.RecordBatch.from_arrays(arrays, ["pivot", "node", "component", "size", "most", "tokens"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -504,7 +480,7 @@ def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -
     buckets_of = posts.groupBy("post").agg(F.count("*").alias("nodes")).where("nodes > 1")
     members = written(posts.join(buckets_of, "post"))
     central = members.groupBy("node").agg(F.sum("nodes").alias("weight"))
-    pivots = members.select("post", "node").join(central, "node").groupBy("post").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
+    pivots = written(members.select("post", "node").join(central, "node").groupBy("post").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot")))
     stars = distinct_pairs(F.col("node"), F.col("pivot"), members.join(pivots, "post"))
     tried = written(rare.unionByName(stars).distinct())
     links = written(verified(tried, sets, length, percent))
@@ -517,8 +493,11 @@ def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -
     open_members = written(placed.join(apart.select("post", "nodes"), "post").select("post", "node", "component", "nodes"))
     few = open_members.where(F.col("nodes") <= CROWDED)
     other = few.select("post", F.col("node").alias("other"), F.col("component").alias("other_component"))
+    family = written(
+        open_members.where(F.col("nodes") > CROWDED).join(pivots, "post").where("node != pivot").select("pivot", "node", "component").distinct()
+    )
     across = few.join(other, "post").where("component < other_component").select("node", "other").unionByName(
-        across_crowded(open_members.where(F.col("nodes") > CROWDED), sets, length, percent)
+        across_crowded(family, sets, length, percent)
     )
     more = distinct_pairs(F.col("node"), F.col("other"), across).join(tried, ["a", "b"], "left_anti")
     found = written(verified(more, sets, length, percent))
