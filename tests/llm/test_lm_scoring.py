@@ -38,11 +38,12 @@ def brute(rows, targets):
     for d, words in texts:
         ids, losses = number(words), []
         for (word, before, pair), total, s in zip(models, totals, scale):
-            loss = 0.0
+            loss, chance = 0.0, total / lm.CELLS
             for a, b in zip(ids, ids[1:]):
                 unigram = (word.get(b, 0) * s + lm.SMOOTH) / (total * s + lm.SMOOTH * size)
-                weight = lm.BIGRAM_WEIGHT if before.get(a) else 0.0
-                loss -= math.log(weight * pair.get((a, b), 0) / max(before.get(a, 0), 1) + (1 - weight) * unigram)
+                weight = lm.BIGRAM_WEIGHT * before.get(a, 0) / max(before.get(a, 0) + chance, 1)
+                joint = min(max(pair.get((a, b), 0) - chance, 0) / max(before.get(a, 0), 1), 1)
+                loss -= math.log(weight * joint + (1 - weight) * unigram)
             losses.append(loss / len(words) if words else None)
         out[d] = losses
     return out
@@ -60,8 +61,42 @@ def test_against_brute_force(spark):
         if one is None:
             assert got[d].score is None and got[d].n_words == 0
         else:
-            assert (got[d].target_loss, got[d].background_loss) == (pytest.approx(one), pytest.approx(other))
-            assert got[d].score == pytest.approx(one - other)
+            assert (got[d].target_loss, got[d].background_loss) == (pytest.approx(one, rel=1e-5), pytest.approx(other, rel=1e-5))
+            assert got[d].score == pytest.approx(one - other, abs=1e-5)
+
+
+def test_models_grow_with_the_corpus(spark):
+    small, large = (table(spark, [(i, "x" * 100_000) for i in range(n)]) for n in (1, 4))
+    assert lm.table_sizes(small) == (lm.VOCABULARY, lm.CELLS)
+    sizes = []
+    for n in (10**9, 4 * 10**9, 10**15):
+        docs = large.limit(1).withColumn("text", lm.F.lit("x"))
+        docs.agg = lambda *_, n=n: type("Agg", (), {"first": staticmethod(lambda: [n])})
+        sizes.append(lm.table_sizes(docs))
+    assert sizes[0][0] * 2 == pytest.approx(sizes[1][0], abs=2) and sizes[0][1] * 2 == sizes[1][1] and sizes[2][1] == lm.MOST_CELLS
+
+
+def test_tables_and_id_filter(spark):
+    import numpy as np
+
+    from onsetframe.llm import cells
+
+    rng = np.random.default_rng(1)
+    tables = [rng.integers(0, 3, 200_000) * (rng.random(200_000) < 0.1) for _ in range(5)]
+    rows = spark.createDataFrame([(i,) for i in range(5)], "i int").repartition(5)
+
+    def emit(batches):
+        for batch in batches:
+            for i in batch.column("i").to_pylist():
+                yield cells.packed("a" if i % 2 else "b", tables[i])
+
+    out = cells.summed(rows.mapInArrow(emit, cells.SCHEMA), {"a": 200_000, "b": 200_000})
+    assert (out["a"] == tables[1] + tables[3]).all() and (out["b"] == tables[0] + tables[2] + tables[4]).all()
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    kept = {r.doc_id for r in cells.IdFilter(ids, "doc_id").keep(spark.range(6000).selectExpr("id AS doc_id", "'x' AS text"), "doc_id").collect()}
+    assert set(range(0, 3000, 3)) <= kept and len(kept) < 1000 + 0.1 * 5000
+    nobody = cells.IdFilter(ids.limit(0), "doc_id")
+    assert nobody.keep(ids, "doc_id").count() == 0
 
 
 def test_good_documents_score_lower(spark):
