@@ -8,9 +8,9 @@ shares a rare token, or both sets have too few rare ones for a prefix. Rare toke
 nodes) give their few pairs at once. Sets of the other kind extend the prefix to the whole set and
 post token combinations: the set is cut by hash into more groups than a qualifying pair can have
 differing tokens, so some non-empty group agrees as a whole, about eight tokens at a time. A
-combination's nodes are first paired with its pivot only, the one that shares most combinations with others; what these
-links do not join is paired afterwards, in crowded combinations by the tokens in which nodes depart from the pivot. A parity
-bitmap gives a lower bound of the difference and discards most pairs; the rest are verified on the
+combination's nodes are first paired with its pivot only, the one that shares most combinations with others, then with one centre of
+all combinations whose pivots are joined; what these links do not join is paired afterwards, in crowded combinations by the
+tokens in which nodes depart from the centre. A parity bitmap gives a lower bound of the difference and discards most pairs; the rest are verified on the
 whole sets. Links are joined to components by repeated stars.
 
 Posted tokens travel packed, in buckets of the hash; a token that is frequent within a task is told to its bucket once,
@@ -361,33 +361,49 @@ def _linked(batches: Iterator[pa.RecordBatch], length: int, percent: int) -> Ite
         yield part.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
+def open_posts(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``post, node, component, nodes`` of the combinations whose nodes are not all joined (kept)."""
+    placed = members.select("post", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = placed.groupBy("post").agg(
+        F.count("*").alias("nodes"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).where("low < high")
+    return written(placed.join(apart.select("post", "nodes"), "post").select("post", "node", "component", "nodes"))
+
+
+def families(opened: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``post, centre`` of the open combinations: those whose pivots are joined have one centre, the pivot that shares most."""
+    near = opened.select("post", "component", F.col("node").alias("pivot")).join(pivots, ["post", "pivot"])
+    centre = near.groupBy("component").agg(F.max(F.struct("weight", "pivot"))["pivot"].alias("centre"))
+    return written(near.select("post", "component").join(centre, "component").select("post", "centre"))
+
+
 def across_crowded(family: DataFrame, sets: DataFrame, length: int, percent: int) -> DataFrame:
-    """Pairs ``(node, other)`` across components of the nodes that share a pivot; no link between them is left out.
-
-    What all of them share tells nothing, so each is seen as the tokens in which its set departs from the pivot's. Two sets that
-    differ in at most d tokens have departures that differ in the same tokens: so they have a common one among the first
-    d + 1 of either, in an order common to both, at places that add up to d at most, or no common one and d in all. The
-    first are posted token by token, the latter meet in the token of all near ones. The order takes tokens that the pivot lacks first: they
-    are mostly a text's own, while those that a text lacks are the pivot's, and lacked by many. The one of the lower place
-    is within d / 2, so only such places are looked up.
+    """Pairs ``(node, other)`` across components of the nodes that have a centre in common; no link between them is left out.
+
+    ``family``: ``centre, node, component``. What all of them share tells nothing, so each is seen as the tokens in which its set
+    departs from the centre's. Two sets that differ in at most d tokens have departures that differ in the same tokens: so they
+    have a common one among the first d + 1 of either, in an order common to both, at places that add up to d at most, or no
+    common one and d in all. The first are posted token by token, the latter meet in the token of all near ones. The order takes tokens
+    that the centre lacks first: they are mostly a text's own, while those that a text lacks are the centre's, and lacked by many. The
+    one of the lower place is within d / 2, so only such places are looked up.
     """
     packed = sets.select("node", "n", "packed")
-    pivots = packed.select(F.col("node").alias("pivot"), F.col("packed").alias("centre"))
-    posted = family.join(packed, "node").join(pivots, "pivot").select("pivot", "node", "component", "n", "packed", "centre").mapInArrow(
+    centres = packed.select(F.col("node").alias("centre"), F.col("packed").alias("middle"))
+    posted = family.join(packed, "node").join(centres, "centre").select("centre", "node", "component", "n", "packed", "middle").mapInArrow(
         lambda batches: _departures(batches, length, percent),
-        "pivot long, node long, component long, size int, most int, tokens array<long>",
+        "centre long, node long, component long, size int, most int, tokens array<long>",
     )
-    tokens = written(posted.select("pivot", "node", "component", "size", "most", F.posexplode("tokens").alias("place", "token")).unionByName(
-        posted.where("size <= most").select("pivot", "node", "component", "size", "most", F.col("size").alias("place"), F.lit(-1).cast("long").alias("token"))
+    tokens = written(posted.select("centre", "node", "component", "size", "most", F.posexplode("tokens").alias("place", "token")).unionByName(
+        posted.where("size <= most").select("centre", "node", "component", "size", "most", F.col("size").alias("place"), F.lit(-1).cast("long").alias("token"))
     ))
     # a token of one component alone brings nobody together
-    shared = tokens.groupBy("pivot", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    tokens = tokens.join(shared.select("pivot", "token"), ["pivot", "token"])
+    shared = tokens.groupBy("centre", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    tokens = tokens.join(shared.select("centre", "token"), ["centre", "token"])
     other = tokens.select(
-        "pivot", "token", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "size", "most", "place"))
+        "centre", "token", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "size", "most", "place"))
     )
     most = F.least("most", "other_most")
-    return tokens.where("2 * place <= most").join(other, ["pivot", "token"]).where(
+    return tokens.where("2 * place <= most").join(other, ["centre", "token"]).where(
         (F.col("component") != F.col("other_component"))
         & (F.abs(F.col("size") - F.col("other_size")) <= most)
         & (F.col("place") + F.col("other_place") <= most)
@@ -395,12 +411,12 @@ def across_crowded(family: DataFrame, sets: DataFrame, length: int, percent: int
 
 
 def _departures(batches: Iterator[pa.RecordBatch], length: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Where sets depart from the pivot's: number of tokens, most differing tokens of a pair, first tokens."""
+    """Where sets depart from the centre's: number of tokens, most differing tokens of a pair, first tokens."""
     shingles, opener = Shingles(length), zstandard.ZstdDecompressor()
     for part in slices(batches):
         sizes, most, tokens = [], [], []
         own: dict[bytes, np.ndarray] = {}
-        for n, text, centre in zip(*(part.column(c).to_pylist() for c in ("n", "packed", "centre"))):
+        for n, text, centre in zip(*(part.column(c).to_pylist() for c in ("n", "packed", "middle"))):
             for held in (text, centre):
                 if held not in own:
                     own[held] = shingles.of(opener.decompress(held))
@@ -411,9 +427,9 @@ def _departures(batches: Iterator[pa.RecordBatch], length: int, percent: int) ->
             most.append(differ)
             # -1 is the token of all near ones
             tokens.append(np.concatenate((more, less))[: differ + 1] >> np.uint64(1))
-        arrays = [part.column(c) for c in ("pivot", "node", "component")]
+        arrays = [part.column(c) for c in ("centre", "node", "component")]
         arrays += [pa.array(sizes, pa.int32()), pa.array(most, pa.int32()), _lists(tokens)]
-        yield pa.RecordBatch.from_arrays(arrays, ["pivot", "node", "component", "size", "most", "tokens"])
+        yield pa.RecordBatch.from_arrays(arrays, ["centre", "node", "component", "size", "most", "tokens"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -480,21 +496,26 @@ def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -
     buckets_of = posts.groupBy("post").agg(F.count("*").alias("nodes")).where("nodes > 1")
     members = written(posts.join(buckets_of, "post"))
     central = members.groupBy("node").agg(F.sum("nodes").alias("weight"))
-    pivots = written(members.select("post", "node").join(central, "node").groupBy("post").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot")))
+    pivots = written(
+        members.select("post", "node").join(central, "node").groupBy("post").agg(F.max(F.struct("weight", "node")).alias("p"))
+        .select("post", F.col("p.node").alias("pivot"), F.col("p.weight").alias("weight"))
+    )
     stars = distinct_pairs(F.col("node"), F.col("pivot"), members.join(pivots, "post"))
     tried = written(rare.unionByName(stars).distinct())
     links = written(verified(tried, sets, length, percent))
-    joined = components(links)
-    # combinations whose nodes are not all joined yet: pairs across components
-    placed = members.select("post", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = placed.groupBy("post").agg(
-        F.count("*").alias("nodes"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low < high")
-    open_members = written(placed.join(apart.select("post", "nodes"), "post").select("post", "node", "component", "nodes"))
-    few = open_members.where(F.col("nodes") <= CROWDED)
+    # combinations whose nodes are not all joined yet: first with a centre of all that belong together
+    opened = open_posts(members, components(links))
+    centre_of = families(opened, pivots)
+    second = distinct_pairs(F.col("node"), F.col("centre"), opened.join(centre_of, "post")).join(tried, ["a", "b"], "left_anti")
+    second = written(second)
+    links = written(links.unionByName(verified(second, sets, length, percent)))
+    tried = tried.unionByName(second)
+    # then pairs across components
+    opened = open_posts(members, components(links))
+    few = opened.where(F.col("nodes") <= CROWDED)
     other = few.select("post", F.col("node").alias("other"), F.col("component").alias("other_component"))
     family = written(
-        open_members.where(F.col("nodes") > CROWDED).join(pivots, "post").where("node != pivot").select("pivot", "node", "component").distinct()
+        opened.where(F.col("nodes") > CROWDED).join(centre_of, "post").select("centre", "node", "component").distinct()
     )
     across = few.join(other, "post").where("component < other_component").select("node", "other").unionByName(
         across_crowded(family, sets, length, percent)
