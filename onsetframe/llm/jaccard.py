@@ -8,9 +8,9 @@ shares a rare token, or both sets have too few rare ones for a prefix. Rare toke
 nodes) give their few pairs at once. Sets of the other kind extend the prefix to the whole set and
 post token combinations: the set is cut by hash into more groups than a qualifying pair can have
 differing tokens, so some non-empty group agrees as a whole, about eight tokens at a time. A
-combination's nodes are first paired with its pivot only, the one that shares most combinations with others, then with one centre of
-all combinations whose pivots are joined; what these links do not join is paired afterwards, in crowded combinations by the
-tokens in which nodes depart from the centre. A parity bitmap gives a lower bound of the difference and discards most pairs; the rest are verified on the
+combination's nodes are first paired with its pivot only, the one that shares most combinations with others; what these
+links do not join is paired afterwards, in crowded combinations by the tokens in which nodes depart from a centre, one for all
+combinations whose pivots are joined. A parity bitmap gives a lower bound of the difference and discards most pairs; the rest are verified on the
 whole sets. Links are joined to components by repeated stars.
 
 Posted tokens travel packed, in buckets of the hash; a token that is frequent within a task is told to its bucket once,
@@ -382,7 +382,7 @@ def across_crowded(family: DataFrame, sets: DataFrame, length: int, percent: int
 
     ``family``: ``centre, node, component``. What all of them share tells nothing, so each is seen as the tokens in which its set
     departs from the centre's. Two sets that differ in at most d tokens have departures that differ in the same tokens: so they
-    have a common one among the first d + 1 of either, in an order common to both, at places that add up to d at most, or no
+    have a common one among the first d + 1 of either, in an order common to both, before which either has few enough, or no
     common one and d in all. The first are posted token by token, the latter meet in the token of all near ones. The order takes tokens
     that the centre lacks first: they are mostly a text's own, while those that a text lacks are the centre's, and lacked by many. The
     one of the lower place is within d / 2, so only such places are looked up.
@@ -391,22 +391,22 @@ def across_crowded(family: DataFrame, sets: DataFrame, length: int, percent: int
     centres = packed.select(F.col("node").alias("centre"), F.col("packed").alias("middle"))
     posted = family.join(packed, "node").join(centres, "centre").select("centre", "node", "component", "n", "packed", "middle").mapInArrow(
         lambda batches: _departures(batches, length, percent),
-        "centre long, node long, component long, size int, most int, tokens array<long>",
+        "centre long, node long, component long, n long, size int, most int, tokens array<long>",
     )
-    tokens = written(posted.select("centre", "node", "component", "size", "most", F.posexplode("tokens").alias("place", "token")).unionByName(
-        posted.where("size <= most").select("centre", "node", "component", "size", "most", F.col("size").alias("place"), F.lit(-1).cast("long").alias("token"))
-    ))
+    # the token of all near ones comes behind those of their own
+    each = F.when(F.col("size") <= F.col("most"), F.concat("tokens", F.array(F.lit(-1).cast("long")))).otherwise(F.col("tokens"))
+    tokens = written(posted.select("centre", "node", "component", "n", "size", "most", F.posexplode(each).alias("place", "token")))
     # a token of one component alone brings nobody together
     shared = tokens.groupBy("centre", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     tokens = tokens.join(shared.select("centre", "token"), ["centre", "token"])
-    other = tokens.select(
-        "centre", "token", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "size", "most", "place"))
-    )
-    most = F.least("most", "other_most")
+    other = tokens.select("centre", "token", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "size", "place")))
+    differ = F.floor((100 - percent) * (F.col("n") + F.col("other_n")) / (100 + percent))
+    # what follows the first common token must suffice for what the two have to share
+    apart = F.col("size") - F.col("other_size")
     return tokens.where("2 * place <= most").join(other, ["centre", "token"]).where(
         (F.col("component") != F.col("other_component"))
-        & (F.abs(F.col("size") - F.col("other_size")) <= most)
-        & (F.col("place") + F.col("other_place") <= most)
+        & (2 * F.col("place") <= differ + apart)
+        & (2 * F.col("other_place") <= differ - apart)
     ).select("node", F.col("other_node").alias("other"))
 
 
@@ -427,9 +427,9 @@ def _departures(batches: Iterator[pa.RecordBatch], length: int, percent: int) ->
             most.append(differ)
             # -1 is the token of all near ones
             tokens.append(np.concatenate((more, less))[: differ + 1] >> np.uint64(1))
-        arrays = [part.column(c) for c in ("centre", "node", "component")]
+        arrays = [part.column(c) for c in ("centre", "node", "component", "n")]
         arrays += [pa.array(sizes, pa.int32()), pa.array(most, pa.int32()), _lists(tokens)]
-        yield pa.RecordBatch.from_arrays(arrays, ["centre", "node", "component", "size", "most", "tokens"])
+        yield pa.RecordBatch.from_arrays(arrays, ["centre", "node", "component", "n", "size", "most", "tokens"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -503,15 +503,9 @@ def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -
     stars = distinct_pairs(F.col("node"), F.col("pivot"), members.join(pivots, "post"))
     tried = written(rare.unionByName(stars).distinct())
     links = written(verified(tried, sets, length, percent))
-    # combinations whose nodes are not all joined yet: first with a centre of all that belong together
+    # combinations whose nodes are not all joined yet: pairs across components
     opened = open_posts(members, components(links))
     centre_of = families(opened, pivots)
-    second = distinct_pairs(F.col("node"), F.col("centre"), opened.join(centre_of, "post")).join(tried, ["a", "b"], "left_anti")
-    second = written(second)
-    links = written(links.unionByName(verified(second, sets, length, percent)))
-    tried = tried.unionByName(second)
-    # then pairs across components
-    opened = open_posts(members, components(links))
     few = opened.where(F.col("nodes") <= CROWDED)
     other = few.select("post", F.col("node").alias("other"), F.col("component").alias("other_component"))
     family = written(
@@ -520,7 +514,7 @@ def similarity_components(docs: DataFrame, length: int = 5, percent: int = 80) -
     across = few.join(other, "post").where("component < other_component").select("node", "other").unionByName(
         across_crowded(family, sets, length, percent)
     )
-    more = distinct_pairs(F.col("node"), F.col("other"), across).join(tried, ["a", "b"], "left_anti")
+    more = written(distinct_pairs(F.col("node"), F.col("other"), across).join(tried, ["a", "b"], "left_anti"))
     found = written(verified(more, sets, length, percent))
     # rows that share an id are one document
     shared = linkable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_last")).where("a < _last")
