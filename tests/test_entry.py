@@ -20,5 +20,10 @@ def test_sample_of_queries_agrees(spark):
 
     folder = "/root/testdata/sf0.001"
     con = database(folder)
-    for name in ("most_common", "rolling_month", "onset_labels_grid", "oversample_auto", "ts_trend", "eval_report"):
+    names = (
+        "most_common", "rolling_month", "onset_labels_grid", "oversample_auto", "ts_trend", "eval_report", "code_pair_cooccurrence", "combine_3d",
+        "pivot_aggfuncs", "feature_select", "relevance_numeric", "relevance_binary_feature", "relevance_classes", "malformed_lines", "named_views",
+        "prep_flat_train", "grid_labels", "latent_facts", "eval_auc_scores",
+    )
+    for name in names:
         assert compare(spark, con, folder, name).startswith("ok"), name

@@ -1193,7 +1193,9 @@ def relevance_binary_feature(star: Star) -> DataFrame:
         """sums AS (SELECT name, "class", CAST(count(*) AS DOUBLE) AS a, sum(r) AS s FROM classed GROUP BY ALL)""",
         "sizes AS (SELECT name, CAST(count(*) AS DOUBLE) AS n FROM classed GROUP BY name)",
         """us AS (SELECT name, "class", a, n - a AS b, s - a * (a + 1) / 2 AS u, a * (n - a) / 12 * (n + 1 - t / (n * (n - 1))) AS var
-  FROM sums JOIN sizes USING (name) JOIN ties USING (name))""",
+  FROM sums JOIN sizes USING (name) JOIN ties USING (name)
+  WHERE (SELECT count(DISTINCT "class") FROM classed) > 2
+    OR (SELECT count(DISTINCT "class") FROM classed) = 2 AND "class" = (SELECT max("class") FROM classed))""",
         """zs AS (SELECT name, "class", sign(u - a * b / 2) * greatest(abs(u - a * b / 2) - 0.5, 0) / sqrt(var) AS z FROM us)""",
         f"tests AS (SELECT *, {_normal_p('z')} AS p FROM zs)",
         _relevant_sql("tests", '"class"'),
