@@ -54,3 +54,31 @@ def test_pipeline(spark):
     assert sum(r.length for r in pieces if r.start == 0) and {r.doc_id for r in pieces} == set(drawn)
     assert jaccard.RARE == 3
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null, empty and repeated rows, ids that are missing or shared, an empty table."""
+    words = [f"w{i}" for i in range(400)]
+
+    def text(i):
+        return " ".join(words[(i * 37 + j * (i % 7 + 3)) % 400] for j in range(40 + i % 5)) + "."
+
+    rows = [(i, text(i), "en", f"src{i % 2}", 1) for i in range(40)]
+    rows += [(100, None, "en", "src0", None), (101, "", None, None, 0), (None, text(60), "de", "src1", 5), (5, text(5), "en", "src1", 1), (5, text(61), "en", "src1", 1)]
+    rows += [(50, text(7) + " w1", "en", "src0", 2), (51, text(62) + ' password = "abcdefghijklmnop"', "en", None, 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(99, 0, 1), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    assert {100, 101, 50} & ids == set() and ids <= {*range(40), 51, None}
+    by_sequence = {}
+    for r in out:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in sorted(p)[:i]) == at for p in by_sequence.values() for i, (at, _) in enumerate(sorted(p)))
+    again = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.start, r.ids_crc32) for r in out) == sorted((r.doc_id or -1, r.start, r.ids_crc32) for r in again)
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
