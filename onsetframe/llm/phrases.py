@@ -43,7 +43,8 @@ FEWEST_CROWDED = 20_000  # windows with the same leading words that one task alw
 TASK_WINDOWS = 400_000
 RANK_PARTS = 64
 TASK_BYTES = 256 << 20  # text one task reads at least if all cores have work, as equal windows add up inside a task
-HELD_WINDOWS = 1 << 21  # windows a task holds before equal ones are added up
+HELD_WINDOWS = 1 << 19  # windows a task holds before equal ones are added up
+SEGMENT = 1 << 20  # bytes of text a task turns into arrays at a time
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -111,7 +112,7 @@ def _cell_table(texts: DataFrame, cells: int, least: int, visit: Callable[[Prefi
         for batch in batches:
             lang_of, langs = _langs(batch)
             hashes = _lang_hash(langs)
-            for words in segments(batch, KINDS):
+            for words in segments(batch, KINDS, SEGMENT):
                 visit(Prefixes(words, hashes[lang_of[words.row]]), seen)
         blocks = [(i, table[s : s + CELL_BLOCK]) for i, s in enumerate(range(0, cells, CELL_BLOCK))]
         blocks = [(i, pa.compress(b.tobytes(), "zstd", asbytes=True)) for i, b in blocks if b.any()]
@@ -205,6 +206,8 @@ def suffix_windows(texts: DataFrame, short: np.ndarray, long: np.ndarray, least:
 
     def added(held: list[pa.Table]) -> pa.Table:
         summed = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        held.clear()
+        pa.default_memory_pool().release_unused()  # a worker's next task would not use what Arrow keeps
         return summed.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +215,7 @@ def suffix_windows(texts: DataFrame, short: np.ndarray, long: np.ndarray, least:
         for batch in batches:
             lang_of, langs = _langs(batch)
             hashes = _lang_hash(langs)
-            for words in segments(batch, KINDS):
+            for words in segments(batch, KINDS, SEGMENT):
                 lang = lang_of[words.row]
                 rows, n = _windows(words, Prefixes(words, hashes[lang]), lang, short, long, least)
                 known = words.distinct.cast(pa.string())

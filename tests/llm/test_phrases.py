@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from onsetframe.llm import phrases, words
@@ -103,3 +104,12 @@ def test_exact_beyond_64_bits(spark):
         "lang string, phrase string, f long, words int",
     )
     assert phrases.scored(counts).first().score == 1000 * big * 9 * big // ((big + 1) * (big + 2))
+
+
+def test_a_step_takes_little_text():
+    texts = [b"ab cd ef " * 20_000 for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string())], ["text"])
+    steps = list(words.segments(batch, phrases.KINDS, phrases.SEGMENT))
+    assert sum(len(s.ids) for s in steps) == 40 * 60_000
+    # arrays of a step take some 30 times its text
+    assert max(len(s.ids) for s in steps) * 3 <= (1 << 20) + len(texts[0])
