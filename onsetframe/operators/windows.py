@@ -42,12 +42,7 @@ def _with_blocks(df: DataFrame, steps: int) -> DataFrame:
     return df.withColumn(_BLOCK, F.explode(blocks))
 
 
-def _history(steps: int) -> Column:
-    window = Window.partitionBy(PATIENT, _BLOCK).orderBy(INDEX).rangeBetween(-(steps - 1), 0)
-    return F.collect_list(_ROW).over(window)
-
-
-def _dense(history: Column, last: Column, steps: int, width: int) -> Column:
+def _dense(history: Column, last: Column, steps: int | Column, width: int) -> Column:
     """History entries (ordered by index) with NULL rows for the absent periods."""
     blank = F.array_repeat(F.lit(None).cast("double"), width)
     before_first = last - steps
@@ -78,18 +73,37 @@ def own_date_windows(
     get a window (the others still are history), so labels can prune before the cut.
     """
     carry = carry or []
+    width = len(features)
+    date = F.struct(INDEX, F.col(PERIOD).alias(OBSERVED), *carry)
     prepared = periods.select(
         PATIENT,
         INDEX,
-        PERIOD,
-        *carry,
-        (F.lit(True) if shown is None else F.coalesce(shown, F.lit(False))).alias(_SHOWN),
+        F.when(F.lit(True) if shown is None else shown, date).alias(_SHOWN),
         _entry(features).alias(_ROW),
     )
-    blocked = _with_blocks(prepared, steps).withColumn(_HISTORY, _history(steps))
-    at_home = blocked.where(F.col(_SHOWN) & (F.col(_BLOCK) == _home(INDEX, _block_span(steps))))
-    matrix = _dense(F.col(_HISTORY), F.col(INDEX), steps, len(features))
-    return at_home.select(PATIENT, F.col(PERIOD).alias(OBSERVED), *carry, matrix.alias(MATRIX))
+    blocked = _with_blocks(prepared, steps)
+    at_home = F.when(F.col(_BLOCK) == _home(INDEX, _block_span(steps)), F.col(_SHOWN))
+    # the block's rows and its dates meet in its first row, where the absent periods are filled once for all windows
+    by_index = Window.partitionBy(PATIENT, _BLOCK).orderBy(INDEX)
+    whole = by_index.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = blocked.select(
+        PATIENT, F.collect_list(_ROW).over(whole).alias(_HISTORY), F.collect_list(at_home).over(whole).alias(_SHOWN),
+        F.row_number().over(by_index).alias("_place"),
+    ).where((F.col("_place") == 1) & (F.size(_SHOWN) > 0))
+    history = F.col(_HISTORY)
+    first, last = F.get(history, F.lit(0))["i"], F.get(history, F.size(history) - 1)["i"]
+    dense = _dense(history, last, last - first + steps, width)
+    # with several rows of a period the windows are longer, and each is filled for itself
+    repeated = F.size(dense) > last - first + steps
+    filled = met.select(
+        PATIENT, _SHOWN, first.alias("_first"), dense.alias(_ROW), F.when(repeated, history).alias(_HISTORY)
+    )
+    dated = filled.select(PATIENT, "_first", _ROW, _HISTORY, F.inline(_SHOWN))
+    reached = F.filter(_HISTORY, lambda e: (e["i"] > F.col(INDEX) - steps) & (e["i"] <= F.col(INDEX)))
+    matrix = F.when(
+        F.col(_HISTORY).isNull(), F.slice(_ROW, F.col(INDEX) - F.col("_first") + 1, F.lit(steps))
+    ).otherwise(_dense(reached, F.col(INDEX), steps, width))
+    return dated.select(PATIENT, OBSERVED, *carry, matrix.alias(MATRIX))
 
 
 def _swept(sources: list[tuple[DataFrame, list[str]]], shown: list[DataFrame], steps: int) -> DataFrame:

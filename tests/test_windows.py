@@ -152,3 +152,17 @@ def test_merged_sources(spark, steps):
     assert {(r.patient_id, r.observation_date) for r in given} == {d for d in dates if d[0] < 3} and len(given) == len({d for d in dates if d[0] < 3})
     for r in given:
         assert r.matrix == want(r.patient_id, (pd.Timestamp(r.observation_date) - base).days)
+
+
+def test_absent_periods_are_filled_once_a_block(spark):
+    rows = [("p", "2020-01-31", 24241, 1.0), ("p", "2020-03-31", 24243, 2.0), ("p", "2020-03-31", 24243, 3.0),
+            ("p", "2020-04-30", 24244, 4.0), (None, "2020-04-30", 24244, 5.0), ("q", "2020-04-30", 24244, None), ("q", None, None, 1.0)]
+    schema = "patient_id string, period_end string, period_index int, f double"
+    cut = w.own_date_windows(spark.createDataFrame(rows, schema), ["f"], 2)
+    got = sorted(((r.patient_id, r.observation_date, sorted([v for v, in r.matrix], key=str)) for r in cut.collect()), key=str)
+    assert got == sorted([
+        ("p", "2020-01-31", [1.0, N]), ("p", "2020-03-31", [2.0, 3.0, N]), ("p", "2020-03-31", [2.0, 3.0, N]),
+        ("p", "2020-04-30", [2.0, 3.0, 4.0]), (None, "2020-04-30", [5.0, N]), ("q", "2020-04-30", [N, N]),
+    ], key=str)
+    # a frame that slides over the history would add up every window anew
+    assert "specifiedwindowframe(RangeFrame" not in cut._jdf.queryExecution().executedPlan().toString()
