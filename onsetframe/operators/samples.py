@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,14 +76,76 @@ STRATEGIES: dict[str, Statistic] = {
 }
 
 
+def _batch_mean(value: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """Means over the steps of ``windows x steps x features``, summed step by step."""
+    total = np.zeros(value[:, 0].shape)
+    for k in range(value.shape[1]):
+        total = np.where(present[:, k], total + value[:, k], total)
+    return total / np.maximum(present.sum(axis=1), 1)
+
+
+def _batch_mode(value: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """Most frequent values, NaN equal to itself and the largest."""
+    nan = np.isnan(value)
+    best, most = np.zeros(value[:, 0].shape), np.zeros(value[:, 0].shape, int)
+    for k in range(value.shape[1]):
+        here = value[:, k : k + 1]
+        times = (present & ((value == here) | (nan & nan[:, k : k + 1]))).sum(axis=1)
+        less = (value[:, k] < best) | (np.isnan(best) & ~nan[:, k])
+        better = present[:, k] & ((times > most) | (times == most) & less)
+        best, most = np.where(better, value[:, k], best), np.where(better, times, most)
+    return best
+
+
+# the same statistics over whole Arrow batches; of windows without a value any number
+BATCHED = {"mean": _batch_mean, "most_frequent": _batch_mode}
+
+
+def _filled_batch(matrices: pa.ListArray, width: int, statistic: Callable) -> pa.ListArray:
+    """The matrices with their gaps filled; rows shorter than ``width`` are filled up."""
+    rows = matrices.flatten()
+    cells = rows.flatten()
+    size = pc.list_value_length(rows).fill_null(0).to_numpy()
+    wide = max(width, size.max(initial=0))
+    inside = np.arange(wide) < size[:, None]
+    value, present = np.zeros((len(rows), wide)), np.zeros((len(rows), wide), bool)
+    value[inside], present[inside] = cells.to_numpy(zero_copy_only=False), np.asarray(cells.is_valid())
+    steps = pc.list_value_length(matrices).fill_null(0).to_numpy()
+    start = np.cumsum(steps) - steps
+    for n in np.unique(steps[steps > 0]):
+        at = start[steps == n][:, None] + np.arange(n)
+        some, known = value[at, :width], present[at, :width]
+        fill = np.where(known.any(axis=1), statistic(some, known), 0.0)
+        value[at, :width] = np.where(known, some, fill[:, None])
+    kept = np.maximum(size, width) * np.asarray(rows.is_valid())
+    shown = np.arange(wide) < kept[:, None]
+    filled = pa.array(value[shown], mask=~(present | (np.arange(wide) < width))[shown])
+
+    def lists(sizes: np.ndarray, values: pa.Array, like: pa.ListArray) -> pa.ListArray:
+        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, values, mask=like.is_null())
+
+    return lists(steps, lists(kept, filled, rows), matrices)
+
+
 def impute_windows(
     windows: DataFrame, width: int, strategy: str | Statistic = "mean", constant: float = 0.0
 ) -> DataFrame:
     """Fill gaps of each window from that window's own column; 0 if all are missing.
 
     ``strategy`` is a name or a function from a column's values (array) to a value. The
-    work is inside one row, there is no exchange.
+    work is inside one row, there is no exchange. The names in ``BATCHED`` fill whole Arrow batches.
     """
+    if isinstance(strategy, str) and strategy in BATCHED:
+        statistic, names = BATCHED[strategy], windows.columns
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = [_filled_batch(c, width, statistic) if n == MATRIX else c for n, c in zip(names, batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        numbers = windows.withColumn(MATRIX, F.col(MATRIX).cast("array<array<double>>"))
+        return numbers.mapInArrow(fill, numbers.schema)
     if strategy == "constant":
         fills = F.array_repeat(F.lit(float(constant)), width)
     else:

@@ -126,3 +126,17 @@ def test_combine(spark, t):
     np.testing.assert_array_equal(ordered(sm.flatten_windows(m[0]), "vector"), a.reshape(4, -1))
     with pytest.raises(PySparkException):
         sm.combine_sources([m[0], m[1].where("patient_id <> 'p1'")]).collect()
+
+
+@pytest.mark.parametrize("name", ["mean", "most_frequent"])
+def test_whole_batches_fill_like_single_windows(spark, name):
+    nan = float("nan")
+    rows = [
+        (1, [[1.0, None], [2.0, None], [2.5, None]]), (2, [[1.0, None], [1.0, 5.0]]), (3, None), (4, []),
+        (5, [[None, 3.0], None, [4.0]]), (6, [[1.0, 2.0, 9.0], [None, nan, None], [3.0, nan, None]]), (7, [[3.0, nan], [2.0, 1.0], [None, None]]),
+    ]
+    windows = spark.createDataFrame(rows, "id int, matrix array<array<double>>")
+    single = {r.id: str(r.matrix) for r in sm.impute_windows(windows, 2, sm.STRATEGIES[name]).collect()}
+    whole = sm.impute_windows(windows, 2, name)
+    assert {r.id: str(r.matrix) for r in whole.collect()} == single
+    assert "MapInArrow" in whole._jdf.queryExecution().executedPlan().toString()

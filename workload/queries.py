@@ -27,7 +27,7 @@ from onsetframe.sources.stages import read_records, write_records
 from workload import sqltext as q
 from workload.adapters import DISEASES, EVENT_IDS, LAB_FEATURES, LAB_IDS, POSITIVE, SIGNALS, Star
 from workload.registry import ORACLES, QUERIES, query
-from workload.shapes import cell, coded, matrix_text, shown, vector_text
+from workload.shapes import cell, coded, shown, vector_text, with_matrix_text
 
 GAP, WINDOW, SEED = 90, 365, 7
 NUDGE = 1e-9
@@ -601,7 +601,7 @@ def align_to_keys(star: Star) -> DataFrame:
 )
 def nest_matrix(star: Star) -> DataFrame:
     long = windows.to_long(event_windows(star), EVENT_IDS, "day", EVENT_STEPS)
-    return shown(windows.to_matrix(long, EVENT_IDS).withColumn("matrix", matrix_text()))
+    return shown(with_matrix_text(windows.to_matrix(long, EVENT_IDS)))
 
 
 def _impute(strategy: str, fill) -> None:
@@ -695,7 +695,7 @@ def extend_timesteps(star: Star) -> DataFrame:
     static = demographics.demographics_matrix(
         demographics.demographics_at_dates(event_spine(star), star.patients())
     )
-    return shown(samples.extend_timesteps(static, EVENT_STEPS).withColumn("matrix", matrix_text()))
+    return shown(with_matrix_text(samples.extend_timesteps(static, EVENT_STEPS)))
 
 
 @query(
