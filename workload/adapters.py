@@ -30,7 +30,7 @@ class Star:
     def analyses(self) -> DataFrame:
         """Irregular lab values; every seventh quantity counts as missing."""
         items = self.read("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
-        orders = self.read("orders").select("o_orderkey", "o_custkey")
+        orders = self.read("orders").select("o_orderkey", "o_custkey").hint("merge")
         return items.join(orders, items.l_orderkey == orders.o_orderkey).select(
             F.col("o_custkey").alias("patient_id"),
             F.col("l_linenumber").alias("analysis_id"),
@@ -65,8 +65,9 @@ class Star:
 
     def diagnoses(self) -> DataFrame:
         items = self.read("lineitem").select("l_orderkey", "l_partkey")
-        parts = self.read("part").select("p_partkey", "p_brand")
-        orders = self.read("orders").select("o_orderkey", "o_custkey")
+        # parts and orders grow with the line items; small files would have every task hold all of them
+        parts = self.read("part").select("p_partkey", "p_brand").hint("merge")
+        orders = self.read("orders").select("o_orderkey", "o_custkey").hint("merge")
         return (
             items.join(parts, items.l_partkey == parts.p_partkey)
             .join(orders, items.l_orderkey == orders.o_orderkey)
