@@ -96,9 +96,9 @@ def pair_cooccurrence(
     """
     codes = lookup.where(condition).select(CODE, TITLE)
     matching = diagnoses.where(F.col(ADMISSION).isNotNull()).select(ADMISSION, CODE)
-    counted = matching.join(codes.select(CODE).distinct(), CODE, "left_semi").groupBy(ADMISSION, CODE).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    wanted = matching.join(codes.select(CODE).distinct(), CODE, "left_semi")
+    # after a join on admissions, its sorts, both counts and the baskets would all fill one task: rows are dealt anew
+    counted = wanted.repartition(F.xxhash64(ADMISSION, CODE)).groupBy(ADMISSION, CODE).agg(F.count(F.lit(1)).alias("n"))
     first = code_tiles(counted).select("times", "one", "other", F.posexplode("one").alias("_p", "a"))
     later = F.coalesce("other", F.slice("one", F.col("_p") + 2, F.size("one")))
     pairs = first.select("times", "a", F.explode(later).alias("b"))

@@ -100,3 +100,15 @@ def test_blocks_of_one_code_and_titles_twice(spark, monkeypatch):
                     want[tuple(sorted((x, y)))] = want.get(tuple(sorted((x, y))), 0) + 1
     got = {(r.diagnosis_1, r.diagnosis_2): r.pair_occurrence_count for r in dc.pair_cooccurrence(diagnoses, lookup, F.lit(True)).collect()}
     assert got == want
+
+
+def test_counts_and_baskets_are_stages_of_their_own(spark):
+    """Also where the diagnoses already lie by admission, as after a join."""
+    rows = [(a, f"c{c}") for a in range(6) for c in range(1 + a % 3)]
+    admissions = spark.createDataFrame([(a, a + 10) for a in range(6)], "admission_id long, patient_id long").hint("merge")
+    diagnoses = spark.createDataFrame(rows, "admission_id long, diagnosis_code string").join(admissions, "admission_id")
+    lookup = spark.createDataFrame([(f"c{c}", f"t{c}") for c in range(3)], "diagnosis_code string, long_title string")
+    found = dc.pair_cooccurrence(diagnoses, lookup, F.lit(True))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
+    assert [tuple(r) for r in found.collect()] == [("t0", "t1", 8), ("t0", "t2", 4), ("t1", "t2", 4)]
