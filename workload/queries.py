@@ -867,8 +867,11 @@ def raw_sides(star: Star) -> tuple[DataFrame, DataFrame]:
 )
 def prep_train(star: Star) -> DataFrame:
     train, _ = raw_sides(star)
-    prepared, _scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED)
-    return _scaled_output(prepared, "label", "copy")
+    prepared, _scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED, copies=False)
+    # copies of a sample are alike, so the sums are made before them
+    made = _scaled_output(prepared, "label", balance.WEIGHT)
+    order = [balance.COPY if c == balance.WEIGHT else c for c in made.columns]
+    return balance.copy_samples(made).select(*order)
 
 
 @query(
@@ -1213,7 +1216,7 @@ def relevance_classes(star: Star) -> DataFrame:
 
 @query()
 def latent_pca(star: Star) -> DataFrame:
-    filled = sided_samples(star).drop("split")
+    filled = checkpointed(sided_samples(star).drop("split"))
     coded_windows = latent.fit_latent(filled, 4).transform(filled)
     return shown(coded_windows.withColumn("vector", vector_text()))
 
