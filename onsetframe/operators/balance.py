@@ -17,7 +17,7 @@ from onsetframe.schemas import KEYS
 from onsetframe.session import checkpointed
 
 COPY, TIMES, WEIGHT = "copy", "times", "weight"
-PICK_CHUNK = 10_000  # picks one task makes from one row
+PICK_CHUNK = 10_000  # picks one row makes
 
 
 # --- scaling -------------------------------------------------------------------------
@@ -146,7 +146,10 @@ def repeat_counts(
     need = _missing_rows(classes, ratio).where(F.col("need") > 0)
     chunks = need.withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("need") - 1) / PICK_CHUNK)))
-    ).repartition(F.col(label), F.col("_chunk"))
+    )
+    # chunks are thin: without a number of tasks, Spark puts them all into one
+    tasks = 2 * samples.sparkSession.sparkContext.defaultParallelism
+    chunks = chunks.repartition(tasks, F.col(label), F.col("_chunk"))
     first = F.col("_chunk") * PICK_CHUNK
     last = F.least(first + PICK_CHUNK, F.col("need")) - 1
     picks = chunks.select(label, "rows", F.explode(F.sequence(first, last)).alias("_i"))
@@ -218,8 +221,9 @@ def prepare_train(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Impute, balance, scale the training windows; returns the samples and the scaler.
 
-    The scaler is fitted on the balanced set through the weights. Without ``copies`` the samples stay distinct and
-    carry their ``weight``. ``train`` is used several times and should be a written table.
+    The scaler is fitted on the balanced set through the weights and kept, as the samples and the test set both read it.
+    Without ``copies`` the samples stay distinct and carry their ``weight``. ``train`` is used several times and should
+    be a written table.
     """
     check_matrix(train)
     prepared = impute_windows(train, width, imputer) if imputer is not None else train
@@ -227,7 +231,7 @@ def prepare_train(
     if resampler is not None:
         # keys and labels only, imputation is not needed
         prepared, weight = weigh_samples(prepared, checkpointed(repeat_counts(train, resampler, seed))), WEIGHT
-    scaler = fit_cell_scaler(prepared, width, weight) if scale else None
+    scaler = checkpointed(fit_cell_scaler(prepared, width, weight)) if scale else None
     prepared = apply_scaler(prepared, scaler) if scale else prepared
     return (copy_samples(prepared) if weight and copies else prepared), scaler
 

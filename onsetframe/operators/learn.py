@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +23,24 @@ def with_vector(samples: DataFrame) -> DataFrame:
     return samples.withColumn(VECTOR, array_to_vector(array.cast("array<double>")))
 
 
+def training_vectors(train: DataFrame) -> DataFrame:
+    """The samples with their ML vector in place of the values it is made of.
+
+    A fit reads its rows several times, so keep these (as a written table) and make copies of them, not of the matrices.
+    """
+    return with_vector(train).drop(MATRIX, "vector")
+
+
 def fit_forest(
     train: DataFrame, trees: int = 100, seed: int = 0, max_depth: int = 10, label: str = LABEL, **params
 ) -> PipelineModel:
-    """Random forest on the prepared samples; a ``weight`` column counts a sample more than once."""
+    """Random forest on the prepared samples or their vectors; a ``weight`` column counts a sample more than once."""
     weights = {"weightCol": WEIGHT} if WEIGHT in train.columns else {}
     forest = RandomForestClassifier(
         featuresCol=VECTOR, labelCol=label, numTrees=trees, seed=seed, maxDepth=max_depth, **weights, **params
     )
-    data = with_vector(train).select(VECTOR, F.col(label).cast("double").alias(label), *weights.values())
+    made = VECTOR in train.columns and train.schema[VECTOR].dataType == VectorUDT()
+    data = (train if made else with_vector(train)).select(VECTOR, F.col(label).cast("double").alias(label), *weights.values())
     return Pipeline(stages=[forest]).fit(data)
 
 

@@ -12,7 +12,7 @@ from onsetframe.operators.balance import prepare_test, prepare_train
 from onsetframe.operators.demographics import demographics_matrix
 from onsetframe.operators.evaluate import confusion_counts, confusion_matrix, evaluate, report, with_class
 from onsetframe.operators.labels import LABEL
-from onsetframe.operators.learn import binary_score, fit_forest, score_forest, scored_by
+from onsetframe.operators.learn import binary_score, fit_forest, score_forest, scored_by, training_vectors
 from onsetframe.operators.parts import Evaluator
 from onsetframe.operators.samples import (
     SPLIT,
@@ -96,7 +96,7 @@ def learn(
     scaler and forest; an ``evaluator`` that of the metrics.
 
     Pass samples read from a written table (see :func:`learn_job`): they are used for the
-    scaler, the fit and the test. Prepared samples and predictions are kept, as the fit and
+    scaler, the fit and the test. Prepared vectors and predictions are kept, as the fit and
     the metrics read them many times. With two classes the threshold decides, with more the
     largest score; all metrics come from that one class.
     """
@@ -107,9 +107,7 @@ def learn(
         scored = scored_by(model, test)
     else:
         prepared, scaler = prepare_train(train, width, imputer, resampler, scale, seed, copies=False)
-        prepared = checkpointed(prepared)
-        scaler = checkpointed(scaler) if scaler is not None else None
-        model = fit_forest(prepared, trees, seed, max_depth)
+        model = fit_forest(checkpointed(training_vectors(prepared)), trees, seed, max_depth)
         scored = score_forest(model, prepare_test(test, width, imputer, scaler))
     if model.stages[-1].numClasses <= 2:
         scored = binary_score(scored)

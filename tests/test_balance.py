@@ -72,6 +72,22 @@ def test_many_picks_use_many_chunks(spark):
     assert {(r.label, r.n, r.c) for r in out.collect()} == {(0, 25000, 0), (1, 25000, 24999)}
 
 
+def test_picks_are_made_by_many_tasks(spark):
+    big = spark.range(9_000).select(F.col("id").alias("patient_id"), F.lit(0).alias("observation_date"), F.when(F.col("id") < 100, 1).otherwise(0).alias("label"))
+    counts = bl.repeat_counts(big.repartition(2))
+    # an exchange of thin chunks that Spark may shrink puts all picks into one task
+    assert "REPARTITION_BY_NUM" in counts._jdf.queryExecution().executedPlan().toString()
+    assert counts.agg(F.sum("times")).first()[0] == 8_800
+    assert sorted(counts.collect()) == sorted(bl.repeat_counts(big.repartition(5)).collect())
+
+
+def test_scaler_is_fitted_once(spark, t):
+    df = windows(spark, t, np.random.default_rng(2).random((30, 3, 2)), [int(i < 20) for i in range(30)])
+    prepared, scaler = bl.prepare_train(df, 2, seed=4, copies=False)
+    for made in (scaler, prepared, bl.prepare_test(df, 2, scaler=scaler)):
+        assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chains(spark, t, tmp_path):
     rng = np.random.default_rng(1)
     train = np.where(rng.random((12, 3, 2)) < 0.2, np.nan, rng.random((12, 3, 2)))
@@ -139,3 +155,21 @@ def test_forest_takes_weights(spark, t):
     model = learn.fit_forest(prepared, trees=5, seed=1, max_depth=3)
     assert model.stages[-1].getWeightCol() == "weight"
     assert learn.score_forest(model, bl.prepare_test(df, 2, scaler=scaler)).count() == 60
+
+
+def test_copies_of_vectors_fit_like_copies_of_matrices(spark, t):
+    from onsetframe.operators import learn
+
+    arrays = np.random.default_rng(5).random((60, 2, 2))
+    df = windows(spark, t, arrays, (arrays[:, 0, 0] > 0.8).astype(int)).coalesce(1)
+    prepared, scaler = bl.prepare_train(df, 2, seed=1, copies=False)
+    vectors = learn.training_vectors(prepared)
+    assert set(vectors.columns) == {"patient_id", "observation_date", "label", "weight", "features"}
+    tested = bl.prepare_test(df, 2, scaler=scaler)
+
+    def scores(train):
+        scored = learn.score_forest(learn.fit_forest(train, trees=5, seed=1, max_depth=3), tested)
+        return {r.patient_id: r.scores for r in scored.collect()}
+
+    assert scores(bl.copy_samples(vectors)) == scores(bl.copy_samples(prepared))
+    assert scores(vectors) == scores(prepared)

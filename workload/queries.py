@@ -1248,9 +1248,10 @@ def latent_facts(star: Star) -> DataFrame:
 @query()
 def rf_train_score(star: Star) -> DataFrame:
     train, test = raw_sides(star)
-    prepared, scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED)
-    prepared, scaler = checkpointed(prepared), checkpointed(scaler)
-    model = learn.fit_forest(prepared, trees=10, seed=SEED, max_depth=5)
+    prepared, scaler = balance.prepare_train(train, len(LAB_IDS), seed=SEED, copies=False)
+    # the fit gets every copy; a sample is kept once
+    copies = balance.copy_samples(checkpointed(learn.training_vectors(prepared)))
+    model = learn.fit_forest(copies, trees=10, seed=SEED, max_depth=5)
     scored = learn.score_forest(model, balance.prepare_test(test, len(LAB_IDS), scaler=scaler))
     return shown(learn.binary_score(scored).drop("split"))
 
