@@ -73,12 +73,16 @@ def test_many_picks_use_many_chunks(spark):
 
 
 def test_picks_are_made_by_many_tasks(spark):
-    big = spark.range(9_000).select(F.col("id").alias("patient_id"), F.lit(0).alias("observation_date"), F.when(F.col("id") < 100, 1).otherwise(0).alias("label"))
-    counts = bl.repeat_counts(big.repartition(2))
+    def samples(parts):
+        return spark.range(0, 9_000, 1, parts).select(
+            F.col("id").alias("patient_id"), F.lit(0).alias("observation_date"), F.when(F.col("id") < 100, 1).otherwise(0).alias("label")
+        )
+
+    counts = bl.repeat_counts(samples(2))
     # an exchange of thin chunks that Spark may shrink puts all picks into one task
     assert "REPARTITION_BY_NUM" in counts._jdf.queryExecution().executedPlan().toString()
     assert counts.agg(F.sum("times")).first()[0] == 8_800
-    assert sorted(counts.collect()) == sorted(bl.repeat_counts(big.repartition(5)).collect())
+    assert sorted(counts.collect()) == sorted(bl.repeat_counts(samples(5)).collect())
 
 
 def test_scaler_is_fitted_once(spark, t):

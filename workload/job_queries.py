@@ -216,8 +216,8 @@ def forest_facts(star: Star) -> DataFrame:
     """What must hold for the forest's predictions: one for each test sample, probabilities, and the class they mean."""
     train, test = base.raw_sides(star)
     prepared, scaler = balance.prepare_train(train, len(LAB_IDS), seed=base.SEED, copies=False)
-    model = learn.fit_forest(checkpointed(prepared), trees=10, seed=base.SEED, max_depth=5)
-    scored = learn.score_forest(model, balance.prepare_test(test, len(LAB_IDS), scaler=checkpointed(scaler)))
+    model = learn.fit_forest(checkpointed(learn.training_vectors(prepared)), trees=10, seed=base.SEED, max_depth=5)
+    scored = learn.score_forest(model, balance.prepare_test(test, len(LAB_IDS), scaler=scaler))
     whole = F.abs(F.aggregate("scores", F.lit(0.0), lambda a, v: a + v) - 1) < 1e-9
     inside = F.forall("scores", lambda v: (v >= 0) & (v <= 1))
     return scored.groupBy("truth").agg(
