@@ -163,7 +163,8 @@ def repeat_counts(
     growing = samples.select(label, *keys).withColumn("_grows", grows).where(F.array_contains("_grows", F.col(label)))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     numbered = number_by_hash(growing.drop("_grows"), [label], digest, keys, "_number")
-    return numbered.join(times, [label, "_number"]).select(*keys, TIMES)
+    # picks grow with the samples; Spark takes them to be as few as the chunks and would have the driver collect all of them
+    return numbered.join(times.hint("merge"), [label, "_number"]).select(*keys, TIMES)
 
 
 def weigh_samples(samples: DataFrame, counts: DataFrame, keys: list[str] | None = None) -> DataFrame:

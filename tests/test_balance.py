@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +87,17 @@ def test_picks_are_made_by_many_tasks(spark):
     assert sorted(counts.collect()) == sorted(bl.repeat_counts(samples(5)).collect())
 
 
+def test_picks_never_meet_in_the_driver(spark):
+    samples = spark.range(0, 9_000, 1, 2).select(
+        F.col("id").alias("patient_id"), F.lit(0).alias("observation_date"), F.when(F.col("id") < 100, 1).otherwise(0).alias("label")
+    )
+    counts = bl.repeat_counts(samples)
+    assert sum(r.times for r in counts.collect()) == 8_800
+    # the plan that ran, as it's chosen anew when the thin chunks have been counted
+    joins = re.findall(r"(\w+Join) \[[^\]]*_number", counts._jdf.queryExecution().executedPlan().toString())
+    assert set(joins) == {"SortMergeJoin"}
+
+
 def test_scaler_is_fitted_once(spark, t):
     df = windows(spark, t, np.random.default_rng(2).random((30, 3, 2)), [int(i < 20) for i in range(30)])
     prepared, scaler = bl.prepare_train(df, 2, seed=4, copies=False)
